@@ -1,6 +1,6 @@
 """The queries of this subpackage, on whole tables with production parameters, and their SQL where SQL can express them."""
 
-from . import bpe, lang_id, mixing, near_dedup, quality_rules, token_counts
+from . import ann, bpe, lang_id, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_binary, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1,
@@ -9,6 +9,13 @@ QUERIES = {
     "op4_host_rules": quality_rules.op4,
     "op5_near_dedup": near_dedup.op5,
     "op6_language_id": lang_id.op6,
+    "op7_license_scan": license_scan.op7,
+    "op8_line_dedup": line_dedup.op8,
+    "op9_token_binary": token_binary.op9,
+    "op10_ann": ann.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_license_scan": license_scan.SQL,
+    "op8_line_dedup": line_dedup.SQL,
+}
