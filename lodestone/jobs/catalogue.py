@@ -1,7 +1,9 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import collections, filters, retrieval, streams, texts  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
