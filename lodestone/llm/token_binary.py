@@ -75,12 +75,10 @@ def ranking(rows: DataFrame, vocabulary: int = 1 << 20) -> np.ndarray:
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                ids = _ids(raw)
-                if len(ids) and ids.max() >= len(total):
-                    total = np.concatenate([total, np.zeros(ids.max() + 1 - len(total), np.int64)])
-                n = np.bincount(ids)
-                total[: len(n)] += n
+            ids = np.concatenate([_ids(raw) for raw in batch.column(0).to_pylist()] or [np.zeros(0, "<u2")])
+            n = np.bincount(ids, minlength=len(total))
+            n[: len(total)] += total
+            total = n
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], ["id", "n"])
 
@@ -161,7 +159,7 @@ def read_files(files: DataFrame, folder: str, digest=None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, mask=known == 0), pa.array(start + ends - lens), pa.array(lens), out], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     last = "ids_crc32 long" if digest else "ids binary"
-    return files.select("file").repartition("file").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
+    return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def write(docs: DataFrame, folder: str, path: str, end: int = 2) -> DataFrame:

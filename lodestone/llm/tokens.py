@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-MAX_UNITS = 600_000
+MAX_UNITS = 1_200_000
 RUN = re.compile(r"\s (?:\s|\Z)")
 
 
