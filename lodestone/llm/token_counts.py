@@ -83,7 +83,8 @@ def scan(spark: SparkSession, folder: str, files: DataFrame, eod: int, dtype: st
                 last = pa.array([int(ends[-1]) if len(ends) else None], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at // width], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(ends)], pa.int64()), last, docs], ["file", "at", "size", "n", "last", "docs"])
 
-    blocks = files.select("file").mapInArrow(sizes, "file string, at long, size long").repartition("file", "at")
+    blocks = common.materialize(files.select("file").mapInArrow(sizes, "file string, at long, size long"), "token-spans")
+    blocks = blocks.repartition(max(1, blocks.count()), "file", "at")  # a block is work enough for a task
     found = blocks.mapInArrow(read, "file string, at long, size long, n long, last long, docs array<struct<start: long, end: long>>")
     found = common.materialize(found, "token-blocks")
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
