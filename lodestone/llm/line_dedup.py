@@ -7,7 +7,8 @@ line stay.
 
 Null texts stay null and have no lines; an empty text has one empty line; a text of which all chunks go becomes empty; rows
 that share doc_id and text are one occurrence and are treated alike; texts of any length are taken whole; a chunk may occur in
-any number of documents, its occurrences are joined, never gathered; an empty table gives an empty one.
+any number of documents, its occurrences are joined, never gathered; an empty table gives an empty one. What is joined grows with
+the corpus, so none of it is broadcast at any size.
 """
 
 from __future__ import annotations
@@ -52,17 +53,17 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     rows = common.materialize(rows, "line-chunks")
     own = F.struct("doc_id", "_h", "start")
     again = common.materialize(rows.groupBy("hash").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first <> last").select("hash", "first"), "line-repeats")
-    found = rows.join(again, "hash").withColumn("owner", own == F.col("first"))
+    found = rows.join(again.hint("merge"), "hash").withColumn("owner", own == F.col("first"))
     found = common.materialize(found.select("doc_id", "_h", "start", "n", "hash", "owner").distinct(), "line-occurrences")
     common.drop(rows, again)
     places = found.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", "n", "hash", "owner")).alias("places")).withColumnsRenamed({"doc_id": "_d", "_h": "_dh"})
     same = docs["doc_id"].eqNullSafe(places["_d"]) & (docs["_h"] == places["_dh"])
-    texts = docs.join(places, same).dropDuplicates(["doc_id", "_h"])
+    texts = docs.join(places.hint("merge"), same).dropDuplicates(["doc_id", "_h"])
     cut = let(lines, lambda x: F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), p["hash"].alias("hash"), p["owner"].alias("owner"), piece(x, p["start"], p["n"]).alias("bytes"))))
     texts = texts.select("doc_id", "_h", F.explode(cut).alias("c")).select("doc_id", "_h", "c.*")
     texts = common.materialize(texts, "line-texts")
     owners = texts.where("owner").select("hash", F.col("bytes").alias("first_bytes"))
-    return texts.where("not owner").join(owners, "hash").where("bytes = first_bytes").select("doc_id", "_h", "start", "n")
+    return texts.where("not owner").join(owners.hint("merge"), "hash").where("bytes = first_bytes").select("doc_id", "_h", "start", "n")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*names, F.xxhash64("text").alias("_h"))
     gone = repeated_chunks(keyed.select("doc_id", "_h", "text")).groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
     gone = gone.withColumnsRenamed({"doc_id": "_d", "_h": "_dh"})
-    rows = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_d"]) & (keyed["_h"] == gone["_dh"]), "left")
+    rows = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["_d"]) & (keyed["_h"] == gone["_dh"]), "left")
     out_lines = F.flatten(F.transform("_gone", lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))
 
     def without(x: Column) -> Column:
