@@ -1,4 +1,4 @@
-"""Typed metadata conditions as Column expressions.
+"""Typed metadata conditions, made of Column expressions.
 
 Conditions are two-valued: one on a missing value is false, and its negation true. Strings are stored in lower case, so
 literals are lowered; a bare day in a date condition means the whole day where that makes a difference. What a field's type
@@ -26,6 +26,27 @@ class FilterError(ValueError):
     """A condition that the schema does not allow."""
 
 
+class Condition:
+    """column is true where the condition holds, else false or null: fit for where(), and plain enough to reach the scan. Only
+    a negation needs the difference, so only there nulls are made false."""
+
+    def __init__(self, column: Column):
+        self.column = column
+
+    def __and__(self, other: Condition) -> Condition:
+        return Condition(self.column & other.column)
+
+    def __or__(self, other: Condition) -> Condition:
+        return Condition(self.column | other.column)
+
+    def __invert__(self) -> Condition:
+        return Condition(~self.flag())
+
+    def flag(self) -> Column:
+        """As a value: true or false."""
+        return F.coalesce(self.column, F.lit(False))
+
+
 def literal(kind: str, value: Any) -> Any:
     """value as the type's literal; refuses those of another type."""
     if value is None:
@@ -79,20 +100,20 @@ class Field:
             raise FilterError("a list of values is needed, not empty")
         return F.array(*(F.lit(literal(kind, v)) for v in values)).cast(f"array<{TYPES[kind].simpleString()}>")
 
-    def compare(self, op: str, value: Any) -> Column:
+    def compare(self, op: str, value: Any) -> Condition:
         self._allow(op)
         f = self.field
         if f.type == "array":
-            return sure(COMPARE[op](self.col, self._list(value)))
+            return Condition(COMPARE[op](self.col, self._list(value)))
         if f.type == "datetime":
             if not isinstance(value, str) or value.strip().isdigit():
                 raise FilterError(f"{value!r} is no date")
             if op in ("==", "=") and not dates.has_time(value):
-                return sure(self.col.between(*map(moment, dates.day(value))))
-            return sure(COMPARE[op](self.col, moment(dates.parse(value, op))))
-        return sure(COMPARE[op](self.col, F.lit(literal(f.type, value))))
+                return Condition(self.col.between(*map(moment, dates.day(value))))
+            return Condition(COMPARE[op](self.col, moment(dates.parse(value, op))))
+        return Condition(COMPARE[op](self.col, F.lit(literal(f.type, value))))
 
-    def between(self, low: Any, high: Any) -> Column:
+    def between(self, low: Any, high: Any) -> Condition:
         self._allow("between")
         if self.field.type == "datetime":
             a, b = dates.parse(low, ">="), dates.parse(high, "<=")
@@ -101,78 +122,74 @@ class Field:
         if a > b:
             raise FilterError("between: the first value is larger than the second")
         lit = moment if self.field.type == "datetime" else F.lit
-        return sure(self.col.between(lit(a), lit(b)))
+        return Condition(self.col.between(lit(a), lit(b)))
 
-    def before(self, value: str) -> Column:
+    def before(self, value: str) -> Condition:
         self._allow("before")
-        return sure(self.col < moment(dates.parse(value, "<")))
+        return Condition(self.col < moment(dates.parse(value, "<")))
 
-    def after(self, value: str) -> Column:
+    def after(self, value: str) -> Condition:
         self._allow("after")
-        return sure(self.col > moment(dates.parse(value, ">")))
+        return Condition(self.col > moment(dates.parse(value, ">")))
 
-    def like(self, pattern: str, ignore_case: bool = True) -> Column:
+    def like(self, pattern: str, ignore_case: bool = True) -> Condition:
         """Stored strings are in lower case, so the pattern is lowered unless told otherwise."""
         self._allow("like")
         if not isinstance(pattern, str) or not pattern:
             raise FilterError("like needs a pattern")
-        return sure(self.col.like(pattern.lower() if ignore_case else pattern))
+        return Condition(self.col.like(pattern.lower() if ignore_case else pattern))
 
-    def isin(self, values: list) -> Column:
+    def isin(self, values: list) -> Condition:
         self._allow("in")
         if self.field.type == "array":
             return self.contains_any(values)
         self._list(values)
-        return sure(self.col.isin(*(literal(self.field.type, v) for v in values)))
+        return Condition(self.col.isin(*(literal(self.field.type, v) for v in values)))
 
-    def not_in(self, values: list) -> Column:
+    def not_in(self, values: list) -> Condition:
         """Scalars: holds for values outside the list, not for missing ones. Arrays: none of the values is in it."""
         self._allow("not in")
         if self.field.type == "array":
             return ~self.contains_any(values)
         self._list(values)
-        return sure(~self.col.isin(*(literal(self.field.type, v) for v in values)))
+        return Condition(~self.col.isin(*(literal(self.field.type, v) for v in values)))
 
-    def contains(self, value: Any) -> Column:
+    def contains(self, value: Any) -> Condition:
         self._allow("array_contains")
         if isinstance(value, (list, tuple)):
             raise FilterError("array_contains takes one value")
-        return sure(F.array_contains(self.col, F.lit(literal(self.field.array_type, value)).cast(TYPES[self.field.array_type])))
+        return Condition(F.array_contains(self.col, F.lit(literal(self.field.array_type, value)).cast(TYPES[self.field.array_type])))
 
-    def contains_all(self, values: list) -> Column:
+    def contains_all(self, values: list) -> Condition:
         self._allow("array_contains_all")
-        return sure(F.size(F.array_except(self._list(values), self.col)) == 0)
+        return Condition(F.size(F.array_except(self._list(values), self.col)) == 0)
 
-    def contains_any(self, values: list) -> Column:
+    def contains_any(self, values: list) -> Condition:
         self._allow("array_contains_any")
-        return sure(F.arrays_overlap(self.col, self._list(values)))
+        return Condition(F.arrays_overlap(self.col, self._list(values)))
 
-    def includes(self, value: Any) -> Column:
+    def includes(self, value: Any) -> Condition:
         """A list: all of it is in the array; else the value is."""
         return self.contains_all(value) if isinstance(value, (list, tuple)) else self.contains(value)
 
-    def does_not_include(self, value: Any) -> Column:
+    def does_not_include(self, value: Any) -> Condition:
         """A list: none of it is in the array."""
         return ~(self.contains_any(value) if isinstance(value, (list, tuple)) else self.contains(value))
 
-    def length(self, op: str, n: int) -> Column:
+    def length(self, op: str, n: int) -> Condition:
         self._allow("array_length")
         if isinstance(n, bool) or not isinstance(n, int) or not 0 <= n <= self.field.limit:
             raise FilterError("a length is a whole number up to the field's max_length")
         if n == 0 and op in ("==", "=", "!="):
             raise FilterError("lengths are not compared with 0")
-        return sure(COMPARE[op](F.size(self.col), F.lit(n)))
-
-
-def sure(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
+        return Condition(COMPARE[op](F.size(self.col), F.lit(n)))
 
 
-def all_of(conditions) -> Column:
+def all_of(conditions) -> Condition:
     return reduce(operator.and_, conditions)
 
 
-def any_of(conditions) -> Column:
+def any_of(conditions) -> Condition:
     return reduce(operator.or_, conditions)
 
 
@@ -188,7 +205,7 @@ def boolean_word(text: str) -> bool:
 NAMES = {"eq": "==", "ne": "!=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
 
 
-def from_openai(spec: dict, schema: MetadataSchema, cols: dict[str, Column] | None = None) -> Column:
+def from_openai(spec: dict, schema: MetadataSchema, cols: dict[str, Column] | None = None) -> Condition:
     """{type: eq|ne|gt|gte|lt|lte|in|nin, key, value} or {type: and|or, filters: [...]}, to any depth."""
     kind = spec.get("type")
     if kind in ("and", "or"):
@@ -206,10 +223,10 @@ def from_openai(spec: dict, schema: MetadataSchema, cols: dict[str, Column] | No
     raise FilterError(f"unknown filter type {kind}")
 
 
-def from_query_dsl(clauses: list[dict] | dict, schema: MetadataSchema, cols: dict[str, Column] | None = None) -> Column:
+def from_query_dsl(clauses: list[dict] | dict, schema: MetadataSchema, cols: dict[str, Column] | None = None) -> Condition:
     """term, terms, range, wildcard and bool (must, filter, must_not, should with minimum_should_match) clauses; a list is a conjunction."""
     if isinstance(clauses, list):
-        return all_of([from_query_dsl(c, schema, cols) for c in clauses]) if clauses else F.lit(True)
+        return all_of([from_query_dsl(c, schema, cols) for c in clauses]) if clauses else Condition(F.lit(True))
     (kind, body), *rest = clauses.items()
     if rest:
         raise FilterError("a clause has one kind")
@@ -218,8 +235,8 @@ def from_query_dsl(clauses: list[dict] | dict, schema: MetadataSchema, cols: dic
         parts = again("must") + again("filter") + [~c for c in again("must_not")]
         if should := again("should"):
             need = body.get("minimum_should_match", 0 if parts else 1)
-            parts.append(reduce(operator.add, (c.cast("int") for c in should)) >= need)
-        return all_of(parts) if parts else F.lit(True)
+            parts.append(Condition(reduce(operator.add, (c.flag().cast("int") for c in should)) >= need))
+        return all_of(parts) if parts else Condition(F.lit(True))
     (name, value), *_ = body.items()
     f = Field(schema, name, (cols or {}).get(name))
     if kind == "term":
@@ -233,7 +250,7 @@ def from_query_dsl(clauses: list[dict] | dict, schema: MetadataSchema, cols: dic
     raise FilterError(f"unknown clause {kind}")
 
 
-def per_collection(build, schemas: dict[str, MetadataSchema], partial: bool = False) -> dict[str, Column]:
+def per_collection(build, schemas: dict[str, MetadataSchema], partial: bool = False) -> dict[str, Condition]:
     """build(schema) for each collection. Strict: all must allow the condition; partial: those that do not are left out, one must."""
     found, refused = {}, {}
     for name, schema in schemas.items():

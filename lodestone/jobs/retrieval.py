@@ -38,7 +38,7 @@ def knn_cosine_topk(spark, sf_dir):
 
 @query(f"SELECT vec_id, label, round(d, 6) AS distance FROM (SELECT vec_id, label, {L2} AS d, row_number() OVER (ORDER BY {L2}, vec_id) AS rank FROM embeddings WHERE label IN (1, 2, 3)) WHERE rank <= 10")
 def knn_filtered(spark, sf_dir):
-    rows = search.search_one(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, condition=Field(LABEL, "label").isin([1, 2, 3]))
+    rows = search.search_one(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10, condition=Field(LABEL, "label").isin([1, 2, 3]).column)
     return rows.select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
