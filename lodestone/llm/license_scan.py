@@ -76,7 +76,7 @@ def canonical_lines(text: Column) -> Column:
     x = reduce(lambda x, s: F.replace(x, F.lit(s[0]), F.lit(s[1])), SPELLINGS[:-1], F.lower(text))
     x = F.regexp_replace(F.regexp_replace(x, COPYRIGHT, "$1"), RESERVED, "$1")
     x = F.regexp_replace(F.replace(x, F.lit(SPELLINGS[-1][0]), F.lit(SPELLINGS[-1][1])), MARKS, " ")
-    return F.filter(F.transform(F.split(x, "\n", -1), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(x, "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def whole(lines: Column) -> Column:
