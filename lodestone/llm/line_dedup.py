@@ -20,6 +20,8 @@ from . import common
 from .quality_rules import let
 
 MODULUS, FACTOR = 3, 31
+#: Columns on the way, named so that a table is unlikely to have them.
+HASH, GONE, OWN_ID, OWN_HASH = "__line_hash", "__line_gone", "__line_doc_id", "__line_doc_hash"
 
 
 def line_number(line: Column) -> Column:
@@ -46,42 +48,42 @@ def piece(lines: Column, start: Column, n: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, _h, text. Rows: doc_id, _h, start, n: the occurrences to remove."""
+    """docs: doc_id, HASH, text. Rows: doc_id, HASH, start, n: the occurrences to remove."""
     lines = F.split("text", "\n", -1)
     several = let(lines, lambda x: F.transform(F.filter(chunks(x), lambda c: c["n"] > 1), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(piece(x, c["start"], c["n"])).alias("hash"))))
-    rows = docs.where("text is not null").select("doc_id", "_h", F.explode(several).alias("c")).select("doc_id", "_h", "c.*")
+    rows = docs.where("text is not null").select("doc_id", HASH, F.explode(several).alias("c")).select("doc_id", HASH, "c.*")
     rows = common.materialize(rows, "line-chunks")
-    own = F.struct("doc_id", "_h", "start")
+    own = F.struct("doc_id", HASH, "start")
     again = common.materialize(rows.groupBy("hash").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first <> last").select("hash", "first"), "line-repeats")
     found = rows.join(again.hint("merge"), "hash").withColumn("owner", own == F.col("first"))
-    found = common.materialize(found.select("doc_id", "_h", "start", "n", "hash", "owner").distinct(), "line-occurrences")
+    found = common.materialize(found.select("doc_id", HASH, "start", "n", "hash", "owner").distinct(), "line-occurrences")
     common.drop(rows, again)
-    places = found.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", "n", "hash", "owner")).alias("places")).withColumnsRenamed({"doc_id": "_d", "_h": "_dh"})
-    same = docs["doc_id"].eqNullSafe(places["_d"]) & (docs["_h"] == places["_dh"])
-    texts = docs.join(places.hint("merge"), same).dropDuplicates(["doc_id", "_h"])
+    places = found.groupBy("doc_id", HASH).agg(F.collect_list(F.struct("start", "n", "hash", "owner")).alias("places")).withColumnsRenamed({"doc_id": OWN_ID, HASH: OWN_HASH})
+    same = docs["doc_id"].eqNullSafe(places[OWN_ID]) & (docs[HASH] == places[OWN_HASH])
+    texts = docs.join(places.hint("merge"), same).dropDuplicates(["doc_id", HASH])
     cut = let(lines, lambda x: F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), p["hash"].alias("hash"), p["owner"].alias("owner"), piece(x, p["start"], p["n"]).alias("bytes"))))
-    texts = texts.select("doc_id", "_h", F.explode(cut).alias("c")).select("doc_id", "_h", "c.*")
+    texts = texts.select("doc_id", HASH, F.explode(cut).alias("c")).select("doc_id", HASH, "c.*")
     texts = common.materialize(texts, "line-texts")
     owners = texts.where("owner").select("hash", F.col("bytes").alias("first_bytes"))
-    return texts.where("not owner").join(owners.hint("merge"), "hash").where("bytes = first_bytes").select("doc_id", "_h", "start", "n")
+    return texts.where("not owner").join(owners.hint("merge"), "hash").where("bytes = first_bytes").select("doc_id", HASH, "start", "n")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with n_lines, n_removed (lines), and text without what was removed; other columns as they are."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*names, F.xxhash64("text").alias("_h"))
-    gone = repeated_chunks(keyed.select("doc_id", "_h", "text")).groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
-    gone = gone.withColumnsRenamed({"doc_id": "_d", "_h": "_dh"})
-    rows = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["_d"]) & (keyed["_h"] == gone["_dh"]), "left")
-    out_lines = F.flatten(F.transform("_gone", lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))
+    keyed = docs.select(*names, F.xxhash64("text").alias(HASH))
+    gone = repeated_chunks(keyed.select("doc_id", HASH, "text")).groupBy("doc_id", HASH).agg(F.collect_list(F.struct("start", "n")).alias(GONE))
+    gone = gone.withColumnsRenamed({"doc_id": OWN_ID, HASH: OWN_HASH})
+    rows = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone[OWN_ID]) & (keyed[HASH] == gone[OWN_HASH]), "left")
+    out_lines = F.flatten(F.transform(GONE, lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))
 
     def without(x: Column) -> Column:
         stay = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), out_lines)
         return F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n")
 
     lines = F.split("text", "\n", -1)
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(lines, without))
-    removed = F.coalesce(F.aggregate("_gone", F.lit(0).cast("long"), lambda a, g: a + g["n"]), F.lit(0).cast("long"))
+    text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(let(lines, without))
+    removed = F.coalesce(F.aggregate(GONE, F.lit(0).cast("long"), lambda a, g: a + g["n"]), F.lit(0).cast("long"))
     count = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     return rows.select(*(text.alias("text") if c == "text" else F.col(c) for c in names), count.alias("n_lines"), removed.alias("n_removed"))
 

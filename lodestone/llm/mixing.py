@@ -90,10 +90,37 @@ def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     up to the last word taken. Rows that agree in doc_id, source and text are drawn as one."""
     rid = F.struct("doc_id", F.xxhash64("text").alias("_text"), "source")
     slim = docs.select(rid.alias("rid"), "doc_id", "source", common.word_count(F.col("text")).alias("size"))
-    rows = mix(quality(slim, labels)).groupBy("rid").agg(F.max("epochs").alias("_epochs"), F.max("part").alias("_part"), F.max("size").alias("_size"))
-    keyed = docs.withColumn("_rid", rid)
-    out = keyed.join(rows, keyed["_rid"].eqNullSafe(rows["rid"])).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_epochs"))))
-    out = out.where((F.col("_copy") < F.col("_epochs")) | (F.col("_part") > 0))
+    rows = mix(quality(slim, labels)).groupBy("rid").agg(F.max("epochs").alias("__mix_epochs"), F.max("part").alias("__mix_part"), F.max("size").alias("__mix_size")).withColumnRenamed("rid", "__mix_row")
+    keyed = docs.withColumn("__mix_rid", rid)
+    out = keyed.join(rows, keyed["__mix_rid"].eqNullSafe(rows["__mix_row"])).withColumn("__mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_epochs"))))
+    out = out.where((F.col("__mix_copy") < F.col("__mix_epochs")) | (F.col("__mix_part") > 0))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + common.WORD), F.lit(0))
-    cut = F.when((F.col("_copy") < F.col("_epochs")) | (F.col("_part") >= F.col("_size")), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), ""))
+    cut = F.when((F.col("__mix_copy") < F.col("__mix_epochs")) | (F.col("__mix_part") >= F.col("__mix_size")), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("__mix_part").cast("int")), ""))
     return out.select(*(cut.alias(c) if c == "text" else F.length(cut).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+SQL = rf"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{common.WORD}')), 0) AS BIGINT) AS size FROM documents),
+best AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
+keyed AS (
+  SELECT s.doc_id, source, size, -ln((CAST('0x' || substr(md5(CAST(s.doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / {float(16**13)!r}) / CASE WHEN q > 0 THEN {GOOD} WHEN q <= 0 THEN {BAD} ELSE 1.0 END AS key
+  FROM sized s LEFT JOIN best b ON s.doc_id = b.doc_id),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         list_extract([{", ".join(map(str, WEIGHTS))}], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS INT)) AS share
+  FROM keyed GROUP BY source),
+filled AS (
+  SELECT *, {MAX_EPOCHS}.0 * source_size / share AS ratio,
+         (sum(source_size) OVER () - coalesce(sum({MAX_EPOCHS}.0 * source_size) OVER w, 0)) / (sum(share) OVER () - coalesce(sum(share) OVER w, 0)) AS level
+  FROM sources WINDOW w AS (ORDER BY {MAX_EPOCHS}.0 * source_size / share, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+water AS (SELECT level FROM filled WHERE ratio > level ORDER BY ratio, source NULLS LAST LIMIT 1),
+goals AS (SELECT source, source_size, least({MAX_EPOCHS}.0 * source_size, share * (SELECT level FROM water)) AS target FROM sources),
+placed AS (
+  SELECT k.doc_id, k.size, g.source_size, g.target, least({MAX_EPOCHS}, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END) AS epochs,
+         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed k JOIN goals g ON k.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       CAST(epochs * size + least(size, greatest(0, CASE WHEN epochs >= {MAX_EPOCHS} THEN 0 ELSE floor(target - epochs * source_size) END - before)) AS BIGINT) AS taken
+FROM placed
+"""

@@ -55,10 +55,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
     symbols = F.length(F.regexp_replace(whole, r"[^#*$%&|<>]+", "")).cast("long")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    out = docs.select(*(c for c in docs.columns if c not in names), counted.alias("_counted"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"))
+    out = docs.select(*(c for c in docs.columns if c not in names), counted.alias("__counted"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"))
     for c in ("n_words", "word_chars", "n_repeat_words"):
-        out = out.withColumn(c, F.col(f"_counted.{c}"))
-    return out.drop("_counted").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
+        out = out.withColumn(c, F.col(f"__counted.{c}"))
+    return out.drop("__counted").withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
 
 
 def host_verdicts(rows: DataFrame, host: str = "source", failed: str = "base_failed", max_rate: float = MAX_RATE) -> DataFrame:
@@ -81,12 +81,41 @@ def beta_prior(mean: float | None, var: float | None) -> tuple[float, float]:
 
 def judge(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """docs' rows with the measures, host_rate and kept; text itself is left out."""
-    rows = common.materialize(measures(docs).drop("text"), "quality")
-    hosts = common.materialize(host_verdicts(rows, host, max_rate=max_rate), "hosts").withColumnRenamed(host, "_host")
-    out = rows.join(hosts.select("_host", "host_rate", "host_failed"), rows[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
+    rows = common.materialize(measures(docs.drop("host_rate", "host_failed", "kept")).drop("text"), "quality")
+    hosts = common.materialize(host_verdicts(rows, host, max_rate=max_rate), "hosts").withColumnRenamed(host, "__host")
+    out = rows.join(hosts.select("__host", "host_rate", "host_failed"), rows[host].eqNullSafe(hosts["__host"]), "left").drop("__host")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judge(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{common.WORD}') AS words FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(words[i + 1:i + {WINDOW}], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(len(words) - {WINDOW - 1})) AS i FROM docs WHERE len(words) >= {WINDOW})),
+twice AS (SELECT doc_id, w FROM windows GROUP BY doc_id, w HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM (
+    SELECT x.doc_id, x.i, unnest(range({WINDOW})) AS j FROM windows x JOIN twice y ON x.doc_id = y.doc_id AND x.w = y.w) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '{common.WORD}') GROUP BY doc_id),
+measured AS (
+  SELECT d.doc_id, d.source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN lines l ON d.doc_id = l.doc_id),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM measured),
+hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS k FROM judged GROUP BY source),
+fit AS (SELECT avg(k * 1.0 / n) AS m, coalesce(var_samp(k * 1.0 / n), 0) AS v FROM hosts),
+prior AS (
+  SELECT CASE WHEN ok THEN m * (m * (1 - m) / v - 1) ELSE 1 END AS a, CASE WHEN ok THEN (1 - m) * (m * (1 - m) / v - 1) ELSE 1 END AS b
+  FROM (SELECT m, v, m > 0 AND m < 1 AND v > 0 AND v < m * (1 - m) AS ok FROM fit)),
+verdicts AS (SELECT source, (k + a) / (n + a + b) > {MAX_RATE} AS host_failed FROM hosts CROSS JOIN prior)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept
+FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
+"""

@@ -16,6 +16,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_mixing": mixing.SQL,
+    "op4_host_rules": quality_rules.SQL,
     "op7_license_scan": license_scan.SQL,
     "op8_line_dedup": line_dedup.SQL,
 }

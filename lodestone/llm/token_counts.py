@@ -109,4 +109,5 @@ def count(docs: DataFrame, path: str, eod: int = 50256, block: int = BLOCK) -> D
     folder = common.new_path(spark, "token-files")
     order = write_token_files(docs, path, eod, folder)
     spans = scan(spark, folder, order.select("file").distinct(), eod, block=block)
+    common.remove(spark, folder)  # what scan() found is written
     return order.join(spans, ["file", "ordinal"]).select("doc_id", "n_tokens")
