@@ -29,10 +29,16 @@ UNDETERMINED = "und"
 
 def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw dictionary contents by language, the most frequent first, of labelled: text, lang. At most max_docs documents of a language reach the driver."""
-    rows = labelled.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, dict_bytes).alias("text"))
-    top = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= max_docs)
-    counts = labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").toLocalIterator()
-    found: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
+    counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").toLocalIterator()}
+    found: dict[str, list[bytes]] = {k: [] for k in counts}
+    if not counts:
+        return {}
+    # Of a language with many documents only a share is looked at, by hash, so that what is shuffled does not grow.
+    shares = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * max_docs / n))))
+    h = F.xxhash64("text")
+    rows = labelled.where("text is not null and lang is not null").where(F.pmod(h, F.lit(1 << 30)) <= shares[F.col("lang")] * (1 << 30))
+    rows = rows.groupBy("lang", h.alias("h")).agg(F.min(F.substring("text", 1, dict_bytes)).alias("text"))  # copies count once
+    top = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= max_docs)
     for r in top.orderBy("lang", "n").select("lang", "text").toLocalIterator():
         found[r["lang"]].append(r["text"].lower().encode())
     share = lambda texts: max(1, dict_bytes // len(texts))
