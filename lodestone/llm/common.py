@@ -72,10 +72,12 @@ def slices(sizes, most: int):
 
 
 def ordered_parts(df: DataFrame, *order: Column, tag: str) -> DataFrame:
-    """df dealt to partitions by ranges of order, written with its partition's number as part: a stable total order,
-    since later jobs read the numbers and never deal the rows again."""
-    out = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    return materialize(out, tag)
+    """df, of slim rows, dealt to partitions by ranges of order, written with its partition's number as part: a stable
+    total order, since later jobs read the numbers and never deal the rows again."""
+    once = materialize(df, f"{tag}-rows")  # ranges are sampled first, which would work out df twice
+    out = materialize(once.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), tag)
+    drop(once)
+    return out
 
 
 def part_offsets(df: DataFrame, value: Column) -> DataFrame:
