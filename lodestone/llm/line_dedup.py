@@ -60,12 +60,12 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     common.drop(rows, again)
     places = found.groupBy("doc_id", HASH).agg(F.collect_list(F.struct("start", "n", "hash", "owner")).alias("places")).withColumnsRenamed({"doc_id": OWN_ID, HASH: OWN_HASH})
     same = docs["doc_id"].eqNullSafe(places[OWN_ID]) & (docs[HASH] == places[OWN_HASH])
-    texts = docs.join(places.hint("merge"), same).dropDuplicates(["doc_id", HASH])
+    texts = docs.join(places.hint("merge"), same)
     cut = let(lines, lambda x: F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), p["hash"].alias("hash"), p["owner"].alias("owner"), piece(x, p["start"], p["n"]).alias("bytes"))))
     texts = texts.select("doc_id", HASH, F.explode(cut).alias("c")).select("doc_id", HASH, "c.*")
     texts = common.materialize(texts, "line-texts")
-    owners = texts.where("owner").select("hash", F.col("bytes").alias("first_bytes"))
-    return texts.where("not owner").join(owners.hint("merge"), "hash").where("bytes = first_bytes").select("doc_id", HASH, "start", "n")
+    owners = texts.where("owner").select("hash", F.col("bytes").alias("first_bytes")).dropDuplicates(["hash"])
+    return texts.where("not owner").join(owners.hint("merge"), "hash").where("bytes = first_bytes").select("doc_id", HASH, "start", "n").distinct()
 
 
 def dedup(docs: DataFrame) -> DataFrame:
