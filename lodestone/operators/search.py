@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import operator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -83,20 +87,25 @@ def terms(docs: DataFrame, pk: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def bm25(docs: DataFrame, query_terms: list[str], k1: float = 1.2, b: float = 0.75, pk: str = "doc_id", text: str = "text") -> DataFrame:
-    """pk, score of documents with a query term. Only rows of the query's terms are kept before any shuffle; lengths and
-    frequencies come from one pass over the words of each row."""
+    """pk, score of documents with a query term. Words are split once a row, inside the row, and nothing but the rows with a
+    query's term goes on; the corpus' statistics are one row."""
     asked = sorted({t.lower() for t in query_terms})
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    counted = docs.where(F.col(text).isNotNull()).select(pk, words.alias("w"))
-    counted = counted.select(pk, F.size("w").cast("double").alias("dl"), *((F.size("w") - F.size(F.array_remove("w", t))).cast("double").alias(f"tf{i}") for i, t in enumerate(asked)))
-    stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(asked))))
-    rows = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(asked)))).join(F.broadcast(stats))  # one row
+
+    def counts(w: Column) -> Column:
+        return F.struct(F.size(w).cast("double").alias("dl"), *((F.size(w) - F.size(F.array_remove(w, t))).cast("double").alias(f"tf{i}") for i, t in enumerate(asked)))
+
+    # inline() of an array of one struct: the counts become columns that are worked out once, not once for each use.
+    counted = docs.where(F.col(text).isNotNull()).select(pk, F.inline(F.transform(F.array(words), counts)))
+    found = [F.col(f"tf{i}") > 0 for i in range(len(asked))]
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(c).alias(f"df{i}") for i, c in enumerate(found))).first()
+    n, avgdl = float(stats["n"]), float(stats["avgdl"] or 1.0)
 
     def part(i: int) -> Column:
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        tf, df = F.col(f"tf{i}"), float(stats[f"df{i}"])
+        return math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
 
-    return rows.select(pk, sum((part(i) for i in range(1, len(asked))), part(0)).alias("score"))
+    return counted.where(reduce(operator.or_, found)).select(pk, reduce(operator.add, map(part, range(len(asked)))).alias("score"))
 
 
 def reciprocal_rank_fusion(ranked: list[DataFrame], constant: int = 60, pk: str = "pk") -> DataFrame:
@@ -111,9 +120,9 @@ def weighted_fusion(dense: DataFrame, sparse: DataFrame, w_dense: float = 0.5, w
     """pk, score: each list's scores brought to 0..1 by its least and largest, weighted and added; absent ones count 0."""
 
     def scaled(rows: DataFrame, name: str) -> DataFrame:
-        ends = rows.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-        unit = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
-        return rows.join(F.broadcast(ends)).select(pk, unit.alias(name))  # one row
+        whole = Window.partitionBy(F.lit(0))  # a list is a top k
+        lo, hi = F.min("score").over(whole), F.max("score").over(whole)
+        return rows.select(pk, F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(1.0).alias(name))
 
     both = scaled(dense, "d").join(scaled(sparse, "s"), pk, "full")
     return both.select(pk, (w_dense * F.coalesce("d", F.lit(0.0)) + w_sparse * F.coalesce("s", F.lit(0.0))).alias("score"))
@@ -122,8 +131,8 @@ def weighted_fusion(dense: DataFrame, sparse: DataFrame, w_dense: float = 0.5, w
 def lexical_score(query_terms: list[str], text: Column) -> Column:
     """A stand-in for a cross-encoder's logit: ten times the share of the query's terms that text has, less five."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    hits = sum((F.array_contains(words, t.lower()).cast("int") for t in query_terms), F.lit(0))
-    return 10.0 * hits / len(query_terms) - 5.0
+    asked = sorted({t.lower() for t in query_terms})
+    return 10.0 * F.size(F.array_intersect(words, F.array(*map(F.lit, asked)))) / len(asked) - 5.0
 
 
 def normalize(rows: DataFrame, score: str = "score") -> DataFrame:
