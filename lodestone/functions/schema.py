@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 RESERVED = ("type", "subtype", "location")
 SYSTEM = ("filename", "page_number", "start_time", "end_time")
 TYPES = {"string": T.StringType(), "datetime": T.TimestampType(), "number": T.DoubleType(), "integer": T.LongType(), "float": T.DoubleType(), "boolean": T.BooleanType()}
+# The words for booleans.
 TRUE, FALSE = ("true", "1", "on"), ("false", "0", "off")
 MAX_STRING, MAX_ARRAY = 65535, 1000
 EQUAL, ORDER, LIST = ("==", "=", "!="), (">", ">=", "<", "<=", "between"), ("in", "not in")
-#: Operators that each type allows.
+#: The operators that each type allows.
 OPERATORS = {
     "string": (*EQUAL, "like", *LIST),
     "datetime": (*EQUAL, *ORDER, "before", "after"),

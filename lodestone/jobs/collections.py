@@ -172,3 +172,22 @@ def object_store_prefix(spark, sf_dir):
 def source_blocks(spark, sf_dir):
     name = F.concat(F.lit("/data/in/"), F.col("doc_id").cast("string"), F.lit(".TXT"))
     return table(spark, sf_dir, "documents").select("doc_id", T.source_block(T.basename(name), F.col("text")).alias("block"), T.extension(name).alias("ext"))
+
+
+@query(f"""WITH {CHUNKS}, kept AS (SELECT * FROM chunks WHERE collection_name NOT IN ('3', '7') AND NOT (collection_name = '5' AND document_name IN (SELECT 'order-' || CAST(o_orderkey AS VARCHAR) || '.pdf' FROM orders WHERE o_orderstatus = 'P')))
+SELECT collection_name, count(*) AS n_chunks, CAST(count(DISTINCT document_name) AS BIGINT) AS n_documents FROM kept GROUP BY 1""")
+def collection_store(spark, sf_dir):
+    """All chunks go into a store of collections, from which two collections and the pending orders of a third are deleted."""
+    import tempfile
+    import uuid
+
+    from ..sources.store import ParquetStore
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    store = ParquetStore(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}", "pk long, document_name string, l_quantity double, collection_name string")
+    store.create_all(["3", "5", "7"])
+    store.add(chunks(spark, sf_dir).select("pk", "document_name", "l_quantity", "collection_name").repartition("collection_name"))
+    store.drop(["3", "7"])
+    pending = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("document_name"))
+    store.replace_without("5", pending)
+    return store.chunks().groupBy("collection_name").agg(F.count("*").alias("n_chunks"), F.count_distinct("document_name").alias("n_documents"))

@@ -8,7 +8,7 @@ from ..functions.predicates import Field
 from ..functions.schema import MetadataField, MetadataSchema
 from ..functions.text import sigmoid
 from ..operators import citations as C
-from ..operators import evaluation, search
+from ..operators import evaluation, loops, search
 from .registry import query, table
 
 LABEL = MetadataSchema((MetadataField("label", "integer"),))
@@ -198,3 +198,14 @@ def citation_contents(spark, sf_dir):
     hits = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), kind.alias("doc_type"), F.col("text").alias("content"))
     payloads = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("content"))
     return C.citations(hits, payloads).select("key", "content")
+
+
+@query("""WITH q AS (SELECT conv_id AS question_id, role AS question FROM conversations WHERE turn = 0),
+hits AS (SELECT question_id, 0 AS depth, l.l_orderkey * 10 + l.l_linenumber AS pk, l.l_shipmode AS content FROM q JOIN (SELECT *, l_returnflag AS l_shipmode FROM lineitem) l ON l.l_orderkey = q.question_id)
+SELECT question_id, CAST(0 AS BIGINT) AS depth, min(pk) AS pk, content FROM hits GROUP BY 1, 4""")
+def query_decomposition(spark, sf_dir):
+    """Conversations as questions, orders of their number as what is found: two depths, of which the second finds nothing new."""
+    asked = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("question_id"), F.col("role").alias("question"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pk"), F.col("l_returnflag").alias("content"))
+    found = loops.decompose(asked, lambda q: F.split(q, " "), lambda q: q.join(lines, "question_id").select("question_id", "pk", "content"), lambda q, c: F.concat_ws(" ", q, c), 2)
+    return found.select("question_id", "depth", "pk", "content")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, chat, summarize
+from ..operators import catalog, chat, loops, summarize
 from ..operators.chunking import chunk, page_groups
 from .registry import query, table
 
@@ -175,3 +175,33 @@ def assemble_documents(spark, sf_dir):
     """Even turns as the pages of a conversation, put together in order."""
     rows = table(spark, sf_dir, "conversations").where("turn % 2 = 0").withColumn("text", F.coalesce("text", F.lit("")))
     return summarize.assemble(rows, ["conv_id"], "turn", "text")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM conversations WHERE length(text) < 200)
+SELECT a.conv_id, round(CASE WHEN greatest(length(a.text), length(b.text)) = 0 THEN 1 ELSE 1 - levenshtein(a.text, b.text) * 1.0 / greatest(length(a.text), length(b.text)) END, 6) AS ratio
+FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 2""")
+def page_similarity(spark, sf_dir):
+    """How alike the first turn of a conversation and the third one are, where both are short; signs beyond ASCII count alike."""
+    rows = table(spark, sf_dir, "conversations").where("length(text) < 200").select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "?").alias("text"))
+    both = rows.where("turn = 0").join(rows.where("turn = 2").select("conv_id", F.col("text").alias("other")), "conv_id")
+    return both.select("conv_id", F.round(loops.similarity_ratio(F.col("text"), F.col("other")), 6).alias("ratio"))
+
+
+@query("""SELECT d.source || '/' || CAST(d.doc_id AS VARCHAR) AS name, CASE WHEN l.toxic = 1 THEN 'FAILED' WHEN d.doc_id % 2 = 0 THEN 'SUCCESS' ELSE 'NOT_FOUND' END AS status,
+  CASE WHEN coalesce(l.toxic, 0) <> 1 AND d.doc_id % 2 = 0 THEN substr(d.text, 1, 50) END AS summary
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def summary_lookup(spark, sf_dir):
+    """Documents with a toxic label failed, of the others every second one has its summary stored."""
+    docs = table(spark, sf_dir, "documents").withColumn("name", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
+    status = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("name", F.when(F.col("toxic") == 1, "FAILED").otherwise("SUCCESS").alias("status"))
+    stored = docs.where("doc_id % 2 = 0").select("name", F.substring("text", 1, 50).alias("summary"))
+    return loops.summary_lookup(docs.select("name"), status, stored)
+
+
+@query("""SELECT conv_id, turn, CASE WHEN contains(text, '2') THEN 2 WHEN contains(text, '1') THEN 1 ELSE 2 END AS score, CAST(CASE WHEN contains(text, '2') OR contains(text, '1') THEN 0 ELSE 1 END AS BIGINT) AS tries FROM conversations""")
+def reflection_loop(spark, sf_dir):
+    """Answers are scored by the first of 2, 1 and 0 they hold and tried again, with a 2 behind them, while the score is low."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("q").alias("question"), F.col("text").alias("answer"))
+    score = lambda q, a: F.coalesce(T.first_score(a), F.lit(0))
+    out = loops.reflect(rows, score, lambda q, a: F.concat(F.coalesce(a, F.lit("")), F.lit(" 2")))
+    return out.select("conv_id", "turn", "score", "tries")

@@ -165,3 +165,37 @@ def test_stream_does_not_store_twice(spark, tmp_path):
     rows.select("collection_name", F.lit("a").alias("document_name"), "text", "ts").limit(1).write.mode("append").parquet(src)
     ingest.ingest(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), str(tmp_path / "ck"), 8, 0).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_store(spark, tmp_path):
+    from lodestone.functions.schema import MetadataField, MetadataSchema
+    from lodestone.sources.store import ParquetStore
+
+    store = ParquetStore(spark, f"file://{tmp_path}/s", "pk long, document_name string, collection_name string")
+    assert store.names() == [] and store.chunks().count() == 0
+    assert store.create("a", MetadataSchema((MetadataField("title"),))) == "created" and store.create("a") == "exists"
+    assert store.create_all(["b", "", "meta"])["b"] == "created" and store.names() == ["a", "b"]
+    assert [f.name for f in store.schema("a").fields][:2] == ["title", "filename"]
+    store.add(spark.createDataFrame([(1, "x", "a"), (2, "y", "a"), (3, "z", "b")], "pk long, document_name string, collection_name string"))
+    store.put_info("document", spark.createDataFrame([("a", "x", 5), ("a", "y", 6)], "collection_name string, document_name string, n long"))
+    store.put_info("document", spark.createDataFrame([("a", "x", 7)], "collection_name string, document_name string, n long"))
+    assert {(r["document_name"], r["n"]) for r in store.info("document", "n long").collect()} == {("x", 7), ("y", 6)}
+    store.replace_without("a", spark.createDataFrame([("x",), ("none",)], "document_name string"))
+    assert [r["pk"] for r in store.chunks(["a"]).collect()] == [2]
+    assert [r["document_name"] for r in store.info("document", "n long").collect()] == ["y"]
+    assert store.drop(["a", "c"]) == {"a": "deleted", "c": "not_found"}
+    assert store.names() == ["b"] and [r["pk"] for r in store.chunks().collect()] == [3] and store.info("document", "n long").count() == 0
+
+
+def test_loops(spark):
+    from lodestone.operators import loops
+
+    rows = spark.createDataFrame([("q", "bad"), ("q", "2 fine"), ("q", None)], "question string, answer string")
+    score = lambda q, a: F.coalesce(T.first_score(a), F.lit(0))
+    out = loops.reflect(rows, score, lambda q, a: F.lit("1"), threshold=2).collect()
+    assert sorted((r["score"], r["tries"]) for r in out) == [(1, 3), (1, 3), (2, 0)]
+    asked = spark.createDataFrame([(1, "a b")], "question_id long, question string")
+    found = loops.decompose(asked, lambda q: F.split(q, " "), lambda q: q.select("question_id", F.length("query").cast("long").alias("pk"), F.col("query").alias("content")), lambda q, c: F.when(c == "a", "more"), 3)
+    assert {(r["depth"], r["content"]) for r in found.collect()} == {(0, "a"), (0, "b"), (1, "more")}
+    r = spark.range(1).select(loops.similarity_ratio(F.lit("abcd"), F.lit("abxd")), loops.similarity_ratio(F.lit(""), F.lit(""))).first()
+    assert tuple(r) == (0.75, 1.0)
