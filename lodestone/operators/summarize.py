@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .models import Generator, first_sentences
 
 
@@ -38,24 +39,29 @@ def batch_numbers(lengths: Column, most: int) -> Column:
     return F.aggregate(lengths, start, step, lambda a: a["out"])
 
 
+def combined(summaries: Column, most: int, generate: Generator, max_chars: int) -> Column:
+    """The next level of an array of summaries: those of a batch, joined by blanks, make one."""
+    batches = batch_numbers(F.transform(summaries, lambda x: F.length(x).cast("long")), most)
+
+    def join(pairs: Column) -> Column:
+        batch = lambda b: F.array_join(F.transform(F.filter(pairs, lambda p: p["batch"] == b), lambda p: p["s"]), " ")
+        return F.transform(F.array_distinct(F.transform(pairs, lambda p: p["batch"])), lambda b: generate(batch(b), max_chars))
+
+    return let(F.zip_with(summaries, batches, lambda s, b: F.struct(s.alias("s"), b.alias("batch"))), join)
+
+
 def hierarchical(chunks: DataFrame, by: str, most: int, generate: Generator = first_sentences, max_chars: int = 200, levels: int = 8) -> DataFrame:
     """by, level, n_summaries, summary (null while there are several): each chunk is summarised, then batches of summaries, in
     order and of at most `most` characters, until one is left. The last level puts everything together, so it always ends.
-    All documents move up a level in one job."""
-    rows = chunks.select(by, F.col("chunk_no").cast("long").alias("n"), generate(F.col("chunk"), max_chars).alias("s"))
-    out = None
-    for level in range(levels):
-        ordered = F.array_sort(F.collect_list(F.struct("n", "s")))
-        docs = rows.groupBy(by).agg(ordered.alias("all"))
-        summary = F.when(F.size("all") == 1, F.col("all")[0]["s"])
-        done = docs.select(by, F.lit(level).cast("long").alias("level"), F.size("all").cast("long").alias("n_summaries"), summary.alias("summary"))
-        out = done if out is None else out.unionByName(done)
+    A document's summaries meet once; all levels are worked out inside its row."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("chunk_no").cast("long").alias("n"), generate(F.col("chunk"), max_chars).alias("s"))))
+    docs = chunks.groupBy(by).agg(F.transform(ordered, lambda x: x["s"]).alias("first"))
+
+    def from_level(level: int, s: Column) -> Column:
+        here = F.array(F.struct(F.lit(level).cast("long").alias("level"), F.size(s).cast("long").alias("n_summaries"), F.when(F.size(s) == 1, s[0]).alias("summary")))
         if level == levels - 1:
-            break
-        most_here = most if level < levels - 2 else 1 << 60
-        batches = batch_numbers(F.transform("all", lambda x: F.length(x["s"]).cast("long")), most_here)
-        rows = docs.where(F.size("all") > 1).select(by, F.explode(F.arrays_zip(F.col("all"), batches.alias("b"))).alias("x"))
-        rows = rows.select(by, F.col("x.b").alias("n"), F.col("x.all.n").alias("i"), F.col("x.all.s").alias("s"))
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ")
-        rows = rows.groupBy(by, "n").agg(joined.alias("s")).select(by, "n", generate(F.col("s"), max_chars).alias("s"))
-    return out
+            return here
+        limit = most if level < levels - 2 else 1 << 60
+        return F.when(F.size(s) > 1, F.concat(here, let(combined(s, limit, generate, max_chars), lambda x: from_level(level + 1, x)))).otherwise(here)
+
+    return docs.select(by, F.inline(let(F.col("first"), lambda x: from_level(0, x))))
