@@ -3,7 +3,11 @@
 A line's number is the head of its MD5; a rolling hash over the last two numbers ends a chunk where it is divisible by
 MODULUS, so boundaries move along with the text. Chunks of several lines that occur again anywhere are found by their hash,
 compared byte by byte with the first occurrence (smallest doc_id, then place) and removed unless they are it. Chunks of one
-line stay.
+line stay: that is what op8's SQL says. Such chunks miss most short passages, as boundaries depend on what stands around a
+passage. stage(), and with it the pipeline, therefore looks up passages(): beside the chunks every two neighbouring lines that
+have words, every line of over LONG words, and a text that is a single line; what any of them finds goes. Each passage of two
+lines or more consists of such pairs wherever it stands, so none is missed, and of each line one occurrence stays. A line of
+LONG words or fewer that is repeated alone, between lines that are not, stays.
 
 Null texts stay null and have no lines; an empty text has one empty line; a text of which all chunks go becomes empty; rows
 that share doc_id and text are one occurrence and are treated alike; texts of any length are taken whole; a chunk may occur in
@@ -13,13 +17,15 @@ the corpus, so none of it is broadcast at any size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .quality_rules import let
 
-MODULUS, FACTOR = 3, 31
+MODULUS, FACTOR, LONG = 3, 31, 50
 #: Columns on the way, named so that a table is unlikely to have them.
 HASH, GONE, OWN_ID, OWN_HASH = "__line_hash", "__line_gone", "__line_doc_id", "__line_doc_hash"
 
@@ -43,14 +49,35 @@ def chunks(lines: Column) -> Column:
     return let(F.transform(lines, line_number), by_numbers)
 
 
+def several_lines(lines: Column) -> Column:
+    """The chunks of more than one line, as (start, n)."""
+    return F.transform(F.filter(chunks(lines), lambda c: c["n"] > 1), lambda c: span(c["start"], c["n"]))
+
+
+def passages(lines: Column) -> Column:
+    """The spans that stage() looks up, as (start, n): they overlap."""
+
+    def by_words(counts: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(counts) - 1), lambda i: F.get(counts, i) > 0)
+        pairs = lambda x: F.filter(F.transform(x, lambda i, k: span(i, F.get(x, k + 1) - i + 1)), lambda p: p["n"].isNotNull())
+        alone = F.transform(F.filter(at, lambda i: (F.get(counts, i) > LONG) | (F.size(counts) == 1)), lambda i: span(i, F.lit(1)))
+        return F.array_distinct(F.concat(several_lines(lines), let(at, pairs), alone))
+
+    return let(F.transform(lines, common.word_count), by_words)
+
+
+def span(start: Column, n: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), n.cast("int").alias("n"))
+
+
 def piece(lines: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, n), "\n")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, spans: Callable[[Column], Column]) -> DataFrame:
     """docs: doc_id, HASH, text. Rows: doc_id, HASH, start, n: the occurrences to remove."""
     lines = F.split("text", "\n", -1)
-    several = let(lines, lambda x: F.transform(F.filter(chunks(x), lambda c: c["n"] > 1), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(piece(x, c["start"], c["n"])).alias("hash"))))
+    several = let(lines, lambda x: F.transform(spans(x), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(piece(x, c["start"], c["n"])).alias("hash"))))
     rows = docs.where("text is not null").select("doc_id", HASH, F.explode(several).alias("c")).select("doc_id", HASH, "c.*")
     rows = common.materialize(rows, "line-chunks")
     own = F.struct("doc_id", HASH, "start")
@@ -68,14 +95,15 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return texts.where("not owner").join(owners.hint("merge"), "hash").where("bytes = first_bytes").select("doc_id", HASH, "start", "n").distinct()
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with n_lines, n_removed (lines), and text without what was removed; other columns as they are."""
+def dedup(docs: DataFrame, spans: Callable[[Column], Column] = several_lines) -> DataFrame:
+    """docs with n_lines, n_removed (lines), and text without what was removed; other columns as they are. spans makes the
+    (start, n) of a text's lines that are looked up."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*names, F.xxhash64("text").alias(HASH))
-    gone = repeated_chunks(keyed.select("doc_id", HASH, "text")).groupBy("doc_id", HASH).agg(F.collect_list(F.struct("start", "n")).alias(GONE))
+    gone = repeated_chunks(keyed.select("doc_id", HASH, "text"), spans).groupBy("doc_id", HASH).agg(F.collect_list(F.struct("start", "n")).alias(GONE))
     gone = gone.withColumnsRenamed({"doc_id": OWN_ID, HASH: OWN_HASH})
     rows = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone[OWN_ID]) & (keyed[HASH] == gone[OWN_HASH]), "left")
-    out_lines = F.flatten(F.transform(GONE, lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))
+    out_lines = F.array_distinct(F.flatten(F.transform(GONE, lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1))))
 
     def without(x: Column) -> Column:
         stay = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), out_lines)
@@ -83,7 +111,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     lines = F.split("text", "\n", -1)
     text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(let(lines, without))
-    removed = F.coalesce(F.aggregate(GONE, F.lit(0).cast("long"), lambda a, g: a + g["n"]), F.lit(0).cast("long"))
+    removed = F.coalesce(F.when(F.col(GONE).isNotNull(), F.size(out_lines)), F.lit(0)).cast("long")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     return rows.select(*(text.alias("text") if c == "text" else F.col(c) for c in names), count.alias("n_lines"), removed.alias("n_removed"))
 
@@ -92,9 +120,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8 with the spans of the pipeline's stage; it has no SQL."""
+    return dedup(common.documents(spark, sf_dir).select("doc_id", "text"), passages).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def stage(docs: DataFrame) -> DataFrame:
-    """docs with what dedup() leaves of their texts; n_chars follows."""
-    out = dedup(docs)
+    """docs with what dedup() leaves of their texts where all passages are looked up; n_chars follows."""
+    out = dedup(docs, passages)
     return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

@@ -11,6 +11,7 @@ QUERIES = {
     "op6_language_id": lang_id.op6,
     "op7_license_scan": license_scan.op7,
     "op8_line_dedup": line_dedup.op8,
+    "op8_line_dedup_passages": line_dedup.op8_passages,
     "op9_token_binary": token_binary.op9,
     "op10_ann": ann.op10,
 }

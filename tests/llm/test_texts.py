@@ -128,6 +128,43 @@ def test_lines_against_brute_force(spark):
     assert got == want and sum(n for _, n in want.values()) > 200
 
 
+def without_repeats(rows):
+    """doc_id -> text, by whole spans of lines and without hashes; rows in the order of doc_id."""
+    first, out = {}, {}
+    for i, text in rows:
+        lines, gone, spans, place = text.split("\n"), set(), set(), 0
+        for c in chunked(text):
+            spans |= {(place, len(c))} if len(c) > 1 else set()
+            place += len(c)
+        at = [k for k, x in enumerate(lines) if words(x)]
+        spans |= {(a, b - a + 1) for a, b in zip(at, at[1:])} | {(k, 1) for k in at if len(words(lines[k])) > 50 or len(lines) == 1}
+        for start, n in sorted(spans):
+            if first.setdefault(tuple(lines[start : start + n]), (i, start)) != (i, start):
+                gone |= set(range(start, start + n))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_short_passages_go_wherever_they_stand(spark):
+    rng = random.Random(7)
+    new = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[new(60)], [new(8), new(9)], [new(70), "", new(5)], [new(4), new(4), new(4)], [new(12) for _ in range(9)]]
+    rows = [(0, new(30)), (1, new(51))]
+    for i in range(2, 60):
+        own = [rng.choice(["", new(6), new(55)]) for _ in range(rng.randint(2, 6))]
+        at = rng.randint(1, len(own) - 1)
+        rows.append((i, "\n".join(own[:at] + [new(3)] + passages[i % 5] + [new(3)] + own[at:])))
+    rows += [(60, rows[0][1]), (61, rows[1][1]), (62, ""), (63, "\n\n"), (64, "\n\n")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(5)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.stage(docs).collect()}
+    assert got == without_repeats(rows)
+    for k, lines in enumerate(passages):
+        holders = [i for i, t in rows if "\n".join(lines) in t]
+        assert holders[0] == 2 + (k - 2) % 5 and len(holders) > 10
+        assert all((x in got[i].split("\n")) == (i == holders[0]) for i in holders for x in lines if x)
+    assert got[0] and got[1] and not got[60] and not got[61] and got[63] == "\n\n"
+
+
 def test_lines_of_awkward_rows(spark):
     docs = awkward(spark, extra=True)
     out = line_dedup.stage(docs)
