@@ -4,7 +4,9 @@ Each language gets a zstandard raw-content dictionary made of labelled texts; a
 to the one that makes it smallest. The score is the gain over the second smallest, as a share of what the text takes without a
 dictionary's help; texts whose score is under min_score are rejected. Texts that are null or have no letter are `und`, score 0
 and rejected; ties go to the language with more labelled rows; case
-does not count; long texts are encoded whole; equal rows agree; an empty table, or one
+does not count; texts of any length are encoded whole, but in blocks of about BLOCK bytes whose sizes are added up, each with
+the dictionary before it: what a dictionary saves in one encoding is bounded, so without blocks the score would fall with the
+length and min_score would turn into a limit on it; equal rows agree; an empty table, or one
 without labelled rows, gives `und` for all its rows. Extra columns are kept, the result's names win.
 
 The dictionaries are fitted on a bounded sample: of each language max_docs documents, chosen by a hash, of which dict_bytes
@@ -23,6 +25,7 @@ from pyspark.sql import types as T
 from . import common
 
 MAX_DOCS, DICT_BYTES, LEVEL, MIN_SCORE = 200, 60_000, 6, 0.001
+BLOCK = 16_384
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
@@ -45,6 +48,12 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, dict_bytes: int = DICT_BY
     return {k: b"\n".join(x[: share(v)] for x in v) for k, v in found.items() if v}
 
 
+def blocks(raw: bytes) -> list[bytes]:
+    """raw in pieces of equal size, up to a byte, of BLOCK bytes at the most."""
+    n = max(1, -(-len(raw) // BLOCK))
+    return [raw[len(raw) * i // n : len(raw) * (i + 1) // n] for i in range(n)]
+
+
 def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", level: int = LEVEL, min_score: float = MIN_SCORE) -> DataFrame:
     """Adds lang_pred, score and rejected."""
     names = ["lang_pred", "score", "rejected"]
@@ -67,7 +76,8 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", l
                     scores.append(0.0)
                     continue
                 raw = x.lower().encode()
-                sizes = sorted(((len(c.compress(raw)), k) for k, c in by.items()), key=lambda x: x[0])
+                pieces = blocks(raw)
+                sizes = sorted(((sum(len(c.compress(b)) for b in pieces), k) for k, c in by.items()), key=lambda x: x[0])
                 langs.append(sizes[0][1])
                 second = sizes[1][0] if len(sizes) > 1 else len(raw)
                 scores.append(max(0.0, min(1.0, (second - sizes[0][0]) / second)))

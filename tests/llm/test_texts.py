@@ -61,6 +61,26 @@ def test_languages_held_out(spark):
     assert sum(r["rejected"] for r in out) <= 0.02 * len(out)
 
 
+def test_long_clean_texts_are_not_rejected(spark):
+    rng = random.Random(12)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) > 40 and lang is not null")
+    said = {}
+    for r in docs.where(lang_id.held_out(F.col("doc_id"))).orderBy("doc_id").collect():
+        said.setdefault(r["lang"], []).extend(r["text"].split(" "))
+    rows = []
+    for lang, pool in sorted(said.items()):
+        text = " ".join(rng.choices(pool, k=3_000_000))
+        rows += [(lang, n, text[:n]) for n in (15_000, 20_000, 1_000_000, 12_000_000)]
+        assert len(text) > 12_000_000
+    texts = spark.createDataFrame(rows, "lang string, size long, text string").repartition(8)
+    out = lang_id.predict(texts, lang_id.learnt(docs)).drop("text").collect()
+    print(sorted((r["lang"], r["size"], r["lang_pred"], round(r["score"], 5), r["rejected"]) for r in out))
+    assert len(out) == 16 and all(r["lang"] == r["lang_pred"] and not r["rejected"] for r in out)
+    for lang in said:
+        scores = [r["score"] for r in out if r["lang"] == lang]
+        assert min(scores) > 0.5 * max(scores)
+
+
 def test_languages_of_awkward_rows(spark):
     docs = awkward(spark, extra=True)
     out = {r["doc_id"]: r for r in lang_id.predict(docs, lang_id.learnt(docs)).collect()}
