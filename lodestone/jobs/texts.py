@@ -187,6 +187,14 @@ def page_similarity(spark, sf_dir):
     return both.select("conv_id", F.round(loops.similarity_ratio(F.col("text"), F.col("other")), 6).alias("ratio"))
 
 
+@query()
+def page_similarity_whole(spark, sf_dir):
+    """How alike the first turn of a conversation and the third one are, whole texts of any length and sign; null where one is null."""
+    rows = table(spark, sf_dir, "conversations")
+    both = rows.where("turn = 0").select("conv_id", "text").join(rows.where("turn = 2").select("conv_id", F.col("text").alias("other")), "conv_id")
+    return both.select("conv_id", F.round(loops.similarity_ratio(F.col("text"), F.col("other")), 6).alias("ratio"))
+
+
 @query("""SELECT d.source || '/' || CAST(d.doc_id AS VARCHAR) AS name, CASE WHEN l.toxic = 1 THEN 'FAILED' WHEN d.doc_id % 2 = 0 THEN 'SUCCESS' ELSE 'NOT_FOUND' END AS status,
   CASE WHEN coalesce(l.toxic, 0) <> 1 AND d.doc_id % 2 = 0 THEN substr(d.text, 1, 50) END AS summary
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")

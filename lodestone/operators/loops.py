@@ -45,6 +45,6 @@ def summary_lookup(names: DataFrame, statuses: DataFrame, payloads: DataFrame) -
 
 
 def similarity_ratio(a: Column, b: Column) -> Column:
-    """1 for equal texts, 0 for texts without a common place, by edit distance."""
+    """1 for equal texts, 0 for texts without a common place, by edit distance; null where one is null."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when(a.isNull() | b.isNull(), None).when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)

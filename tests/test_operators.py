@@ -199,3 +199,25 @@ def test_loops(spark):
     assert {(r["depth"], r["content"]) for r in found.collect()} == {(0, "a"), (0, "b"), (1, "more")}
     r = spark.range(1).select(loops.similarity_ratio(F.lit("abcd"), F.lit("abxd")), loops.similarity_ratio(F.lit(""), F.lit(""))).first()
     assert tuple(r) == (0.75, 1.0)
+
+
+def test_similarity_of_whole_texts(spark, tmp_path):
+    from lodestone.jobs import catalogue
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = np.random.default_rng(5)
+    new = lambda n: "".join(rng.choice(list("abcé日 "), n))
+    long = new(700)
+    pairs = [("ab", "ab"), (long, long[:500] + new(150)), (new(199), new(201)), ("é" * 300, "ü" * 300), ("", ""), ("", None), (None, new(9)), (None, None), (new(400), "")]
+    rows = [(i, turn, text) for i, (a, b) in enumerate(pairs) for turn, text in ((0, a), (1, "between"), (2, b))] + [(99, 0, "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r["ratio"] for r in catalogue.QUERIES["page_similarity_whole"](spark, f"file://{tmp_path}").collect()}
+    want = {i: None if a is None or b is None else 1.0 if a == b else 1 - distance(a, b) / max(len(a), len(b)) for i, (a, b) in enumerate(pairs)}
+    assert got == {i: None if x is None else pytest.approx(x, abs=1e-6) for i, x in want.items()}
