@@ -1,19 +1,23 @@
 """Operator 10: approximate nearest neighbours by an inverted multi-index.
 
-The two halves of the vectors are quantised apart, a pair of centroids is a cell, and cells are listed with their vectors. A
-query walks the cells by the sum of its distances to both centroids, with a heap over the sorted distances, until they hold a
-share of all vectors (LEAST vectors at least), and what they hold is ranked by the exact distance. The share is learnt: the smallest one that finds
-target_recall of the true neighbours within the sample that the centroids are fitted on (at most sample vectors).
-
-Vectors that are null, all zero, hold nulls or non-finite numbers, or differ in length from the most frequent length take no
-part. Ties go to the smaller vec_id; equal vectors share a cell, and cells of any size are split over tasks. Rows that share
-a vec_id are no candidates of each other; null vec_ids take no part. Fewer candidates than k are all returned; an empty table
-gives an empty one. Extra columns are not read.
+The two halves of the vectors are quantised apart, a pair of centroids is a cell, and cells are listed with their vectors; the
+number of centroids grows with the table. A query walks the cells by the sum of its squared distances to both centroids, with a
+heap over the sorted distances, up to a bound, and what those cells hold is ranked by the exact distance. The bound is a
+multiple of the sum at which the cells hold k vectors, so it falls as the table grows denser, and no table is searched whole
+for its size. The multiple is learnt: for calibration vectors the true neighbours are found in one pass over all vectors, and it
+is the smallest that reaches target_recall of them.
+
+Vectors that are null, all zero, hold nulls or non-finite numbers, or differ in length from the most frequent length (ties: the
+smaller) take no part. Finite numbers of any size do: for the cells vectors are brought to the size of most and cut far beyond
+it, and distances whose squares leave the range of doubles are worked out scaled. Ties go to the smaller vec_id; equal vectors
+share a cell, and cells of any size are split over tasks. Rows that share a vec_id are no candidates of each other; null vec_ids
+take no part. Fewer candidates than k are all returned; an empty table gives an empty one. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,24 +26,42 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, SAMPLE, TARGET_RECALL, LEAST, CENTROIDS, SHARD, QUERY_BLOCK = 10, 20_000, 0.97, 2_000, 64, 10_000, 1_000
+#: Bounds on what the driver gets: SAMPLE vectors, CALIBRATION * K neighbours and a row for each of CENTROIDS * CENTROIDS cells.
+K, SAMPLE, CALIBRATION, TARGET_RECALL, CENTROIDS, SHARD, QUERY_BLOCK = 10, 20_000, 200, 0.97, 1_024, 2_000, 1_000
+PER_CELL = 16  # vectors that a cell has on average, as long as CENTROIDS allows
+FAR = 1e6  # times the usual size of a vector; beyond it the cells do not tell vectors apart
+KINDS = "vec_id long, cell int, raw binary"
 
 
-def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, v: array<double>, of the vectors that take part."""
+def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, int]:
+    """(vec_id, v: array<double>, of the vectors that take part; their number)."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (length["d"] if length else 0))
+    return rows.where(F.size("v") == (length["d"] if length else 0)), length["count"] if length else 0
 
 
 def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Squared distances of all x to all c, as near as floating point has them by products."""
-    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
 
 
-def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of x to q; those whose squares would overflow or vanish are worked out scaled."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        gap = x - q
+        d = np.sqrt((gap**2).sum(axis=1))
+        odd = np.flatnonzero(~np.isfinite(d) | (d < 1e-140))
+        if len(odd):
+            largest = np.abs(gap[odd]).max(axis=1, initial=0)
+            part = gap[odd] / np.where((largest > 0) & np.isfinite(largest), largest, 1)[:, None]
+            d[odd] = np.where(np.isfinite(largest), largest * np.sqrt((part**2).sum(axis=1)), np.inf)
+    return d
+
+
+def k_means(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
     """Centroids; those that lose all points start anew at the farthest ones."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -55,136 +77,215 @@ def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarra
     return c
 
 
+@dataclass
 class Index:
-    """Centroids of both halves, and how many vectors each cell holds."""
+    """Centroids of both halves, how many vectors each cell holds, and the multiple that bounds a walk."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray):
-        self.left, self.right = left, right
-        self.count = np.zeros(len(left) * len(right), np.int64)
+    left: np.ndarray
+    right: np.ndarray
+    scale: float = 1.0
+    multiple: float = np.inf
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        h = self.left.shape[1]
-        return squares(x[:, :h], self.left).argmin(1) * len(self.right) + squares(x[:, h:], self.right).argmin(1)
+    def __post_init__(self):
+        self.count = np.zeros(len(self.left) * len(self.right), np.int64)
 
-    def walk(self, q: np.ndarray, wanted: float) -> list[int]:
-        """Cells by rising distance until they hold wanted vectors."""
+    def _near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of x to the centroids of both halves."""
+        with np.errstate(over="ignore"):
+            x = np.clip(x / self.scale, -FAR, FAR)
         h = self.left.shape[1]
-        a, b = squares(q[None, :h], self.left)[0], squares(q[None, h:], self.right)[0]
+        return squares(x[:, :h], self.left), squares(x[:, h:], self.right)
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        a, b = self._near(x)
+        return a.argmin(1) * len(self.right) + b.argmin(1)
+
+    def sums(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The summed distances of all x to cells."""
+        a, b = self._near(x)
+        return a[:, cells // len(self.right)] + b[:, cells % len(self.right)]
+
+    def walk(self, q: np.ndarray, wanted: int, multiple: float | None = None) -> tuple[list[int], float]:
+        """(cells by rising sum, up to multiple times the sum at which they hold wanted vectors; that bound)."""
+        a, b = (d[0] for d in self._near(q[None, :]))
         i, j = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        heap, seen, held, out = [(a[i[0]] + b[j[0]], 0, 0)], {(0, 0)}, 0, []
-        while heap and held < wanted:
-            _, x, y = heapq.heappop(heap)
+        heap, seen, held, out, bound = [(a[i[0]] + b[j[0]], 0, 0)], {(0, 0)}, 0, [], np.inf
+        while heap and heap[0][0] <= bound:
+            s, x, y = heapq.heappop(heap)
             cell = int(i[x]) * len(b) + int(j[y])
             if self.count[cell]:
                 out.append(cell)
                 held += int(self.count[cell])
+                if held >= wanted and bound == np.inf:
+                    bound = s * (self.multiple if multiple is None else multiple) + 1e-9
             for n in ((x + 1, y), (x, y + 1)):
                 if n[0] < len(a) and n[1] < len(b) and n not in seen:
                     seen.add(n)
                     heapq.heappush(heap, (a[i[n[0]]] + b[j[n[1]]], *n))
-        return out
-
-
-def learn(x: np.ndarray, centroids: int, k: int, target: float) -> tuple[Index, float]:
-    """(index, share of all vectors that a query's cells are to hold)."""
-    h = x.shape[1] // 2
-    index = Index(k_means(x[:, :h], centroids), k_means(x[:, h:], centroids))
-    cell = index.cells(x)
-    index.count = np.bincount(cell, minlength=len(index.count))
-    need: list[np.ndarray] = []
-    for q in range(0, len(x), max(1, len(x) // 300)):
-        d = squares(x[q : q + 1], x)[0]
-        d[q] = np.inf
-        true = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
-        order = index.walk(x[q], len(x) + 1)
-        held = dict(zip(order, np.cumsum(index.count[order]) - index.count[order] + 1))
-        need.append(np.array([held[c] for c in cell[true].tolist()]) / len(x))
-    each = np.concatenate(need) if need else np.zeros(0)
-    return index, float(np.quantile(each, target)) if len(each) else 1.0
-
-
-def nearest(q: np.ndarray, ids: np.ndarray, x: np.ndarray, own: int, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of x by (distance, id); rough, squared distances by products, only leaves out what is surely farther."""
-    at = np.flatnonzero((ids != own) & np.isfinite(rough))
-    if len(at) > k:
-        r = rough[at]
+        return out, float(bound)
+
+    def share(self, q: np.ndarray, wanted: int) -> float:
+        """The share of all vectors that q looks at."""
+        return float(self.count[self.walk(q, wanted)[0]].sum() / max(1, self.count.sum()))
+
+
+@dataclass
+class Layout:
+    """Cells in order, packed to groups of about size rows; larger cells are split over several groups by the id."""
+
+    first: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, count: np.ndarray, size: int) -> Layout:
+        return cls((np.cumsum(count) - count) // size, np.maximum(1, -(-count // size)))
+
+    def place(self, cells: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        return self.first[cells] * 1_000_000 + spread % self.parts[cells]
+
+    def groups(self, cells: list[int]) -> list[int]:
+        return sorted({int(self.first[c]) * 1_000_000 + p for c in cells for p in range(int(self.parts[c]))})
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A row for each list of doubles; all lists are as long as one another."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def raws(column) -> np.ndarray:
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
+
+
+def best_of(q: np.ndarray, ids: np.ndarray, x: np.ndarray, own: int, rough: np.ndarray, inside: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, distances) of the k nearest of x that are inside, by (distance, id). rough, squared distances by products, only
+    leaves out what is surely farther; where it is not finite it leaves out nothing."""
+    at = np.flatnonzero((ids != own) & inside)
+    known = at[np.isfinite(rough[at])]
+    if len(known) > k:
+        r = rough[known]
         edge = np.partition(r, k - 1)[k - 1]
-        at = at[r <= edge + 1e-9 * (edge + (q * q).sum() + 1e-300)]
-    d = np.sqrt(((x[at] - q) ** 2).sum(axis=1))
+        with np.errstate(over="ignore"):
+            at = np.concatenate([known[r <= edge + 1e-9 * (edge + (q * q).sum() + 1e-300)], at[~np.isfinite(rough[at])]])
+    d = distances(x[at], q)
     best = np.lexsort((ids[at], d))[:k]
-    return ids[at][best], d[best]
+    return at[best], d[best]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPLE, target_recall: float = TARGET_RECALL, centroids: int = CENTROIDS, shard: int = SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each vector for which is_query (of vec_id) holds."""
-    spark = vectors.sparkSession
-    common.small_batches(spark)
-    rows = common.materialize(usable(vectors), "vectors")
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
-    if drawn.empty:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.array(drawn["v"].tolist(), np.float64)
-    index, share = learn(x, min(centroids, max(1, int(len(x) ** 0.5 / 2))), k, target_recall)
+def true_neighbours(listed: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> list[tuple[int, int]]:
+    """(number of the query, cell) of the k nearest of each query among all rows: each task keeps k for each query."""
+    own, q = np.array([i for i, _ in queries]), np.stack([x for _, x in queries])
+
+    def run(batches):
+        kept: list[list] = [[] for _ in own]
+        for batch in batches:
+            ids, cell, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), raws(batch.column(2))
+            rough, everything = squares(q, v), np.ones(len(ids), bool)
+            for n in range(len(own)):
+                at, d = best_of(q[n], ids, v, own[n], rough[n], everything, k)
+                kept[n] = sorted([*kept[n], *zip(d.tolist(), ids[at].tolist(), cell[at].tolist())])[:k]
+        rows = [(n, *x) for n, found in enumerate(kept) for x in found]
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int64(), pa.int32()))], ["n", "d", "vec_id", "cell"])
+
+    near = listed.mapInArrow(run, "n int, d double, vec_id long, cell int")
+    w = Window.partitionBy("n").orderBy("d", "vec_id")
+    return [(r["n"], r["cell"]) for r in near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("n", "cell").toLocalIterator()]
+
+
+def fit(vectors: DataFrame, k: int = K, sample: int = SAMPLE, calibration: int = CALIBRATION, target_recall: float = TARGET_RECALL, centroids: int = CENTROIDS) -> tuple[Index, DataFrame] | None:
+    """(index, vec_id, cell and raw of all vectors that take part), or None without any. At most sample vectors, chosen by a hash
+    of vec_id, reach the driver."""
+    rows, n = usable(vectors)
+    if not n:
+        return None
+    h = F.xxhash64("vec_id")
+    some = rows.where(F.pmod(h, F.lit(1 << 30)) <= min(1.0, 2.0 * sample / n + 1e-4) * (1 << 30))  # so few rows are sorted
+    drawn = some.orderBy(h, "vec_id").limit(sample).toArrow().combine_chunks()
+    if not drawn.num_rows:  # a very small table whose hashes all lie above
+        drawn = rows.limit(sample).toArrow().combine_chunks()
+    ids, x = drawn.column("vec_id").to_numpy(), matrix(drawn.column("v").chunk(0))
+    scale = float(np.median(np.abs(x).max(axis=1))) or 1.0
+    with np.errstate(over="ignore"):
+        z, half = np.clip(x / scale, -FAR, FAR), x.shape[1] // 2
+    number = max(1, min(centroids, int((n / PER_CELL) ** 0.5)))
+    index = Index(k_means(z[:, :half], number), k_means(z[:, half:], number), scale)
 
     def assign(batches):
         for batch in batches:
-            v = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index.cells(v).astype(np.int32)), pa.array([r.tobytes() for r in v], pa.binary())], ["vec_id", "cell", "raw"])
+            if batch.num_rows:
+                v = matrix(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index.cells(v).astype(np.int32)), pa.array([r.tobytes() for r in v], pa.binary())], ["vec_id", "cell", "raw"])
 
-    listed = common.materialize(rows.mapInArrow(assign, "vec_id long, cell int, raw binary"), "cells")
-    for r in listed.groupBy("cell").count().toLocalIterator():  # at most centroids * centroids rows
+    listed = common.materialize(rows.mapInArrow(assign, KINDS), "cells")
+    for r in listed.groupBy("cell").count().toLocalIterator():
         index.count[r["cell"]] = r["count"]
-    total, width = int(index.count.sum()), x.shape[1]
-    # Cells in order are packed to shards of about shard vectors; larger cells are split over several.
-    first = ((np.cumsum(index.count) - index.count) // shard).astype(np.int64)
-    parts = np.maximum(1, -(-index.count // shard))
-    used = np.flatnonzero(index.count)
-    layout = spark.createDataFrame([(int(c), int(first[c]), int(parts[c])) for c in used], "cell int, first long, parts int")
-    n_queries = rows.where(is_query).count()
-    blocks = max(1, -(-n_queries // query_block))
-    entries = listed.join(F.broadcast(layout), "cell").withColumn("shard", F.col("first") * 1_000_000 + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    entries = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "cell", "vec_id", "raw")
-    split = [sorted({int(first[c]) * 1_000_000 + p for p in range(int(parts[c]))}) for c in range(len(index.count))]
+    asked = [(int(ids[i]), x[i]) for i in range(min(calibration, len(x)))]
+    firsts = [index.walk(v, k + 1, 1.0)[1] for _, v in asked]
+    found = true_neighbours(listed, asked, k)
+    ratios = np.array([index.sums(asked[q][1][None, :], np.array([cell]))[0, 0] / firsts[q] for q, cell in found if np.isfinite(firsts[q])])
+    index.multiple = max(1.0, float(np.quantile(ratios, target_recall, method="higher"))) if len(ratios) else np.inf
+    return index, listed
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = K, shard: int = SHARD, query_block: int = QUERY_BLOCK, **options) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each vector for which is_query (of vec_id) holds. options are fit's.
+    Rows are dealt to shards of cells and queries, in the order of their own cells, to blocks; a shard goes to the blocks alone
+    whose queries visit it."""
+    spark = vectors.sparkSession
+    fitted = fit(vectors, k, **options)
+    if fitted is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index, listed = fitted
+    asked = listed.where(is_query).dropDuplicates(["vec_id", "raw"])
+    asked = common.materialize(asked.join(listed.where(is_query).groupBy("vec_id").agg(F.count("*").alias("own")), "vec_id"), "queries")
+    queries = np.zeros(len(index.count), np.int64)
+    for r in asked.groupBy("cell").count().toLocalIterator():
+        queries[r["cell"]] = r["count"]
+    shards, blocks = Layout.of(index.count, shard), Layout.of(queries, query_block)
+
+    def place(batches):
+        for batch in batches:
+            ids, cell = batch.column(0), batch.column(1)
+            at = shards.place(cell.to_numpy(), ids.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), cell, ids, batch.column(2)], ["shard", "cell", "vec_id", "raw"])
 
     def route(batches):
         for batch in batches:
-            ids, shards, cells, raws = [], [], [], []
-            for q, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                visited = index.walk(np.frombuffer(raw, np.float64), max(k + 1, LEAST, share * total))
-                mine: dict[int, list[int]] = {}
-                for c in visited:
-                    for s in split[c]:
-                        mine.setdefault(s, []).append(c)
-                for s, cs in mine.items():
-                    ids.append(q)
-                    shards.append(s)
-                    cells.append(np.array(sorted(cs), np.int32).tobytes())
-                    raws.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shards, pa.int64()), pa.array(cells, pa.binary()), pa.array(raws, pa.binary())], ["query_id", "shard", "cells", "q"])
-
-    queries = listed.where(is_query).select("vec_id", "raw").mapInArrow(route, "query_id long, shard long, cells binary, q binary")
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+            ids, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            block = blocks.place(cell, ids) if batch.num_rows else ids
+            values, owns = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            out: list[list] = [[], [], [], [], []]
+            for n, raw in enumerate(values):
+                visited, bound = index.walk(np.frombuffer(raw, np.float64), k + owns[n])
+                visits = shards.groups(visited)
+                for column, value in zip(out, (ids[n], block[n], raw, bound)):
+                    column.extend([value] * len(visits))
+                out[4].extend(visits)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.int64()))], ["query_id", "block", "q", "bound", "shard"])
+
+    routed = asked.select("vec_id", "cell", "raw", "own").mapInArrow(route, "query_id long, block long, q binary, bound double, shard long")
+    routed = common.materialize(routed, "visits")
+    entries = listed.mapInArrow(place, "shard long, cell int, vec_id long, raw binary")
+    entries = entries.join(routed.select(F.col("shard").alias("shard"), F.col("block").alias("block")).distinct(), "shard")
 
     def rank(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
             ids, cell = left.column("vec_id").to_numpy(), left.column("cell").to_numpy()
-            v = np.frombuffer(b"".join(left.column("raw").to_pylist()), np.float64).reshape(-1, width)
-            q = np.frombuffer(b"".join(right.column("q").to_pylist()), np.float64).reshape(-1, width)
-            own, cells = right.column("query_id").to_pylist(), right.column("cells").to_pylist()
-            inside = np.zeros(len(index.count), bool)
+            own, bound = right.column("query_id").to_numpy(), right.column("bound").to_numpy()
+            v, q = raws(left.column("raw")), raws(right.column("q"))
             for a in range(0, len(q), 100):
-                rough = squares(q[a : a + 100], v)
+                rough, inside = squares(q[a : a + 100], v), index.sums(q[a : a + 100], cell) <= bound[a : a + 100, None]
                 for i in range(len(rough)):
-                    visited = np.frombuffer(cells[a + i], np.int32)
-                    inside[visited] = True
-                    near, d = nearest(q[a + i], ids, v, own[a + i], np.where(inside[cell], rough[i], np.inf), k)
-                    inside[visited] = False
-                    for column, values in zip(out, ([own[a + i]] * len(near), near, d)):
+                    at, d = best_of(q[a + i], ids, v, own[a + i], rough[i], inside[i], k)
+                    for column, values in zip(out, ([own[a + i]] * len(at), ids[at], d)):
                         column.extend(values)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = entries.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(rank, "query_id long, vec_id long, score double")
+    found = entries.groupBy("shard", "block").cogroup(routed.groupBy("shard", "block")).applyInArrow(rank, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
