@@ -2,10 +2,10 @@
 
 The two halves of the vectors are quantised apart, a pair of centroids is a cell, and cells are listed with their vectors; the
 number of centroids grows with the table. A query walks the cells by the sum of its squared distances to both centroids, with a
-heap over the sorted distances, up to a bound, and what those cells hold is ranked by the exact distance. The bound is a
-multiple of the sum at which the cells hold k vectors, so it falls as the table grows denser, and no table is searched whole
-for its size. The multiple is learnt: for calibration vectors the true neighbours are found in one pass over all vectors, and it
-is the smallest that reaches target_recall of them.
+heap over the sorted distances, up to a bound, and what those cells hold is ranked by the exact distance. The bound lies a fixed
+reach beyond the sum at which the cells hold FEW * k vectors, so it falls as the table grows denser, and no table is searched
+whole for its size. The reach is learnt: for calibration vectors the true neighbours are found in one pass over all vectors, and
+it is the smallest that gets target_recall of them.
 
 Vectors that are null, all zero, hold nulls or non-finite numbers, or differ in length from the most frequent length (ties: the
 smaller) take no part. Finite numbers of any size do: for the cells vectors are brought to the size of most and cut far beyond
@@ -28,7 +28,7 @@ from . import common
 
 #: Bounds on what the driver gets: SAMPLE vectors, CALIBRATION * K neighbours and a row for each of CENTROIDS * CENTROIDS cells.
 K, SAMPLE, CALIBRATION, TARGET_RECALL, CENTROIDS, SHARD, QUERY_BLOCK = 10, 20_000, 200, 0.97, 1_024, 2_000, 1_000
-PER_CELL = 16  # vectors that a cell has on average, as long as CENTROIDS allows
+FEW, PER_CELL = 5, 4  # PER_CELL: vectors that a cell has on average, as long as CENTROIDS allows
 FAR = 1e6  # times the usual size of a vector; beyond it the cells do not tell vectors apart
 KINDS = "vec_id long, cell int, raw binary"
 
@@ -79,12 +79,12 @@ def k_means(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarra
 
 @dataclass
 class Index:
-    """Centroids of both halves, how many vectors each cell holds, and the multiple that bounds a walk."""
+    """Centroids of both halves, how many vectors each cell holds, and how far a walk goes on."""
 
     left: np.ndarray
     right: np.ndarray
     scale: float = 1.0
-    multiple: float = np.inf
+    reach: float = np.inf
 
     def __post_init__(self):
         self.count = np.zeros(len(self.left) * len(self.right), np.int64)
@@ -105,8 +105,8 @@ class Index:
         a, b = self._near(x)
         return a[:, cells // len(self.right)] + b[:, cells % len(self.right)]
 
-    def walk(self, q: np.ndarray, wanted: int, multiple: float | None = None) -> tuple[list[int], float]:
-        """(cells by rising sum, up to multiple times the sum at which they hold wanted vectors; that bound)."""
+    def walk(self, q: np.ndarray, wanted: int, reach: float | None = None) -> tuple[list[int], float]:
+        """(cells by rising sum, up to reach beyond the sum at which they hold wanted vectors; that bound)."""
         a, b = (d[0] for d in self._near(q[None, :]))
         i, j = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
         heap, seen, held, out, bound = [(a[i[0]] + b[j[0]], 0, 0)], {(0, 0)}, 0, [], np.inf
@@ -117,7 +117,7 @@ class Index:
                 out.append(cell)
                 held += int(self.count[cell])
                 if held >= wanted and bound == np.inf:
-                    bound = s * (self.multiple if multiple is None else multiple) + 1e-9
+                    bound = s + (self.reach if reach is None else reach) + 1e-9 * s
             for n in ((x + 1, y), (x, y + 1)):
                 if n[0] < len(a) and n[1] < len(b) and n not in seen:
                     seen.add(n)
@@ -223,10 +223,10 @@ def fit(vectors: DataFrame, k: int = K, sample: int = SAMPLE, calibration: int =
     for r in listed.groupBy("cell").count().toLocalIterator():
         index.count[r["cell"]] = r["count"]
     asked = [(int(ids[i]), x[i]) for i in range(min(calibration, len(x)))]
-    firsts = [index.walk(v, k + 1, 1.0)[1] for _, v in asked]
+    firsts = [index.walk(v, FEW * k, 0.0)[1] for _, v in asked]
     found = true_neighbours(listed, asked, k)
-    ratios = np.array([index.sums(asked[q][1][None, :], np.array([cell]))[0, 0] / firsts[q] for q, cell in found if np.isfinite(firsts[q])])
-    index.multiple = max(1.0, float(np.quantile(ratios, target_recall, method="higher"))) if len(ratios) else np.inf
+    beyond = np.array([index.sums(asked[q][1][None, :], np.array([cell]))[0, 0] - firsts[q] for q, cell in found])
+    index.reach = max(0.0, float(np.quantile(beyond, target_recall, method="higher"))) if len(beyond) else np.inf
     return index, listed
 
 
@@ -259,7 +259,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, shard: int = SHARD,
             values, owns = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             out: list[list] = [[], [], [], [], []]
             for n, raw in enumerate(values):
-                visited, bound = index.walk(np.frombuffer(raw, np.float64), k + owns[n])
+                visited, bound = index.walk(np.frombuffer(raw, np.float64), FEW * k + owns[n])
                 visits = shards.groups(visited)
                 for column, value in zip(out, (ids[n], block[n], raw, bound)):
                     column.extend([value] * len(visits))
