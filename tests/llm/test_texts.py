@@ -1,4 +1,6 @@
+import pathlib
 import random
+import textwrap
 import zlib
 
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import lang_id, license_scan, line_dedup, mixing, quality_rules
 
-from ..conftest import SMALL
+from ..conftest import SMALL, same_rows
 from .fixtures import awkward, empty
 
 WS = " \t\n\x0b\x0c\r"
@@ -29,7 +31,7 @@ def test_rules_against_brute_force(spark):
     rng = random.Random(2)
     rows = [(i, "".join(rng.choices(["a", "b", "#", " ", " ", "\n", "\x0b", "é", "*"], k=rng.randint(0, 200))), f"h{i % 3}") for i in range(80)]
     docs = spark.createDataFrame(rows + [(100, None, None), (101, "x " * 30_000, "h1")], "doc_id long, text string, source string")
-    for r in quality_rules.measures(docs).drop("text").collect():
+    for r in quality_rules.measures(docs).collect():
         text = next((t for i, t, _ in rows if i == r["doc_id"]), None if r["doc_id"] == 100 else "x " * 30_000)
         w = words(text)
         lines = [x for x in (text or "").split("\n") if words(x)]
@@ -40,16 +42,62 @@ def test_rules_against_brute_force(spark):
         assert r["base_failed"] == (len(w) < 10 or 100 * repeated(text) > 20 * len(w))
 
 
+GOOD = "all these {0} words differ from one another and so nothing here repeats itself"
+FAILS = {"few_words": "short {0}", "repeats": "a b c d e {0} " + "v w x y z " * 6, "symbols": "the $$$ ### *** {0} price of all that one may want to have is %%% here", "dup_lines": "one line {0}\nanother line of words\none line {0}\nthe last of them all\none line {0}"}
+
+
+def host_rows():
+    """Hosts of which one in twenty documents fails a rule, hosts of which most do, one of two documents and a null one."""
+    rows = []
+    for h in range(12):
+        rows += [(f"fine{h}", (list(FAILS.values())[i % 4] if i % 20 == 0 else GOOD).format(i)) for i in range(60)]
+    for rule, text in FAILS.items():
+        rows += [(f"bad-{rule}", (GOOD if i % 5 == 0 else text).format(i)) for i in range(40)]
+    rows += [("tiny", FAILS["symbols"].format(1)), ("tiny", GOOD.format(2)), (None, GOOD.format(1)), (None, FAILS["dup_lines"].format(1))]
+    return [(i, text, host) for i, (host, text) in enumerate(rows)]
+
+
 def test_hosts_with_many_failures_go(spark):
-    good = "all these words differ from one another and so nothing here repeats itself"
-    rows = [(i, "short", "bad") for i in range(40)] + [(40, good, "bad")] + [(50 + i, good, "fine") for i in range(40)] + [(99, "short", "fine"), (100, good, None)]
-    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert not got[40] and not got[0] and got[50] and not got[99] and got[100]
-    assert quality_rules.beta_prior(None, None) == quality_rules.beta_prior(0.5, 0.9) == (1.0, 1.0)
-    a, b = quality_rules.beta_prior(0.2, 0.01)
-    assert a / (a + b) == pytest.approx(0.2)
+    import duckdb
+
+    rows = host_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    fallen = {h for i, _, h in rows if got[i]["host_failed"]}
+    assert fallen == {f"bad-{r}" for r in FAILS}
+    decided = [i for i, _, h in rows if not got[i]["base_failed"] and not got[i]["kept"]]
+    assert len(decided) > 60 and {h for i, _, h in rows if i in set(decided)} == fallen
+    assert got[len(rows) - 4]["kept"] and got[len(rows) - 2]["kept"] and got[len(rows) - 1]["kept"]
+    assert 0.1 < got[len(rows) - 4]["host_rate"] < 0.9  # one failure of two: shrunk
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    assert same_rows(quality_rules.judge(docs).select("doc_id", *quality_rules.OUT), con, quality_rules.SQL) == len(rows)
+
+
+def test_hosts_that_are_alike_stay(spark):
+    rows = [(i, FAILS["symbols"].format(i) if i % 4 == 0 else GOOD.format(i), f"h{i % 7}") for i in range(140)]
+    assert all(r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+
+
+def test_priors():
+    assert quality_rules.beta_prior(None, 0, 0, 0, 0) == quality_rules.beta_prior(9, 2, 50, 9, 0) == (1.0, 1.0)
+    a, b = quality_rules.beta_prior(100.0, 4, 4 * 625.0, 20, 0.0)  # no more than chance: as strong as all documents
+    assert (a, b) == (pytest.approx(20), pytest.approx(80))
+    rng = random.Random(4)
+    hosts = [(n, sum(rng.random() < p for _ in range(n))) for n, p in ((rng.randint(20, 400), rng.betavariate(3, 12)) for _ in range(400))]
+    n, k = sum(x for x, _ in hosts), sum(x for _, x in hosts)
+    a, b = quality_rules.beta_prior(n, len(hosts), sum(x * x for x, _ in hosts), k, sum(x * (y / x - k / n) ** 2 for x, y in hosts))
+    assert 2 < a < 4.5 and 8 < b < 18
+
+
+def test_rules_of_awkward_rows(spark):
     assert quality_rules.judge(empty(spark)).count() == 0
-    assert quality_rules.judge(awkward(spark, extra=True)).count() == awkward(spark).count()
+    docs = awkward(spark, extra=True)
+    out = quality_rules.judge(docs)
+    assert out.count() == docs.count() and {"score", "hash"} <= set(out.columns)
+    assert {r["doc_id"]: r["kept"] for r in out.collect()}[3] is False
+    assert out.where("n_chars is not null").select("score").distinct().first()[0] == "clash"
 
 
 def test_languages_held_out(spark):
@@ -98,19 +146,47 @@ def test_dictionaries_are_bounded(spark):
     assert all(len(x) <= 1000 + 7 for x in found.values())
 
 
+COMMON = pathlib.Path("/usr/share/common-licenses")
+
+
+def licences(spark, texts):
+    rows = license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    return sorted(((r["doc_id"], r["license"], r["contains"], r["notices"], r["n_notice_lines"]) for r in rows), key=repr)
+
+
 def test_licences(spark):
     mit = "Copyright (c) 2020 Someone\n\n" + license_scan.MIT.replace("software", "Software").replace('"', "'")
     british = license_scan.UNLICENSE.upper()
-    texts = [(1, mit), (2, "some text\nreleased under the mit licence\nLicensed under CC-BY-NC 4.0"), (3, None), (4, ""), (5, british), (6, license_scan.MIT + " and more"), (6, "Released under the MIT License."), (7, "© 2021 X. All rights reserved.")]
-    got = license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    by = {(r["doc_id"], r["license"]): (r["notices"], r["n_notice_lines"]) for r in got}
-    assert len(got) == len(texts)
-    assert by[1, "MIT"] == (None, 0) and by[2, None] == ("CC-BY-NC-4.0,MIT", 2) and by[5, "Unlicense"] == (None, 0)
-    assert by[3, None] == by[4, None] == by[7, None] == (None, 0) and by[6, None] == ("MIT", 1)
+    commented = "code()\n" + "\n".join("# " + x for x in textwrap.wrap(license_scan.MIT, 50)) + "\nmore code"
+    both = f"{license_scan.BSD_START}\n{license_scan.BSD_END}\nand\n{license_scan.ISC}"
+    texts = [(1, mit), (2, "some text\nreleased under the mit licence\nLicensed under CC-BY-NC 4.0"), (3, None), (4, ""), (5, british), (6, license_scan.MIT + " and more"), (6, "Released under the MIT License."), (7, "© 2021 X. All rights reserved."), (8, commented), (9, both), (10, license_scan.MIT[:-20])]
+    assert licences(spark, texts) == sorted([(1, "MIT", "MIT", None, 0), (2, None, None, "CC-BY-NC-4.0,MIT", 2), (3, None, None, None, 0), (4, None, None, None, 0), (5, "Unlicense", "Unlicense", None, 0), (6, None, "MIT", None, 0), (6, None, None, "MIT", 1), (7, None, None, None, 0), (8, None, "MIT", None, 0), (9, None, "BSD-2-Clause,ISC", None, 0), (10, None, None, None, 0)], key=repr)
     assert license_scan.scan(awkward(spark, extra=True)).count() == awkward(spark).count()
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+@pytest.mark.skipif(not COMMON.exists(), reason="the texts are not on this machine")
+def test_long_licences(spark, duck):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0"}
+    texts = {n: (COMMON / n).read_text() for n in names}
+    rows = [(i, t) for i, t in enumerate(texts.values())] + [(100 + i, f"word {i}\n\n{' '.join(t.split())}\n\nand more") for i, t in enumerate(texts.values())] + [(200 + i, t.replace("the", "thee")) for i, t in enumerate(texts.values())]
+    got = {r[0]: r[1:] for r in licences(spark, rows)}
+    for i, name in enumerate(names.values()):
+        assert got[i][:2] == (name, name), name
+        assert got[100 + i][:2] == (None, name), name
+        assert got[200 + i][:2] == (None, None), name
+
+
+def test_licences_agree_with_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    rows = [(1, "x\n" + license_scan.ZLIB), (2, license_scan.TEXTS[0][1]), (3, "Released under CC0 1.0.\n\n" + license_scan.BSD_START + license_scan.BSD_END), (4, None), (5, " "), (6, (COMMON / "MPL-2.0").read_text() if COMMON.exists() else "none")]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert same_rows(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")), con, license_scan.SQL) == 6
+
+
 def chunked(text):
     import hashlib
 
