@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,13 @@ ARROW_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, a temporary one on a local master, on
+    which all of them are one process. A cluster without it is refused: its executors would write where none else can read."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or getattr(spark, "_lodestone_dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = spark._lodestone_dir = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return found.rstrip("/")
 
@@ -47,8 +51,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows hold whole texts, so Arrow batches are kept to ARROW_ROWS of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Rows hold whole texts, so Arrow batches are kept to ARROW_ROWS of them, or fewer where the session says so. The setting is
+    read when a result is worked out, which may be long after, so it stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
