@@ -1,13 +1,14 @@
 """Operator 6: language ID by compression.
 
 Each language gets a zstandard raw-content dictionary made of labelled texts; a text is encoded with every dictionary and goes
-to the one that makes it smallest. The score is the gain over the second smallest, as a share of what the text takes without a
-dictionary's help; texts whose score is under min_score are rejected. Texts that are null or have no letter are `und`, score 0
-and rejected; ties go to the language with more labelled rows; case
-does not count; texts of any length are encoded whole, but in blocks of about BLOCK bytes whose sizes are added up, each with
+to the one that makes it smallest. The score is what the smallest saves against the second smallest, as a share of the second
+smallest (of the bytes of the text, where one language is known); texts whose score is under min_score are rejected. Texts that
+are null or have no letter (by category: digits, fractions and numerals are none) are `und`, score 0 and rejected; ties go to
+the language with more labelled rows, then to the smaller name; case does not count; texts of any length are encoded whole, but in blocks of about BLOCK bytes whose sizes are added up, each with
 the dictionary before it: what a dictionary saves in one encoding is bounded, so without blocks the score would fall with the
 length and min_score would turn into a limit on it; equal rows agree; an empty table, or one
-without labelled rows, gives `und` for all its rows. Extra columns are kept, the result's names win.
+without labelled rows, gives `und` for all its rows. Extra columns are kept; those that bear one of the result's names are
+replaced, and predict() takes other names for it.
 
 The dictionaries are fitted on a bounded sample: of each language max_docs documents, chosen by a hash, of which dict_bytes
 bytes are used.
@@ -15,8 +16,6 @@ bytes are used.
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,8 +25,8 @@ from . import common
 
 MAX_DOCS, DICT_BYTES, LEVEL, MIN_SCORE = 200, 60_000, 6, 0.001
 BLOCK = 16_384
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
+NAMES = ("lang_pred", "score", "rejected")
 
 
 def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
@@ -54,11 +53,10 @@ def blocks(raw: bytes) -> list[bytes]:
     return [raw[len(raw) * i // n : len(raw) * (i + 1) // n] for i in range(n)]
 
 
-def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", level: int = LEVEL, min_score: float = MIN_SCORE) -> DataFrame:
-    """Adds lang_pred, score and rejected."""
-    names = ["lang_pred", "score", "rejected"]
+def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", level: int = LEVEL, min_score: float = MIN_SCORE, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """Adds lang_pred, score and rejected, or columns of other names."""
     others = [f for f in df.schema.fields if f.name not in names]
-    schema = T.StructType([*others, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    schema = T.StructType([*others, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType())))])
 
     def run(batches):
         import zstandard as z
@@ -71,7 +69,7 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", l
         for batch in batches:
             langs, scores = [], []
             for x in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                if not by or x is None or not LETTER.search(x):
+                if not by or x is None or not any(map(str.isalpha, x)):
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
                     continue

@@ -11,7 +11,9 @@ LONG words or fewer that is repeated alone, between lines that are not, stays.
 
 Null texts stay null and have no lines; an empty text has one empty line; a text of which all chunks go becomes empty; rows
 that share doc_id and text are one occurrence and are treated alike; texts of any length are taken whole; a chunk may occur in
-any number of documents, its occurrences are joined, never gathered; an empty table gives an empty one. What is joined grows with
+any number of documents, its occurrences are joined, never gathered; the smallest (doc_id, hash of the text, place) of equal
+occurrences is the first, a null doc_id before others; an empty table gives an empty one; columns of the result's names are
+replaced by dedup() and kept by stage(). What is joined grows with
 the corpus, so none of it is broadcast at any size.
 """
 
@@ -95,10 +97,10 @@ def repeated_chunks(docs: DataFrame, spans: Callable[[Column], Column]) -> DataF
     return texts.where("not owner").join(owners.hint("merge"), "hash").where("bytes = first_bytes").select("doc_id", HASH, "start", "n").distinct()
 
 
-def dedup(docs: DataFrame, spans: Callable[[Column], Column] = several_lines) -> DataFrame:
+def dedup(docs: DataFrame, spans: Callable[[Column], Column] = several_lines, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with n_lines, n_removed (lines), and text without what was removed; other columns as they are. spans makes the
-    (start, n) of a text's lines that are looked up."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    (start, n) of a text's lines that are looked up; counts are the names of the two columns, which replace any of docs."""
+    names = [c for c in docs.columns if c not in counts]
     keyed = docs.select(*names, F.xxhash64("text").alias(HASH))
     gone = repeated_chunks(keyed.select("doc_id", HASH, "text"), spans).groupBy("doc_id", HASH).agg(F.collect_list(F.struct("start", "n")).alias(GONE))
     gone = gone.withColumnsRenamed({"doc_id": OWN_ID, HASH: OWN_HASH})
@@ -113,7 +115,7 @@ def dedup(docs: DataFrame, spans: Callable[[Column], Column] = several_lines) ->
     text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(let(lines, without))
     removed = F.coalesce(F.when(F.col(GONE).isNotNull(), F.size(out_lines)), F.lit(0)).cast("long")
     count = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return rows.select(*(text.alias("text") if c == "text" else F.col(c) for c in names), count.alias("n_lines"), removed.alias("n_removed"))
+    return rows.select(*(text.alias("text") if c == "text" else F.col(c) for c in names), count.alias(counts[0]), removed.alias(counts[1]))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +129,7 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """docs with what dedup() leaves of their texts where all passages are looked up; n_chars follows."""
-    out = dedup(docs, passages)
+    out = dedup(docs, passages, ("__line_count", "__line_removed"))
     return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
