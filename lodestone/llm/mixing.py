@@ -2,11 +2,13 @@
 
 Each document gets an exponential key, scaled by its quality weight; within its source documents stand by key, and a prefix
 sum of their sizes meets the source's token budget. Complete epochs come first, the rest of a budget takes documents by key,
-the one that crosses it only up to the budget's last word. Keys derive from doc_id alone: reruns agree.
+and counts the one that crosses it up to the budget's last word; documents themselves are only ever taken whole. Keys derive
+from doc_id alone: reruns agree.
 
 Null text has size 0 and is never drawn for the rest; null sources form a source of their own, last in order; equal rows are drawn
-like any others (their order among themselves does not show); an empty table gives an empty one; weights that are null count
-as 1. One source may hold most rows: the sums run over ranges of (source, key), of which a source takes as many as it needs.
+like any others (their order among themselves does not show); equal keys stand in the order of doc_id and text; texts of any
+length are counted whole; columns besides those named are kept by mix_documents(), whatever their names, and not read otherwise;
+an empty table gives an empty one; weights that are null count as 1. One source may hold most rows: the sums run over ranges of (source, key), of which a source takes as many as it needs.
 """
 
 from __future__ import annotations
@@ -36,25 +38,30 @@ def exponential_key(weight: Column, doc_id: Column, seed: str = "") -> Column:
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MAX_EPOCHS) -> DataFrame:
     """sizes: source, source_size. Adds target: shares of the whole by weight, those above most * source_size cut to it and
-    the excess shared anew by weight. Sources are ranked by ranges; each round is one aggregate over the sources."""
+    the excess shared anew by weight. A source is full once the level (target by weight) reaches its ratio, cap by weight; so
+    in the order of ratios prefix sums of caps and weights give the level at which each next one would still be open, and the
+    level is the first that its ratio is above: one sorted pass, in ranges, for any number of sources."""
     order = F.col("source").asc_nulls_last()  # strings stand in the order of their UTF-8 bytes, that is by code point
     parts = common.ordered_parts(sizes, order, tag="sources")
     w = Window.partitionBy("part").orderBy(order)
     ranked = parts.withColumn("_n", F.row_number().over(w) - 1).join(F.broadcast(common.part_offsets(parts, F.lit(1))), "part")
     kinds = F.array(*map(F.lit, weights))
-    table = common.materialize(ranked.select("source", "source_size", F.get(kinds, F.pmod(F.col("_n") + F.col("base"), F.lit(len(weights))).cast("int")).alias("share")), "shares")
-    cap, level = F.col("source_size") * float(most), 0.0
-    while True:
-        full = cap <= F.col("share") * level if level else F.lit(False)
-        x = table.agg(F.sum("source_size").alias("all"), F.sum(F.when(full, cap)).alias("cut"), F.sum(F.when(~full, F.col("share"))).alias("open")).first()
-        if not x["open"]:
-            break
-        new = (x["all"] - (x["cut"] or 0.0)) / x["open"]
-        if new <= level:
-            break
-        level = new
+    share = F.get(kinds, F.pmod(F.col("_n") + F.col("base"), F.lit(len(weights))).cast("int"))
+    cap = F.col("source_size") * float(most)
+    table = ranked.select("source", "source_size", share.alias("share"), cap.alias("cap")).withColumn("ratio", F.col("cap") / F.col("share"))
+    by_ratio = [F.col("ratio"), order]
+    dealt = common.ordered_parts(table, *by_ratio, tag="shares")
     common.drop(parts)
-    return table.select("source", "source_size", F.least(cap, F.col("share") * level).alias("target"))
+    sums = dealt.groupBy("part").agg(F.sum("cap").alias("c"), F.sum("share").alias("s"))  # a row for each part
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("part", F.coalesce(F.sum("c").over(before), F.lit(0.0)).alias("cut"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("gone"))
+    total = dealt.agg(F.sum("source_size").alias("all"), F.sum("share").alias("share")).first()
+    inside = Window.partitionBy("part").orderBy(*by_ratio).rowsBetween(Window.unboundedPreceding, -1)
+    cut, gone = (F.col(base) + F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for base, c in (("cut", "cap"), ("gone", "share")))
+    level = (F.lit(float(total["all"] or 0)) - cut) / (F.lit(float(total["share"] or 0)) - gone)
+    levels = dealt.join(F.broadcast(bases), "part").select("ratio", "source", level.alias("level"))
+    first = levels.where("ratio > level").orderBy(*by_ratio).limit(1).first()
+    return dealt.select("source", "source_size", F.least("cap", F.col("share") * F.lit(first["level"])).alias("target") if first else F.col("cap").alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_EPOCHS, weight: str = "weight") -> DataFrame:
@@ -86,17 +93,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs as often as the mix takes them: a row for each complete epoch, one more for those that the rest takes, with the text
-    up to the last word taken. Rows that agree in doc_id, source and text are drawn as one."""
+    """docs as often as the mix takes them, whole: a row for each complete epoch, and one more for those that the rest of the
+    budget takes. The document that crosses the budget is taken if at least half of it is in, which is nearest to the target.
+    Rows that agree in doc_id, source and text are drawn as one."""
     rid = F.struct("doc_id", F.xxhash64("text").alias("_text"), "source")
     slim = docs.select(rid.alias("rid"), "doc_id", "source", common.word_count(F.col("text")).alias("size"))
-    rows = mix(quality(slim, labels)).groupBy("rid").agg(F.max("epochs").alias("__mix_epochs"), F.max("part").alias("__mix_part"), F.max("size").alias("__mix_size")).withColumnRenamed("rid", "__mix_row")
+    times = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    rows = mix(quality(slim, labels)).groupBy("rid").agg(F.max(times).cast("int").alias("__mix_times")).where("__mix_times > 0").withColumnRenamed("rid", "__mix_row")
     keyed = docs.withColumn("__mix_rid", rid)
-    out = keyed.join(rows, keyed["__mix_rid"].eqNullSafe(rows["__mix_row"])).withColumn("__mix_copy", F.explode(F.sequence(F.lit(0), F.col("__mix_epochs"))))
-    out = out.where((F.col("__mix_copy") < F.col("__mix_epochs")) | (F.col("__mix_part") > 0))
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + common.WORD), F.lit(0))
-    cut = F.when((F.col("__mix_copy") < F.col("__mix_epochs")) | (F.col("__mix_part") >= F.col("__mix_size")), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("__mix_part").cast("int")), ""))
-    return out.select(*(cut.alias(c) if c == "text" else F.length(cut).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    out = keyed.join(rows, keyed["__mix_rid"].eqNullSafe(rows["__mix_row"])).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))))
+    return out.select(*docs.columns)
 
 
 SQL = rf"""

@@ -1,6 +1,7 @@
 import pathlib
 import random
 import textwrap
+import unicodedata
 import zlib
 
 import pytest
@@ -109,6 +110,28 @@ def test_languages_held_out(spark):
     assert sum(r["rejected"] for r in out) <= 0.02 * len(out)
 
 
+def test_languages_against_brute_force(spark):
+    """A plain loop over the same dictionaries: sizes of blocks, the smallest sum, the score."""
+    import zstandard as z
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    known = lang_id.learnt(docs)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(-1, None), (-2, "½ ² Ⅷ 12!"), (-3, "ª"), (-4, "日本"), (-5, "x" * 40_000), (-6, "")]
+    got = {r["doc_id"]: r for r in lang_id.predict(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), known, names=("a", "b", "c")).collect()}
+    for i, text in rows:
+        if text is None or not any(unicodedata.category(x)[0] == "L" for x in text):
+            assert tuple(got[i][c] for c in "abc") == ("und", 0.0, True), i
+            continue
+        raw, sizes = text.lower().encode(), {}
+        n = -(-len(raw) // lang_id.BLOCK)
+        for lang, content in known.items():
+            box = z.ZstdCompressor(level=lang_id.LEVEL, dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(box.compress(raw[len(raw) * k // n : len(raw) * (k + 1) // n])) for k in range(n))
+        best, second = sorted(sizes.values())[:2]
+        score = (second - best) / second
+        assert sizes[got[i]["a"]] == best and got[i]["b"] == pytest.approx(score) and got[i]["c"] == (score < lang_id.MIN_SCORE), i
+
+
 def test_long_clean_texts_are_not_rejected(spark):
     rng = random.Random(12)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) > 40 and lang is not null")
@@ -326,7 +349,9 @@ def test_mixed_documents(spark):
     out = mixing.mix_documents(docs, labels)
     assert out.columns == docs.columns
     n = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    assert all(v <= 6 for v in n.values()) and out.where("text is not null and n_chars <> length(text)").count() == 0
+    assert all(v <= 6 for v in n.values())
+    given = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} <= given
     assert mixing.mix_documents(empty(spark), labels).count() == 0
     op = mixing.op3(spark, SMALL)
     assert op.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
