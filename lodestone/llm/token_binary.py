@@ -2,11 +2,13 @@
 
 Ids are replaced by their rank in frequency over the whole corpus, so that frequent ones take one byte. Four ids share a
 control byte (two bits each: their bytes less one), control bytes and data bytes lie apart, and numpy decodes them by a table
-of the 256 control bytes. Documents lie in ascending doc_id order; each file holds its documents' ids, lengths and the number of
-ids before it in the whole corpus.
+of the 256 control bytes. Documents lie in ascending doc_id order. A file is a row of blocks and, at its end, its documents' ids
+and lengths and the number of ids before it in the whole corpus, so it is written and read as a stream: no task holds more than
+some blocks, whatever the size of files.
 
-Null texts count as empty and have the end id alone; null doc_ids come first; rows that share a doc_id lie side by side; long
-texts are encoded whole and may span blocks; an empty table gives no files and no rows; other columns are not read.
+Null texts count as empty and have the end id alone; null doc_ids come first; rows that share a doc_id lie side by side, in the
+order of a hash of their texts; long texts are encoded whole and may span blocks; an empty table gives no files and no rows;
+other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from . import common
 from .token_counts import open_store
 from .tokens import library_table, tokenizer_path
 
-MAGIC, BLOCK = b"LSVB0001", 1 << 16
+MAGIC, BLOCK, FILE, FILES_A_TASK = b"LSVB0002", 1 << 16, 1 << 26, 8
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1
 
 
@@ -104,32 +106,51 @@ def write_files(rows: DataFrame, ranked: np.ndarray, folder: str) -> DataFrame:
         rank_of = np.zeros(int(ranks.max(initial=0)) + 1, np.uint32)
         rank_of[ranks] = np.arange(len(ranks), dtype=np.uint32)
 
-        def save(start, docs, parts):
+        class Writer:
             """Documents whose ids follow one another, as one file."""
-            name = f"{start:020d}-{uuid.uuid4().hex}.lsvb"
-            known = np.array([d is not None for d in docs], np.uint8)
-            with store.open_output_stream(f"{inside}/{name}") as f:
-                f.write(MAGIC + np.array([len(docs), start], "<i8").tobytes() + known.tobytes() + np.array([d or 0 for d in docs], "<i8").tobytes() + np.array([len(p) for p in parts], "<i8").tobytes())
-                flat = np.concatenate(parts)
-                for k in range(0, len(flat), BLOCK):
-                    raw = pack(rank_of[flat[k : k + BLOCK]])
-                    f.write(np.array([len(raw)], "<i8").tobytes() + raw)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(docs)], pa.int64())], ["file", "n_docs"])
-
-        begin, docs, parts, size = 0, [], [], 0
+
+            def __init__(self, start):
+                self.start, self.name = start, f"{start:020d}-{uuid.uuid4().hex}.lsvb"
+                self.docs, self.lens, self.held, self.n, self.size = [], [], [], 0, 0
+                self.file = store.open_output_stream(f"{inside}/{self.name}")
+                self.file.write(MAGIC)
+
+            def add(self, doc, ids):
+                self.docs.append(doc)
+                self.lens.append(len(ids))
+                self.held.append(ids)
+                self.n += len(ids)
+                self.size += len(ids)
+                if self.n >= 16 * BLOCK:
+                    self.flush(BLOCK)
+
+            def flush(self, least):
+                """Writes whole blocks, and with least 1 the rest too."""
+                flat = np.concatenate(self.held)
+                while len(flat) >= least:
+                    raw = pack(rank_of[flat[:BLOCK]])
+                    self.file.write(np.array([len(raw)], "<i8").tobytes() + raw)
+                    flat = flat[BLOCK:]
+                self.held, self.n = [flat], len(flat)
+
+            def close(self):
+                self.flush(1)
+                known = np.array([d is not None for d in self.docs], np.uint8)
+                tail = known.tobytes() + np.array([d or 0 for d in self.docs], "<i8").tobytes() + np.array(self.lens, "<i8").tobytes()
+                self.file.write(tail + np.array([len(self.docs), self.start], "<i8").tobytes())
+                self.file.close()
+                return pa.RecordBatch.from_arrays([pa.array([self.name]), pa.array([len(self.docs)], pa.int64())], ["file", "n_docs"])
+
+        now = None
         for batch in batches:
             for start, doc, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = _ids(raw)
-                if docs and (start != begin + size or size > 64 * BLOCK):
-                    yield save(begin, docs, parts)
-                    docs, parts = [], []
-                if not docs:
-                    begin, size = start, 0
-                docs.append(doc)
-                parts.append(ids)
-                size += len(ids)
-        if docs:
-            yield save(begin, docs, parts)
+                if now and (start != now.start + now.size or now.size > FILE):
+                    yield now.close()
+                    now = None
+                now = now or Writer(start)
+                now.add(doc, _ids(raw))
+        if now:
+            yield now.close()
 
     placed = rows.join(F.broadcast(bases), "part").select((F.col("at") + F.col("base")).alias("start"), "doc_id", "ids")
     return common.materialize(placed.mapInArrow(run, "file string, n_docs long"), "token-binaries")
@@ -143,23 +164,31 @@ def read_files(files: DataFrame, folder: str, digest=None) -> DataFrame:
         ranks = np.frombuffer(store.open_input_stream(f"{inside}/ranks").read(), "<u4")
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                with store.open_input_stream(f"{inside}/{name}") as f:
+                with store.open_input_file(f"{inside}/{name}") as f:
                     if f.read(len(MAGIC)) != MAGIC:
                         raise ValueError(f"{name} is no token file")
-                    n, start = (int(x) for x in np.frombuffer(f.read(16), "<i8"))
-                    known, docs, lens = np.frombuffer(f.read(n), np.uint8), np.frombuffer(f.read(8 * n), "<i8"), np.frombuffer(f.read(8 * n), "<i8")
-                    left, blocks = int(lens.sum()), []
-                    while left:
-                        size = int(np.frombuffer(f.read(8), "<i8")[0])
-                        blocks.append(ranks[unpack(f.read(size), min(BLOCK, left))])
-                        left -= len(blocks[-1])
-                flat, ends = np.concatenate(blocks), np.cumsum(lens)
-                raw = [flat[e - k : e].astype("<u4").tobytes() for e, k in zip(ends, lens)]
-                out = pa.array([zlib.crc32(x) for x in raw], pa.int64()) if digest else pa.array(raw, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=known == 0), pa.array(start + ends - lens), pa.array(lens), out], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+                    n, start = (int(x) for x in np.frombuffer(f.read_at(16, f.size() - 16), "<i8"))
+                    tail = f.read_at(17 * n, f.size() - 16 - 17 * n)
+                    known, docs, lens = np.frombuffer(tail, np.uint8, n), np.frombuffer(tail, "<i8", n, n), np.frombuffer(tail, "<i8", n, 9 * n)
+                    f.seek(len(MAGIC))
+                    ends, left, held, done, before = np.cumsum(lens), int(lens.sum()), [], 0, 0
+                    while done < n:
+                        size = 0  # of what is read of documents from done on
+                        while left and size < 16 * BLOCK + int(lens[done]):
+                            raw = f.read(int(np.frombuffer(f.read(8), "<i8")[0]))
+                            held.append(ranks[unpack(raw, min(BLOCK, left))])
+                            left -= len(held[-1])
+                            size = sum(map(len, held))
+                        flat = np.concatenate(held) if held else np.zeros(0, "<u4")
+                        to = int(np.searchsorted(ends, before + len(flat), side="right"))
+                        parts = [flat[e - k - before : e - before].astype("<u4").tobytes() for e, k in zip(ends[done:to], lens[done:to])]
+                        out = pa.array([zlib.crc32(x) for x in parts], pa.int64()) if digest else pa.array(parts, pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(docs[done:to], mask=known[done:to] == 0), pa.array(start + ends[done:to] - lens[done:to]), pa.array(lens[done:to]), out], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+                        held, done = [flat[ends[to - 1] - before :]], to
+                        before = int(ends[to - 1])
 
     last = "ids_crc32 long" if digest else "ids binary"
-    return files.select("file").repartition(max(1, files.count()), "file").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
+    return common.packed(files.select("file"), files.count(), FILES_A_TASK).mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def write(docs: DataFrame, folder: str, path: str, end: int = 2) -> DataFrame:
