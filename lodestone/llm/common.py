@@ -62,6 +62,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def packed(df: DataFrame, n: int, per_task: int) -> DataFrame:
+    """df's n small rows, each of which is work, dealt evenly: a task for each while cores are free, at most per_task a task after."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(n, max(4 * cores, -(-n // per_task)))))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

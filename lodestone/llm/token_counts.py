@@ -2,8 +2,12 @@
 
 Token files hold the ids of documents one after another, each followed by an end-of-document id, and nothing else. Blocks of
 a file are searched for that id with numpy; a prefix scan over one small row for each block stitches documents that cross
-block boundaries. Empty texts and nulls are documents of 0 tokens, empty files and tables give no rows, repeated rows are
-documents of their own, text behind a file's last separator is a document without an end (ended is false).
+block boundaries. Ids take two bytes, or four where the tokenizer has larger ones.
+
+Empty texts and nulls are documents of 0 tokens, empty files and tables give no rows, repeated rows are documents of their own,
+also where they share a doc_id, which may be null: documents are told apart by file and place, so nothing is tied. Very long
+texts are encoded whole and may span any number of blocks. Text behind a file's last separator is a document without an end
+(ended is false). Columns besides doc_id and text, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -16,22 +20,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import library_table, tokenizer_path
+from .tokens import library_table, token_type, tokenizer_path
 
 DTYPE = "<u2"
-BLOCK = 4 << 20
+BLOCK, BLOCKS_A_TASK = 4 << 20, 64
+#: Names that Hadoop has for a store, and the library's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "dbfs": "file"}
 
 
 def open_store(path: str):
-    """(filesystem, path in it): a local, HDFS or object store, by the URI."""
+    """(filesystem, path in it): a local, HDFS or object store, by the URI, under Hadoop's names of them too."""
     from pyarrow import fs
 
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme in SCHEMES:
+        path = f"file:///dbfs/{rest.lstrip('/')}" if scheme == "dbfs" else f"{SCHEMES[scheme]}:{rest}"
     return fs.FileSystem.from_uri(path)
 
 
-def write_token_files(docs: DataFrame, path: str, eod: int, folder: str, dtype: str = DTYPE, chars: int = 2_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, eod: int, folder: str, dtype: str | None = None, chars: int = 2_000_000) -> DataFrame:
     """A token file for each partition, in folder. Rows: file, ordinal, doc_id. The rows are written too, so a task that runs
-    twice leaves a file that no row names."""
+    twice leaves a file that no row names. dtype: by default what the tokenizer's ids need; one too small is refused."""
+    needed = token_type(path)
+    dtype = dtype or needed
+    if np.dtype(dtype).itemsize < np.dtype(needed).itemsize:
+        raise ValueError(f"ids of {path} do not fit {dtype}")
     if eod >= 1 << (8 * np.dtype(dtype).itemsize):
         raise ValueError(f"{eod} does not fit {dtype}")
 
@@ -84,8 +97,7 @@ def scan(spark: SparkSession, folder: str, files: DataFrame, eod: int, dtype: st
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at // width], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(ends)], pa.int64()), last, docs], ["file", "at", "size", "n", "last", "docs"])
 
     blocks = common.materialize(files.select("file").mapInArrow(sizes, "file string, at long, size long"), "token-spans")
-    blocks = blocks.repartition(max(1, blocks.count()), "file", "at")  # a block is work enough for a task
-    found = blocks.mapInArrow(read, "file string, at long, size long, n long, last long, docs array<struct<start: long, end: long>>")
+    found = common.packed(blocks, blocks.count(), BLOCKS_A_TASK).mapInArrow(read, "file string, at long, size long, n long, last long, docs array<struct<start: long, end: long>>")
     found = common.materialize(found, "token-blocks")
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("file").orderBy("at").rowsBetween(1, 1)
@@ -108,6 +120,6 @@ def count(docs: DataFrame, path: str, eod: int = 50256, block: int = BLOCK) -> D
     common.small_batches(spark)
     folder = common.new_path(spark, "token-files")
     order = write_token_files(docs, path, eod, folder)
-    spans = scan(spark, folder, order.select("file").distinct(), eod, block=block)
+    spans = scan(spark, folder, order.select("file").distinct(), eod, token_type(path), block)
     common.remove(spark, folder)  # what scan() found is written
     return order.join(spans, ["file", "ordinal"]).select("doc_id", "n_tokens")

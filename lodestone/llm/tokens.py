@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-MAX_UNITS = 1_200_000
+MAX_UNITS, MAX_CHARS = 1_200_000, 24_000_000
 RUN = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -31,22 +31,23 @@ class _Index(dict):
 
     def __missing__(self, key: str) -> int:
         n = self[key] = len(self.owner.lens) + len(self.owner.waiting)
+        self.owner.chars += len(key)
         self.owner.waiting.append(self.prefix + key)
         return n
 
 
 class UnitTable:
-    """Ids of units in one flat array. encoder: list of texts -> (flat ids, ids of each). Bounded: past max_units only the units
-    that were met again stay, and none if those are over half."""
+    """Ids of units in one flat array. encoder: list of texts -> (flat ids, ids of each). Bounded: past max_units units or max_chars
+    characters of them only the units that were met again stay, and none if those are over half of either."""
 
-    def __init__(self, encoder, max_units: int = MAX_UNITS):
-        self.encoder, self.max_units = encoder, max_units
+    def __init__(self, encoder, max_units: int = MAX_UNITS, max_chars: int = MAX_CHARS):
+        self.encoder, self.max_units, self.max_chars = encoder, max_units, max_chars
         self.clear()
 
     def clear(self) -> None:
         self.first, self.rest, self.waiting = _Index(self, ""), _Index(self, " "), []
         self.flat, self.lens, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = np.zeros(0, np.int64)
+        self.used, self.chars = np.zeros(0, np.int64), 0
 
     def _shrink(self) -> None:
         stay = np.flatnonzero(self.used > 1)
@@ -58,6 +59,9 @@ class UnitTable:
             kept = [(k, new[n]) for k, n in index.items() if new[n] >= 0]
             index.clear()
             index.update((k, int(n)) for k, n in kept)
+        self.chars = sum(map(len, self.first)) + sum(map(len, self.rest))
+        if 2 * self.chars > self.max_chars:
+            return self.clear()
         self.starts, self.lens, self.used = self.starts[stay], self.lens[stay], np.zeros(len(stay), np.int64)
         ends = np.cumsum(self.lens)
         self.flat = self.flat[np.arange(self.lens.sum()) + np.repeat(self.starts - (ends - self.lens), self.lens)]
@@ -71,7 +75,7 @@ class UnitTable:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids as uint32, ids of each text)."""
-        if len(self.lens) > self.max_units:
+        if len(self.lens) > self.max_units or self.chars > self.max_chars:
             self._shrink()
         numbers, per_text = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -146,6 +150,14 @@ class LibraryEncoder:
         return unit[:1] == " " and len(unit.strip()) == len(unit) - 1
 
 
+def token_type(path: str) -> str:
+    """The unsigned integers that hold all of a tokenizer's ids: two bytes, or four."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    return "<u2" if max([*t.get_vocab().values(), *t.get_added_tokens_decoder()]) < 1 << 16 else "<u4"
+
+
 _tables: dict = {}
 
 

@@ -110,6 +110,34 @@ def test_op9(spark, library):
     assert token_binary.read_files(token_binary.write(empty(spark), common.new_path(spark, "none"), PATH), folder).count() == 0
 
 
+def test_files_of_many_blocks_are_streams(spark, library):
+    texts = ["w x y z " * (i % 7) * (50_000 if i == 20 else 1) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    folder = common.new_path(spark, "one")
+    got = token_binary.read_files(token_binary.write(docs, folder, PATH), folder, "crc32").orderBy("doc_id").collect()
+    want = [np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for t in texts]
+    starts = np.cumsum([0, *map(len, want)])
+    assert [tuple(r) for r in got] == [(i, starts[i], len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)]
+    assert starts[-1] > 17 * token_binary.BLOCK
+
+
+def test_types_of_ids(spark, monkeypatch):
+    assert tokens.token_type(PATH) == "<u2"
+    monkeypatch.setattr(token_counts, "token_type", lambda path: "<u4")
+    with pytest.raises(ValueError):
+        token_counts.write_token_files(awkward(spark), PATH, 50256, "file:///none", "<u2")
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    assert {tuple(r) for r in token_counts.count(docs, PATH).collect()} == {(1, len(Tokenizer.from_file(PATH).encode("some words", add_special_tokens=False).ids)), (2, 0)}
+
+
+def test_units_are_bounded_by_their_characters(library):
+    table = tokens.UnitTable(tokens.LibraryEncoder(PATH), max_chars=300)
+    for k in range(40):
+        text = " ".join(f"unit{k}x{j}" for j in range(20))
+        assert table.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert table.chars < 600
+
+
 def test_wide_ids(spark):
     rows = spark.createDataFrame([(0, 0, 1, bytearray(b"\1" + np.array([5, 70_000], "<u4").tobytes())), (0, 2, 2, bytearray(np.array([5], "<u2").tobytes()))], "part int, at long, doc_id long, ids binary")
     ranked = token_binary.ranking(rows)
