@@ -1,4 +1,12 @@
-"""A corpus pipeline: documents to the token ids of a mix, in five stages, each written before the next one reads it."""
+"""A corpus pipeline: documents to the token ids of a mix, in five stages, each written before the next one reads it.
+
+All stages but the last return the columns of documents, and of them only text and n_chars (line_dedup) and null values of lang
+(language_id) are changed: columns of other tables, of whatever name, pass through. Null and empty texts, and texts without a
+letter, have no language and end at the first stage; so do texts whose language is not told with a margin. A text of which every
+line is repeated becomes empty and stays in later stages, where it is linked with nothing and mixed with size 0. Rows that share
+doc_id and text are treated alike by every stage; null doc_ids are allowed. Very long texts are taken whole. Ties go to the
+smaller doc_id. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +20,9 @@ from lodestone.llm.tokens import tokenizer_path
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin; those without lang get it."""
     common.small_batches(spark)
-    told = lang_id.predict(docs, lang_id.learnt(docs)).where("not rejected")
-    return told.select(*(F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns))
+    names = ("__lang_pred", "__lang_score", "__lang_rejected")
+    told = lang_id.predict(docs, lang_id.learnt(docs), names=names).where(~F.col(names[2]))
+    return told.select(*(F.coalesce("lang", names[0]).alias(c) if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +36,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, whole."""
     return mixing.mix_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
