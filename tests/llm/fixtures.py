@@ -17,7 +17,7 @@ AWKWARD = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: A column of an operator's own names, which is to be overwritten or left out, never to clash.
-CLASH = ("score", "kept", "ids", "size", "n", "part", "start", "hash", "_h", "digest", "host_rate", "_host", "rid", "_rid", "n_lines", "lines", "hosts")
+CLASH = ("score", "kept", "ids", "size", "n", "part", "start", "hash", "_h", "digest", "host_rate", "_host", "rid", "_rid", "n_lines", "n_removed", "lines", "hosts", "rejected", "lang_pred", "epochs", "taken", "weight")
 
 
 def awkward(spark, extra=False):
