@@ -266,7 +266,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, shard: int = SHARD,
                 out[4].extend(visits)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.int64()))], ["query_id", "block", "q", "bound", "shard"])
 
-    routed = asked.select("vec_id", "cell", "raw", "own").mapInArrow(route, "query_id long, block long, q binary, bound double, shard long")
+    asked = common.packed(asked.select("vec_id", "cell", "raw", "own"), int(queries.sum()), query_block)
+    routed = asked.mapInArrow(route, "query_id long, block long, q binary, bound double, shard long")
     routed = common.materialize(routed, "visits")
     entries = listed.mapInArrow(place, "shard long, cell int, vec_id long, raw binary")
     entries = entries.join(routed.select(F.col("shard").alias("shard"), F.col("block").alias("block")).distinct(), "shard")
