@@ -1,46 +1,35 @@
-"""Date literals of filters: parsed on the driver, widened by operator where they have no time."""
+"""What a text may mean as a time: a span of seconds in UTC.
+
+A text is read twice, upon two defaults that differ in every field. Where the readings differ in the date, the text names no day
+and is refused; where they differ in the hour, it names a day without a time and means all of it; else it means one second.
+Texts without a zone are in UTC. Names of days and months are words, never a sign of a time.
+"""
 
 from __future__ import annotations
 
-from datetime import UTC, datetime, time
+from datetime import UTC, datetime
 
 from dateutil import parser
 
-
-def has_time(text: str) -> bool:
-    """T, a colon, AM or PM count as a time, and so does a parsed time other than midnight."""
-    if "T" in text or ":" in text or any(m in text.upper() for m in ("AM", "PM")):
-        return True
-    try:
-        t = parser.parse(text)
-    except (ValueError, OverflowError):
-        return False
-    return (t.hour, t.minute, t.second) != (0, 0, 0)
+DEFAULTS = (datetime(2000, 1, 1, 0, 0, 0), datetime(2001, 2, 2, 23, 59, 59))
+#: Which end of a span an operator compares with.
+END = {"<": 0, ">=": 0, "!=": 0, ">": 1, "<=": 1}
 
 
-def parse(text: str, operator: str | None = None) -> datetime:
-    """In UTC, without microseconds. A bare day stands for its end after > and <=, else for its start."""
-    text = unquote(text)
+def span(text: str) -> tuple[datetime, datetime]:
+    """The first and the last second that text may mean; ValueError where it is no date."""
     try:
-        t = parser.parse(text)
-    except (ValueError, TypeError, OverflowError) as e:
-        raise ValueError(f"Invalid datetime format: {text!r}") from e
-    if not has_time(text):
-        t = datetime.combine(t.date(), time(23, 59, 59) if operator in (">", "<=") else time(0), t.tzinfo)
-    t = t.replace(tzinfo=UTC) if t.tzinfo is None else t.astimezone(UTC)
-    return t.replace(microsecond=0)
-
-
-def day(text: str) -> tuple[datetime, datetime]:
-    """First and last second of the day that text names."""
-    t = parser.parse(unquote(text))
-    t = t.replace(tzinfo=UTC) if t.tzinfo is None else t.astimezone(UTC)
-    return t.replace(hour=0, minute=0, second=0, microsecond=0), t.replace(hour=23, minute=59, second=59, microsecond=0)
-
-
-def unquote(text: str) -> str:
-    return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'" else text
-
-
-def iso(t: datetime) -> str:
-    return t.astimezone(UTC).replace(microsecond=0).isoformat().replace("+00:00", "Z")
+        first, last = (parser.parse(text.strip("\"'"), default=d) for d in DEFAULTS)
+    except (ValueError, TypeError, OverflowError, AttributeError) as e:
+        raise ValueError(f"{text!r} is no date") from e
+    if (first.year, first.month) != (last.year, last.month) or first.day != last.day:
+        raise ValueError(f"{text!r} names no whole date")
+    if first.hour == last.hour:
+        last = first
+    utc = lambda t: (t.astimezone(UTC) if t.tzinfo else t.replace(tzinfo=UTC)).replace(microsecond=0)
+    return utc(first), utc(last)
+
+
+def bound(text: str, operator: str) -> datetime:
+    """The second that operator compares with: of a bare day its end after > and <=, else its start."""
+    return span(text)[END[operator]]

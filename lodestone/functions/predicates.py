@@ -80,6 +80,16 @@ def moment(t: datetime) -> Column:
     return F.lit(t.replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
 
 
+def date_literal(value: Any, read, *args):
+    """read(value, *args), where value is a text and not a bare number."""
+    if not isinstance(value, str) or value.strip("\"' ").isdigit():
+        raise FilterError(f"{value!r} is no date")
+    try:
+        return read(value, *args)
+    except ValueError as e:
+        raise FilterError(str(e)) from None
+
+
 class Field:
     """A metadata field in conditions; col is where its values are, by default a column of its name."""
 
@@ -100,23 +110,25 @@ class Field:
             raise FilterError("a list of values is needed, not empty")
         return F.array(*(F.lit(literal(kind, v)) for v in values)).cast(f"array<{TYPES[kind].simpleString()}>")
 
+    def _bound(self, value: Any, op: str) -> Column:
+        return moment(date_literal(value, dates.bound, op))
+
     def compare(self, op: str, value: Any) -> Condition:
         self._allow(op)
         f = self.field
         if f.type == "array":
             return Condition(COMPARE[op](self.col, self._list(value)))
         if f.type == "datetime":
-            if not isinstance(value, str) or value.strip().isdigit():
-                raise FilterError(f"{value!r} is no date")
-            if op in ("==", "=") and not dates.has_time(value):
-                return Condition(self.col.between(*map(moment, dates.day(value))))
-            return Condition(COMPARE[op](self.col, moment(dates.parse(value, op))))
+            if op in ("==", "="):
+                first, last = date_literal(value, dates.span)
+                return Condition(self.col == moment(first) if first == last else self.col.between(moment(first), moment(last)))
+            return Condition(COMPARE[op](self.col, self._bound(value, op)))
         return Condition(COMPARE[op](self.col, F.lit(literal(f.type, value))))
 
     def between(self, low: Any, high: Any) -> Condition:
         self._allow("between")
         if self.field.type == "datetime":
-            a, b = dates.parse(low, ">="), dates.parse(high, "<=")
+            a, b = date_literal(low, dates.bound, ">="), date_literal(high, dates.bound, "<=")
         else:
             a, b = literal(self.field.type, low), literal(self.field.type, high)
         if a > b:
@@ -126,11 +138,11 @@ class Field:
 
     def before(self, value: str) -> Condition:
         self._allow("before")
-        return Condition(self.col < moment(dates.parse(value, "<")))
+        return Condition(self.col < self._bound(value, "<"))
 
     def after(self, value: str) -> Condition:
         self._allow("after")
-        return Condition(self.col > moment(dates.parse(value, ">")))
+        return Condition(self.col > self._bound(value, ">"))
 
     def like(self, pattern: str, ignore_case: bool = True) -> Condition:
         """Stored strings are in lower case, so the pattern is lowered unless told otherwise."""
@@ -213,6 +225,9 @@ def from_openai(spec: dict, schema: MetadataSchema, cols: dict[str, Column] | No
         if not parts:
             raise FilterError(f"{kind} without filters")
         return (all_of if kind == "and" else any_of)(parts)
+    for part in ("key", "value"):
+        if part not in spec:
+            raise FilterError(f"a {kind} filter needs a {part}")
     f = Field(schema, spec["key"], (cols or {}).get(spec["key"]))
     value = spec["value"]
     if kind in NAMES:
@@ -223,13 +238,21 @@ def from_openai(spec: dict, schema: MetadataSchema, cols: dict[str, Column] | No
     raise FilterError(f"unknown filter type {kind}")
 
 
+def wildcard(pattern: str) -> str:
+    """* and ? as LIKE has them; what LIKE would take for its own signs is escaped."""
+    signs = {"*": "%", "?": "_"}
+    return "".join(signs.get(c, f"\\{c}" if c in "%_\\" else c) for c in pattern)
+
+
 def from_query_dsl(clauses: list[dict] | dict, schema: MetadataSchema, cols: dict[str, Column] | None = None) -> Condition:
     """term, terms, range, wildcard and bool (must, filter, must_not, should with minimum_should_match) clauses; a list is a conjunction."""
     if isinstance(clauses, list):
         return all_of([from_query_dsl(c, schema, cols) for c in clauses]) if clauses else Condition(F.lit(True))
-    (kind, body), *rest = clauses.items()
-    if rest:
+    if len(clauses) != 1:
         raise FilterError("a clause has one kind")
+    ((kind, body),) = clauses.items()
+    if not isinstance(body, dict) or not body:
+        raise FilterError(f"{kind} needs a body")
     if kind == "bool":
         again = lambda k: [from_query_dsl(c, schema, cols) for c in (body.get(k, []) if isinstance(body.get(k, []), list) else [body[k]])]
         parts = again("must") + again("filter") + [~c for c in again("must_not")]
@@ -244,9 +267,13 @@ def from_query_dsl(clauses: list[dict] | dict, schema: MetadataSchema, cols: dic
     if kind == "terms":
         return f.isin(value)
     if kind == "range":
+        if not isinstance(value, dict) or not value or set(value) - set(NAMES):
+            raise FilterError(f"a range takes {', '.join(NAMES)}")
         return all_of([f.compare(NAMES[k], v) for k, v in value.items()])
     if kind == "wildcard":
-        return f.like(value.replace("*", "%").replace("?", "_"))
+        if not isinstance(value, str):
+            raise FilterError("wildcard needs a pattern")
+        return f.like(wildcard(value))
     raise FilterError(f"unknown clause {kind}")
 
 

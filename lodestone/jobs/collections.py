@@ -178,13 +178,10 @@ def source_blocks(spark, sf_dir):
 SELECT collection_name, count(*) AS n_chunks, CAST(count(DISTINCT document_name) AS BIGINT) AS n_documents FROM kept GROUP BY 1""")
 def collection_store(spark, sf_dir):
     """All chunks go into a store of collections, from which two collections and the pending orders of a third are deleted."""
-    import tempfile
-    import uuid
-
+    from ..sources.shared import place
     from ..sources.store import ParquetStore
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    store = ParquetStore(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}", "pk long, document_name string, l_quantity double, collection_name string")
+    store = ParquetStore(spark, place(spark, "store"), "pk long, document_name string, l_quantity double, collection_name string")
     store.create_all(["3", "5", "7"])
     store.add(chunks(spark, sf_dir).select("pk", "document_name", "l_quantity", "collection_name").repartition("collection_name"))
     store.drop(["3", "7"])

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources.shared import place as _place
 from ..streaming import ingest
 from .registry import query
 from .texts import STATUS_SQL, status_log
 
 
-def _place(spark, name: str) -> str:
-    """A new folder in the one that executors share, or a temporary one where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark, sf_dir, name):
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
@@ -34,13 +26,13 @@ last AS (SELECT task, arg_max(status, ts) AS status, max(ts) AS t, min(ts) FILTE
 SELECT task, status, started_at, CASE WHEN status IN ('SUCCESS', 'FAILED') THEN t END AS completed_at FROM last""")
 def stream_status(spark, sf_dir):
     rows = ingest.statuses(status_log(_stream(spark, sf_dir, "events")))
-    return ingest.run_once(spark, rows, _place(spark, "checkpoint"), _place(spark, "statuses"))
+    return ingest.run_once(rows, ["task"], _place(spark, "checkpoint"), _place(spark, "statuses"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, sf_dir):
     rows = ingest.counts_by_window(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
-    out = ingest.run_once(spark, rows, _place(spark, "checkpoint"), _place(spark, "windows"))
+    out = ingest.run_once(rows, ["window_start", "event_type"], _place(spark, "checkpoint"), _place(spark, "windows"))
     return out.withColumn("total", F.round("total", 6)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, chat, loops, summarize
-from ..operators.chunking import chunk, page_groups
+from ..operators.chunking import chunk, chunk_sql, page_groups
 from .registry import query, table
 
 WORDS_SQL = "len(list_filter(string_split_regex({}, '[ \\t\\r\\n\\f]+'), lambda w: w <> ''))"
 
 
-@query()
+@query(chunk_sql(256, 40))
 def chunk_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return chunk(docs, 256, 40)

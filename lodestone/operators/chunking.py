@@ -1,55 +1,92 @@
-"""Token windows of texts, their ends moved back to a separator."""
+"""Chunks of texts, in DataFrame functions alone.
 
-from __future__ import annotations
+A text is a row of units: a word or a sign, with the white space behind it; a unit counts as a token. A chunk takes units up to
+size, and ends, if the text goes on, behind the strongest kind of boundary in the last SNAP of it: an empty line, a line's end,
+a sentence's end, a blank, else anywhere; of equal ones the last. The next chunk starts overlap units before that end. So chunks
+cover every unit, none lies inside another, and joined without their overlaps they are the text.
+"""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"\w+|[^\w\s]")
-SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", " ")
-
-
-def windows(text: str | None, size: int, overlap: int) -> list[str]:
-    """Chunks of at most size tokens, each size - overlap tokens after the one before. A chunk ends behind the last separator of
-    its last 30 per cent, the strongest kind that is there, unless that makes it too long."""
-    if not text or not text.strip():
-        return []
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    if len(spans) <= size:
-        return [text]
-    out = []
-    for i in range(0, len(spans), max(1, size - max(0, min(overlap, size - 1)))):
-        a, b = spans[i][0], spans[min(i + size, len(spans)) - 1][1]
-        low, end = max(a, b - int((b - a) * 0.3)), b
-        for s in SEPARATORS:
-            at = text.rfind(s, low, b + len(s))
-            if at >= 0:
-                end = at + len(s)
-                break
-        if end > b and len(TOKEN.findall(text[a:end])) > size:
-            end = b
-        if text[a:end].strip():
-            out.append(text[a:end])
-    return out
+from ..functions.text import let
 
+SPACE = r" \t\n\r\f\x0B"
+UNIT = rf"[\p{{L}}\p{{N}}_]+[{SPACE}]*|[^\p{{L}}\p{{N}}_{SPACE}][{SPACE}]*|[{SPACE}]+"
+SNAP = 0.3
+#: Kinds of boundaries, the strongest first: what the unit before one matches.
+BOUNDARIES = (r"\n[ \t\r]*\n", r"\n", rf"^[.!?][{SPACE}]", rf"[{SPACE}]$")
+
+
+def units(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+
+
+def token_length(text: Column) -> Column:
+    return F.size(units(text)).cast("long")
+
+
+def strength(unit: Column) -> Column:
+    found = F.lit(0)
+    for n, pattern in enumerate(reversed(BOUNDARIES), 1):
+        found = F.when(unit.rlike(pattern), n).otherwise(found)
+    return found
 
-def chunk(docs: DataFrame, size: int = 1024, overlap: int = 150, text: str = "text") -> DataFrame:
-    """docs without text, with chunk_no and chunk: a row for each chunk."""
-    if size <= 0:
-        raise ValueError("size is positive")
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: windows(x, size, overlap))
+def spans(parts: Column, size: int, overlap: int) -> Column:
+    """(start, stop) of the chunks of an array of units: a fold over as many steps as there can be chunks."""
+    least = max(1, int(size * (1 - SNAP)))
 
-    others = [c for c in docs.columns if c != text]
-    rows = docs.select(*others, F.posexplode(cut(F.col(text))).alias("chunk_no", "chunk"))
+    def fold(kinds: Column) -> Column:
+        n = F.size(kinds)
+        state = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+
+        def step(s: Column, _: Column) -> Column:
+            start = s["start"]
+            ends = F.transform(F.sequence(start + least, start + size), lambda e: F.struct(F.get(kinds, e - 1).alias("k"), e.alias("e")))
+            stop = F.when(start + size >= n, n).otherwise(F.array_max(ends)["e"])
+            here = F.concat(s["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"))))
+            after = F.when(stop >= n, n).otherwise(F.greatest(stop - overlap, start + 1))
+            return F.when(start >= n, s).otherwise(let(here, lambda h: F.struct(after.alias("start"), h.alias("out"))))
+
+        steps = F.sequence(F.lit(0), F.floor(n / max(1, least - overlap)).cast("int") + 1)
+        return F.aggregate(steps, state, step, lambda s: s["out"])
+
+    return let(F.transform(parts, strength), fold)
+
+
+def chunk(docs: DataFrame, size: int = 1024, overlap: int = 150, text: str = "text") -> DataFrame:
+    """docs without text, with chunk_no and chunk: a row for each chunk; texts that are null or blank have none. Overlaps of more
+    than half of size count as half."""
+    if size <= 0 or overlap < 0:
+        raise ValueError("size is positive, overlap not negative")
+    overlap = min(overlap, size // 2)
+    joined = lambda u, s: F.array_join(F.slice(u, s["start"] + 1, s["stop"] - s["start"]), "")
+    pieces = let(units(F.col(text)), lambda u: F.transform(spans(u, size, overlap), lambda s: joined(u, s)))
+    others = [c for c in docs.columns if c not in (text, "chunk_no", "chunk")]
+    rows = docs.where(F.col(text).rlike(rf"[^{SPACE}]")).select(*others, F.posexplode(pieces).alias("chunk_no", "chunk"))
     return rows.withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
+def chunk_sql(size: int, overlap: int, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """The same chunks as a query: key, chunk_no, chunk."""
+    least = max(1, int(size * (1 - SNAP)))
+    kind = "CASE " + " ".join(f"WHEN regexp_matches(u, '{p}') THEN {len(BOUNDARIES) - i}" for i, p in enumerate(BOUNDARIES)) + " ELSE 0 END"
+    best = f"list_max(list_transform(range(stop0 - {size - least}, stop0 + 1), lambda e: CAST(kinds[e] AS BIGINT) * 1000000000 + e)) % 1000000000"
+    stop = f"CASE WHEN stop0 >= n THEN n ELSE {best} END"
+    return f"""WITH RECURSIVE parts AS (SELECT {key}, regexp_extract_all({text}, '{UNIT}') AS parts FROM {table} WHERE regexp_matches({text}, '[^{SPACE}]')),
+kinds AS (SELECT {key}, parts, list_transform(parts, lambda u: {kind}) AS kinds, len(parts) AS n FROM parts),
+walk AS (
+  SELECT {key}, 0 AS chunk_no, CAST(0 AS BIGINT) AS start, {stop} AS stop, n FROM (SELECT *, {size} AS stop0 FROM kinds)
+  UNION ALL
+  SELECT {key}, chunk_no + 1, start, {stop}, n FROM (
+    SELECT w.{key}, w.chunk_no, greatest(w.stop - {overlap}, w.start + 1) AS start, greatest(w.stop - {overlap}, w.start + 1) + {size} AS stop0, k.n, k.kinds
+    FROM walk w JOIN kinds k ON w.{key} = k.{key} WHERE w.stop < w.n))
+SELECT w.{key}, CAST(chunk_no AS BIGINT) AS chunk_no, array_to_string(parts[start + 1:stop], '') AS chunk FROM walk w JOIN kinds k ON w.{key} = k.{key}"""
+
+
 def page_groups(pages: DataFrame, per: int = 16, page: str = "page_number") -> DataFrame:
     """Pages with part_no: per pages make a part, so that long files are read in parallel."""
     return pages.withColumn("part_no", F.floor((F.col(page) - 1) / per))

@@ -7,6 +7,8 @@ from typing import Protocol
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 class Generator(Protocol):
     def __call__(self, prompt: Column, max_chars: int) -> Column: ...
@@ -16,11 +18,29 @@ class Embedder(Protocol):
     def __call__(self, text: Column) -> Column: ...
 
 
+class Reranker(Protocol):
+    """The relevance of a text to a query, as a logit."""
+
+    def __call__(self, query: Column, text: Column) -> Column: ...
+
+
+def shared_words(query: Column, text: Column) -> Column:
+    """A Reranker: ten times the share of the query's distinct words that text has, less five; -5 for a query without words."""
+    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return let(words(query), lambda q: F.when(F.size(q) > 0, 10.0 * F.size(F.array_intersect(q, words(F.coalesce(text, F.lit(""))))) / F.size(q) - 5.0).otherwise(-5.0))
+
+
 def first_sentences(prompt: Column, max_chars: int = 200) -> Column:
-    """The sentences that begin within max_chars; at least the first."""
+    """The first sentences, up to the one that does not fit max_chars; at least the first."""
     sentences = F.filter(F.split(prompt, r"(?<=[.!?])\s+"), lambda s: s != "")
-    kept = F.aggregate(sentences, F.lit(""), lambda a, s: F.when((a == "") | (F.length(a) + F.length(s) + 1 <= max_chars), F.concat(a, F.when(a == "", "").otherwise(" "), s)).otherwise(a))
-    return kept
+
+    def step(a: Column, s: Column) -> Column:
+        first = a["text"] == ""
+        fits = a["open"] & (first | (F.length(a["text"]) + F.length(s) + 1 <= max_chars))
+        more = F.concat(a["text"], F.when(first, "").otherwise(" "), s)
+        return F.struct(F.when(fits, more).otherwise(a["text"]).alias("text"), fits.alias("open"))
+
+    return F.aggregate(sentences, F.struct(F.lit("").alias("text"), F.lit(True).alias("open")), step, lambda a: a["text"])
 
 
 def hashed_embedding(text: Column, dimensions: int = 64) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import operator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -11,9 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import Condition
 from ..functions.text import sigmoid
+from ..sources.shared import written
+from .models import Reranker
 
-METRICS = ("l2", "cosine")
+METRICS, MOST_COLLECTIONS = ("l2", "cosine"), 5
 SHARD_ROWS, QUERY_ROWS = 20_000, 1_000
 
 
@@ -31,6 +35,14 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def comparable(v: Column, dimensions: int, directed: bool = False) -> Column:
+    """Whether a vector takes part in a search: as long as the query, without nulls and numbers that are not finite, and, where
+    directions are compared, not zero."""
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fit = F.coalesce((F.size(v) == dimensions) & finite, F.lit(False))
+    return fit & F.exists(v, lambda x: x != 0) if directed else fit
+
+
 def top_k(rows: DataFrame, score: str, k: int, by: list[str] | None = None, tie: str = "pk", descending: bool = False) -> DataFrame:
     """The k best rows of each group with rank from 1; ties go to the smaller tie. Partial limits run before the shuffle."""
     w = Window.partitionBy(*(by or [])).orderBy(F.desc(score) if descending else F.asc(score), tie)
@@ -41,39 +53,58 @@ def top_k(rows: DataFrame, score: str, k: int, by: list[str] | None = None, tie:
 
 
 def search_one(chunks: DataFrame, query: list[float], k: int, metric: str = "l2", condition: Column | None = None, vector: str = "embedding", pk: str = "vec_id") -> DataFrame:
-    """The k chunks nearest to one vector among those that condition holds for; the condition reaches the scan."""
+    """The k chunks nearest to one vector among those that condition holds for; the condition reaches the scan. Vectors that are
+    null, of another length, not finite or, for cosine, zero are not found; a query like that is refused."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
+    if any(x is None or not math.isfinite(x) for x in query) or metric == "cosine" and not any(query):
+        raise ValueError("the query's numbers must be finite, and for cosine not all zero")
     rows = chunks if condition is None else chunks.where(condition)
+    rows = rows.where(comparable(F.col(vector), len(query), metric == "cosine"))
     q = F.array(*(F.lit(float(x)) for x in query))
     distance = (l2 if metric == "l2" else cosine_distance)(F.col(vector), q)
     return top_k(rows.withColumn("distance", distance), "distance", k, tie=pk)
 
 
+def flat(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
 def search_many(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2", pk: str = "vec_id", vector: str = "embedding", n_rows: int | None = None, n_queries: int | None = None) -> DataFrame:
     """query_id, vec_id, distance, rank: for each query (query_id, query) the k nearest chunks, the query's own id left out.
-    Rows are dealt to shards and queries to blocks, each pair of them is one task's matrix product, which keeps k rows a query."""
+    The search is exhaustive: a set of queries against all rows, in blocks. Rows are dealt to shards and queries to blocks, each
+    pair of them is one task's matrix product, which keeps k rows a query. Vectors whose length is not the queries' most frequent
+    one, or that are null, not finite or, for cosine, zero take no part on either side."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
+    length = queries.where("query is not null").groupBy(F.size("query").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    width = length["d"] if length else 0
     n_rows, n_queries = n_rows or chunks.count(), n_queries or queries.count()
     shards, blocks = max(1, -(-n_rows // SHARD_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
-    rows = chunks.select(F.col(pk).alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    rows = chunks.where(comparable(F.col(vector), width, metric == "cosine")).select(F.col(pk).alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    asked = queries.where(comparable(F.col("query"), width, metric == "cosine")).select("query_id", F.col("query").cast("array<double>").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
     def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
         if left.num_rows and right.num_rows:
-            ids, v = left.column("vec_id").to_numpy(), np.array(left.column("v").to_pylist())
-            norm = np.sqrt((v * v).sum(1))
-            for qid, q in zip(right.column("query_id").to_pylist(), right.column("q").to_pylist()):
-                q = np.array(q)
-                d = np.sqrt(((v - q) ** 2).sum(1)) if metric == "l2" else 1 - (v * q).sum(1) / (norm * np.sqrt((q * q).sum()))
-                d = np.where(ids == qid, np.inf, d)
-                near = np.lexsort((ids, d))[: min(k, int(np.isfinite(d).sum()))]
-                for column, values in zip(out, ([qid] * len(near), ids[near], d[near])):
-                    column.extend(values)
+            ids, own = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
+            v, q = flat(left.column("v"), width), flat(right.column("q"), width)
+            norm, size = np.sqrt((v * v).sum(1)), np.sqrt((q * q).sum(1))
+            for a in range(0, len(q), 100):
+                product = q[a : a + 100] @ v.T
+                rough = norm**2 - 2 * product if metric == "l2" else -product / norm
+                for i in range(len(rough)):
+                    n, r = a + i, np.where(ids == own[a + i], np.inf, rough[i])
+                    at = np.flatnonzero(ids != own[n])
+                    if len(at) > k:  # what is surely farther is left out, the rest compared exactly
+                        edge = np.partition(r, k - 1)[k - 1]
+                        at = at[~(r[at] > edge + 1e-9 * (abs(edge) + size[n] ** 2 + 1))]
+                    d = np.sqrt(((v[at] - q[n]) ** 2).sum(1)) if metric == "l2" else 1 - (v[at] * q[n]).sum(1) / (norm[at] * size[n])
+                    near = np.lexsort((ids[at], d))[:k]
+                    for column, values in zip(out, ([own[n]] * len(near), ids[at][near], d[near])):
+                        column.extend(values)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "distance"])
 
     found = rows.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(best, "query_id long, vec_id long, distance double")
@@ -87,16 +118,18 @@ def terms(docs: DataFrame, pk: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def bm25(docs: DataFrame, query_terms: list[str], k1: float = 1.2, b: float = 0.75, pk: str = "doc_id", text: str = "text") -> DataFrame:
-    """pk, score of documents with a query term. Words are split once a row, inside the row, and nothing but the rows with a
-    query's term goes on; the corpus' statistics are one row."""
-    asked = sorted({t.lower() for t in query_terms})
+    """pk, score of documents with a query term; none without terms. Texts are read and split once, each in its row: lengths and
+    counts of the query's terms are written, and statistics and scores come from those."""
+    asked = sorted({t.lower() for t in query_terms if t})
+    if not asked:
+        return docs.select(pk, F.lit(0.0).alias("score")).where(F.lit(False))
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
     def counts(w: Column) -> Column:
         return F.struct(F.size(w).cast("double").alias("dl"), *((F.size(w) - F.size(F.array_remove(w, t))).cast("double").alias(f"tf{i}") for i, t in enumerate(asked)))
 
     # inline() of an array of one struct: the counts become columns that are worked out once, not once for each use.
-    counted = docs.where(F.col(text).isNotNull()).select(pk, F.inline(F.transform(F.array(words), counts)))
+    counted = written(docs.where(F.col(text).isNotNull()).select(pk, F.inline(F.transform(F.array(words), counts))), "term-counts")
     found = [F.col(f"tf{i}") > 0 for i in range(len(asked))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(c).alias(f"df{i}") for i, c in enumerate(found))).first()
     n, avgdl = float(stats["n"]), float(stats["avgdl"] or 1.0)
@@ -128,13 +161,41 @@ def weighted_fusion(dense: DataFrame, sparse: DataFrame, w_dense: float = 0.5, w
     return both.select(pk, (w_dense * F.coalesce("d", F.lit(0.0)) + w_sparse * F.coalesce("s", F.lit(0.0))).alias("score"))
 
 
+def boosted_sum(dense: DataFrame, sparse: DataFrame, dense_boost: float = 0.5, sparse_boost: float = 0.5, pk: str = "pk") -> DataFrame:
+    """pk, score: the raw scores of both lists times their boosts, added; absent ones count 0."""
+    both = dense.select(pk, F.col("score").alias("d")).join(sparse.select(pk, F.col("score").alias("s")), pk, "full")
+    return both.select(pk, (dense_boost * F.coalesce("d", F.lit(0.0)) + sparse_boost * F.coalesce("s", F.lit(0.0))).alias("score"))
+
+
 def lexical_score(query_terms: list[str], text: Column) -> Column:
     """A stand-in for a cross-encoder's logit: ten times the share of the query's terms that text has, less five."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    asked = sorted({t.lower() for t in query_terms})
+    asked = sorted({t.lower() for t in query_terms if t})
+    if not asked:
+        return F.lit(-5.0)
     return 10.0 * F.size(F.array_intersect(words, F.array(*map(F.lit, asked)))) / len(asked) - 5.0
 
 
+def rerank(queries: DataFrame, hits: DataFrame, reranker: Reranker, k: int, threshold: float = 0.0) -> DataFrame:
+    """hits (query_id, pk, text, ...) with relevance_score and rank: scored against the text of their query (query_id, query) by
+    reranker, normalised, those under threshold left out, the k best of each query kept; ties go to the smaller pk."""
+    pairs = hits.join(queries.select("query_id", "query"), "query_id")
+    scored = normalize(pairs.withColumn("score", reranker(F.col("query"), F.col("text"))))
+    return top_k(confident(scored, threshold), "relevance_score", k, ["query_id"], descending=True).drop("query", "score")
+
+
+def fan_out(collections: DataFrame, conditions: dict[str, Condition], search: Callable[[DataFrame], DataFrame], k: int, most: int = MOST_COLLECTIONS) -> DataFrame:
+    """Rows of several collections, each under its own condition (in the order of conditions, at most `most` of them), as search
+    scores them (smaller is better: pk, distance, collection_name): the k best of each collection, with place, the collection's
+    number in that order, and rank. One scan: a row is kept where its own collection's condition holds."""
+    if not 0 < len(conditions) <= most:
+        raise ValueError(f"between one and {most} collections are searched at once")
+    own = [(F.col("collection_name") == name) & c.flag() for name, c in conditions.items()]
+    rows = collections.where(reduce(operator.or_, own))
+    place = reduce(lambda x, n: x.when(F.col("collection_name") == n[1], n[0]), list(enumerate(conditions))[1:], F.when(F.col("collection_name") == next(iter(conditions)), 0))
+    return top_k(search(rows), "distance", k, ["collection_name"]).withColumn("place", place.cast("long"))
+
+
 def normalize(rows: DataFrame, score: str = "score") -> DataFrame:
     return rows.withColumn("relevance_score", sigmoid(F.col(score)))
 
@@ -153,9 +214,11 @@ def merge_contexts(lists: list[DataFrame], content: str = "content", pk: str = "
     for i, rows in enumerate(lists):
         part = rows.withColumn("list_no", F.lit(i))
         every = part if every is None else every.unionByName(part)
-    place = F.struct("list_no", pk)
-    first = every.groupBy(F.sha2(content, 256).alias("digest")).agg(F.min(place).alias("first"))
-    return every.join(first.select("first.*"), ["list_no", pk], "left_semi")
+    every = every.withColumn("_digest", F.sha2(content, 256))
+    first = every.groupBy("_digest").agg(F.min(F.struct("list_no", pk)).alias("first")).select("first.*", "_digest")
+    same = [every[c].eqNullSafe(first[c]) for c in ("list_no", pk, "_digest")]
+    once = every.join(first, reduce(operator.and_, same), "left_semi").dropDuplicates(["list_no", pk, "_digest"])  # a place may repeat
+    return once.drop("_digest")
 
 
 def check_limits(vdb_top_k: int, reranker_top_k: int) -> None:

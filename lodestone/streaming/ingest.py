@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import chunk
@@ -23,7 +24,8 @@ def ingest(docs: DataFrame, target: str, checkpoint: str, size: int = 1024, over
 
 
 def statuses(log: DataFrame) -> DataFrame:
-    """task, status, started_at, completed_at of a stream of log rows (task, ts, status): the latest row of each task."""
+    """task, status, started_at, completed_at of a stream of log rows (task, ts, status): the latest row of each task, however
+    late rows come. The state is a row for each task."""
     last = F.max(F.struct("ts", "status"))
     rows = log.groupBy("task").agg(last.alias("last"), F.min(F.when(F.col("status") == "IN_PROGRESS", F.col("ts"))).alias("started_at"))
     return rows.select("task", F.col("last.status").alias("status"), "started_at", F.when(F.col("last.status").isin(*TERMINAL), F.col("last.ts")).alias("completed_at"))
@@ -35,11 +37,14 @@ def counts_by_window(events: DataFrame, window: str = "1 hour", late: str = "10
     return rows.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
-def run_once(spark: SparkSession, rows: DataFrame, checkpoint: str, target: str, mode: str = "complete") -> DataFrame:
-    """What a streaming aggregate has after all input so far, as a table in target that each batch writes anew."""
+def run_once(rows: DataFrame, keys: list[str], checkpoint: str, target: str) -> DataFrame:
+    """What a streaming aggregate (a row for each keys) has after all input so far. Each batch adds the rows that it changed, in a
+    folder of its number, which is written anew if the batch runs again; of a key the row of the last batch counts."""
+    spark, others = rows.sparkSession, [c for c in rows.columns if c not in keys]
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    rows.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target)
+    rows.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])).parquet(target)
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last")).select(*keys, "last.*").select(*rows.columns)

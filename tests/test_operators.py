@@ -1,12 +1,17 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.predicates import Field
+from lodestone.functions.schema import MetadataField, MetadataSchema
 from lodestone.operators import catalog, chat, citations, evaluation, models, search, summarize
-from lodestone.operators.chunking import TOKEN, chunk, windows
+from lodestone.operators.chunking import chunk, chunk_sql, spans, token_length, units
 from lodestone.sources import files
 
+from .conftest import same_rows
+
 
 def test_search_many_agrees_with_one(spark):
     rng = np.random.default_rng(1)
@@ -19,6 +24,56 @@ def test_search_many_agrees_with_one(spark):
         assert [many[5, r["rank"]] for r in one] == [r["vec_id"] for r in one]
 
 
+def test_vectors_that_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [inf, 1.0]), (9, [3.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids = lambda out: [r["vec_id"] for r in out.orderBy("rank").collect()]
+    assert ids(search.search_one(df, [1.0, 0.1], 9)) == [1, 4, 2, 9] and ids(search.search_one(df, [1.0, 0.1], 9, "cosine")) == [1, 9, 2]
+    for bad, metric in (([nan, 1.0], "l2"), ([0.0, 0.0], "cosine"), ([None, 1.0], "l2")):
+        with pytest.raises(ValueError):
+            search.search_one(df, bad, 3, metric)
+    asked = df.selectExpr("vec_id as query_id", "embedding as query")
+    for metric, n in (("l2", 4), ("cosine", 3)):
+        out = search.search_many(df, asked, 9, metric).groupBy("query_id").count().collect()
+        assert len(out) == n and all(r["count"] == n - 1 for r in out)
+    assert search.search_many(df, asked.where("query is null"), 3).count() == 0
+
+
+def test_questions_without_terms(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert search.bm25(docs, []).count() == search.bm25(docs, [""]).count() == search.bm25(docs.where("false"), ["a"]).count() == 0
+    assert search.bm25(docs, []).dtypes == search.bm25(docs, ["a"]).dtypes
+    assert docs.select(search.lexical_score([], F.col("text"))).first()[0] == -5.0
+    r = spark.createDataFrame([("a b", "B x"), ("", "a"), ("a", None)], "q string, t string").select(models.shared_words(F.col("q"), F.col("t")))
+    assert [x[0] for x in r.collect()] == [0.0, -5.0, -5.0]
+
+
+def test_first_sentences_stop_at_the_one_that_does_not_fit(spark):
+    r = spark.range(1).select(models.first_sentences(F.lit("One two. This sentence is far too long to fit. Six."), 20), models.first_sentences(F.lit("This one is too long by itself. B."), 5), models.first_sentences(F.lit(""), 5)).first()
+    assert tuple(r) == ("One two.", "This one is too long by itself.", "")
+
+
+def test_rerank_and_boosts(spark):
+    asked = spark.createDataFrame([(1, "red fish"), (2, "blue")], "query_id long, query string")
+    hits = spark.createDataFrame([(1, 10, "a red fish"), (1, 11, "a fish"), (1, 12, "none"), (2, 10, "a red fish"), (2, 13, "blue"), (3, 13, "blue")], "query_id long, pk long, text string")
+    got = [(r["query_id"], r["pk"], r["rank"]) for r in search.rerank(asked, hits, models.shared_words, 2, 0.4).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 10, 1), (1, 11, 2), (2, 13, 1)]
+    a = spark.createDataFrame([(1, 9.0), (2, 5.0)], "pk long, score double")
+    b = spark.createDataFrame([(2, 4.0), (3, 2.0)], "pk long, score double")
+    assert {r["pk"]: r["score"] for r in search.boosted_sum(a, b, 1.0, 0.5).collect()} == {1: 9.0, 2: 7.0, 3: 1.0}
+
+
+def test_fan_out(spark):
+    schema = MetadataSchema((MetadataField("n", "integer"),))
+    rows = spark.createDataFrame([(i, "abc"[i % 3], i, float(i)) for i in range(30)], "pk long, collection_name string, n long, distance double")
+    out = search.fan_out(rows, {"c": Field(schema, "n").compare(">", 10), "a": Field(schema, "n").compare("<", 5)}, lambda x: x, 2).orderBy("place", "rank").collect()
+    assert [(r["place"], r["collection_name"], r["pk"]) for r in out] == [(0, "c", 11), (0, "c", 14), (1, "a", 0), (1, "a", 3)]
+    for n in (0, 6):
+        with pytest.raises(ValueError):
+            search.fan_out(rows, {str(i): Field(schema, "n").compare(">", 1) for i in range(n)}, lambda x: x, 2)
+
+
 def test_top_k_grows_by_rows(spark):
     rows = spark.range(100).select(F.col("id").alias("pk"), (F.col("id") % 7).alias("s"), (F.col("id") % 3).alias("g"))
     five = {r["pk"] for r in search.top_k(rows, "s", 5, ["g"]).collect()}
@@ -48,6 +103,7 @@ def test_merge_keeps_first(spark):
     a = spark.createDataFrame([(2, "x"), (1, "x"), (3, None)], "pk long, content string")
     b = spark.createDataFrame([(0, "x"), (9, "y")], "pk long, content string")
     assert {(r["list_no"], r["pk"]) for r in search.merge_contexts([a, b]).collect()} == {(0, 1), (0, 3), (1, 9)}
+    assert search.merge_contexts([a.union(a), b]).count() == 3
 
 
 def test_recall(spark):
@@ -83,17 +139,42 @@ def test_page_filter(spark):
             catalog.page_filter(pages, bad, ["f"])
 
 
-def test_windows():
-    text = "One two three. Four five six! Seven eight nine? Ten eleven twelve.\n\nThirteen " * 4
-    out = windows(text, 20, 5)
-    assert all(len(TOKEN.findall(c)) <= 20 and c in text for c in out) and len(out) > 4
-    assert windows("", 5, 1) == windows("  \n", 5, 1) == windows(None, 5, 1) == []
-    assert windows("short one", 5, 1) == ["short one"]
-    assert len(windows("a b c d e f", 2, 9)) == 6
+def test_chunks_cover_every_token(spark):
+    rng = np.random.default_rng(11)
+    pieces = ["word", " ", "  ", "\n", "\n\n", ". ", "!", "? ", "é", "日本", "😀", "x1", "\t", " \n \n", "_a", "-"]
+    texts = ["", "  ", "one", "One two three. Four five six! Seven eight nine? Ten eleven twelve.\n\nThirteen " * 4]
+    texts += ["".join(rng.choice(pieces, rng.integers(1, 400))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, overlap in ((20, 5), (7, 0), (3, 1), (1, 0), (10, 9), (500, 20)):
+        got = {}
+        marked = docs.select("doc_id", units(F.col("text")).alias("u")).select("doc_id", "u", spans(F.col("u"), size, min(overlap, size // 2)).alias("s"))
+        for r in marked.where("size(u) > 0").collect():
+            parts, at = r["u"], [(s["start"], s["stop"]) for s in r["s"]]
+            assert "".join(parts) == texts[r["doc_id"]]
+            assert at[0][0] == 0 and at[-1][1] == len(parts)
+            assert all(0 < y - x <= size for x, y in at)
+            assert all(a0 < b0 <= a1 < b1 for (a0, a1), (b0, b1) in zip(at, at[1:])), (size, overlap, at)
+            got[r["doc_id"]] = ["".join(parts[x:y]) for x, y in at]
+        rows = {}
+        for r in chunk(docs, size, overlap).orderBy("doc_id", "chunk_no").collect():
+            rows.setdefault(r["doc_id"], []).append(r["chunk"])
+        assert rows == {k: v for k, v in got.items() if texts[k].strip(" \n\t")}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert same_rows(chunk(docs, 20, 5), con, chunk_sql(20, 5)) > 100
+
+
+def test_chunks_end_at_the_strongest_boundary(spark):
+    text = "a b c d e. f g\n\nh i. j k l m n o p q r s t u v w x y z"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [r["chunk"] for r in chunk(docs, 12, 2).orderBy("chunk_no").collect()]
+    assert got[0] == "a b c d e. f g\n\nh i. " or got[0] == "a b c d e. f g\n\n"
+    assert spark.range(1).select(token_length(F.lit("It's 12, ok"))).first()[0] == 6
 
 
 def test_chunk_rows(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (3, "")], "id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (3, ""), (4, " \n ")], "id long, text string")
     assert {r["id"] for r in chunk(docs, 3, 0).collect()} == {1}
     with pytest.raises(ValueError):
         chunk(docs, 0)
@@ -168,7 +249,6 @@ def test_stream_does_not_store_twice(spark, tmp_path):
 
 
 def test_store(spark, tmp_path):
-    from lodestone.functions.schema import MetadataField, MetadataSchema
     from lodestone.sources.store import ParquetStore
 
     store = ParquetStore(spark, f"file://{tmp_path}/s", "pk long, document_name string, collection_name string")
@@ -183,8 +263,27 @@ def test_store(spark, tmp_path):
     store.replace_without("a", spark.createDataFrame([("x",), ("none",)], "document_name string"))
     assert [r["pk"] for r in store.chunks(["a"]).collect()] == [2]
     assert [r["document_name"] for r in store.info("document", "n long").collect()] == ["y"]
+    store.add(spark.createDataFrame([(4, "w", "a")], "pk long, document_name string, collection_name string"))
+    assert sorted(r["pk"] for r in store.chunks(["a"]).collect()) == [2, 4]
+    keys = [("a_::_y_::_1", "p", "a"), ("a_::_w_::_1", "q", "a"), ("b_::_z_::_1", "r", "b")]
+    store.add_payloads(spark.createDataFrame(keys, "key string, content string, collection_name string"))
+    put, store._put = store._put, lambda rows: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):  # it breaks off before the switch: nothing has changed
+        store.replace_without("a", spark.createDataFrame([("w",)], "document_name string"))
+    store._put = put
+    assert sorted(r["pk"] for r in store.chunks(["a"]).collect()) == [2, 4] and store.payloads(["a"]).count() == 2
+    store.replace_without("a", spark.createDataFrame([("w",)], "document_name string"))
+    assert [r["pk"] for r in store.chunks(["a"]).collect()] == [2] and [r["key"] for r in store.payloads(["a"]).collect()] == ["a_::_y_::_1"]
+    store.put_schema("a", MetadataSchema((MetadataField("other"),)))
+    assert store.schema("a").fields[0].name == "other"
+    with pytest.raises(ValueError):
+        store.put_schema("nowhere", MetadataSchema())
     assert store.drop(["a", "c"]) == {"a": "deleted", "c": "not_found"}
     assert store.names() == ["b"] and [r["pk"] for r in store.chunks().collect()] == [3] and store.info("document", "n long").count() == 0
+    assert [r["key"] for r in store.payloads().collect()] == ["b_::_z_::_1"]
+    assert store.create("a") == "created" and store.chunks(["a"]).count() == 0
+    store.add(spark.createDataFrame([(9, "n", "a")], "pk long, document_name string, collection_name string"))
+    assert sorted(r["pk"] for r in store.chunks().collect()) == [3, 9]
 
 
 def test_loops(spark):
@@ -193,7 +292,9 @@ def test_loops(spark):
     rows = spark.createDataFrame([("q", "bad"), ("q", "2 fine"), ("q", None)], "question string, answer string")
     score = lambda q, a: F.coalesce(T.first_score(a), F.lit(0))
     out = loops.reflect(rows, score, lambda q, a: F.lit("1"), threshold=2).collect()
-    assert sorted((r["score"], r["tries"]) for r in out) == [(1, 3), (1, 3), (2, 0)]
+    assert sorted((r["score"], r["tries"], r["grounded"]) for r in out) == [(1, 3, False), (1, 3, False), (2, 0, True)]
+    lost = loops.reflect(rows, score, lambda q, a: F.lit(loops.OUT_OF_CONTEXT + " 2")).collect()
+    assert sorted((r["answer"] or "", r["tries"]) for r in lost) == [("", 1), ("2 fine", 0), ("bad", 1)]
     asked = spark.createDataFrame([(1, "a b")], "question_id long, question string")
     found = loops.decompose(asked, lambda q: F.split(q, " "), lambda q: q.select("question_id", F.length("query").cast("long").alias("pk"), F.col("query").alias("content")), lambda q, c: F.when(c == "a", "more"), 3)
     assert {(r["depth"], r["content"]) for r in found.collect()} == {(0, "a"), (0, "b"), (1, "more")}

@@ -1,4 +1,5 @@
 import random
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,12 +141,25 @@ def test_partial_collections(spark):
 
 
 def test_dates():
-    assert dates.iso(dates.parse("2024-01-15T10:30:00+02:00")) == "2024-01-15T08:30:00Z"
-    assert dates.iso(dates.parse("2024-01-15", ">")) == "2024-01-15T23:59:59Z"
-    assert dates.iso(dates.parse("2024-01-15T00:00:00", ">")) == "2024-01-15T00:00:00Z"
-    assert dates.has_time("Tuesday 2 Jan 2024") and not dates.has_time("Oct 5 2024")
+    at = lambda *x: datetime(*x, tzinfo=UTC)
+    assert dates.bound("2024-01-15T10:30:00+02:00", "<") == dates.bound("'2024-01-15 08:30:00.9'", ">") == at(2024, 1, 15, 8, 30)
+    assert dates.bound("2024-01-15", ">") == at(2024, 1, 15, 23, 59, 59) and dates.bound("2024-01-15", "!=") == at(2024, 1, 15)
+    assert dates.span("2024-01-15T00:00:00") == (at(2024, 1, 15), at(2024, 1, 15))
+    for day in ("Tuesday 2 Jan 2024", "Oct 5 2024", "5 August 2024", "2024-02-02", "2001-02-02"):
+        first, last = dates.span(day)
+        assert (last - first).total_seconds() == 86399
+    assert dates.span("3pm 5 Oct 2024")[1] == at(2024, 10, 5, 15)
+    for vague in ("10:30", "Oct 2024", "2024", ""):
+        with pytest.raises(ValueError):
+            dates.span(vague)
     with pytest.raises(ValueError):
-        dates.parse("no date")
+        dates.span("no date")
+    created = Field(SCHEMA, "created")
+    for call in (lambda: created.compare(">", "no date"), lambda: created.compare("==", "2024"), lambda: created.before(5), lambda: created.between("2024-01-01", "later"), lambda: created.after(None), lambda: from_openai({"type": "eq", "key": "title"}, SCHEMA), lambda: from_openai({"type": "eq", "value": 1}, SCHEMA), lambda: from_query_dsl({"range": {"pages": {"over": 1}}}, SCHEMA), lambda: from_query_dsl({}, SCHEMA), lambda: from_query_dsl({"wildcard": {"title": 3}}, SCHEMA)):
+        with pytest.raises(FilterError):
+            call()
+    other = MetadataSchema((MetadataField("created", "string"),))
+    assert set(per_collection(lambda s: Field(s, "created").compare("==", "no date"), {"a": SCHEMA, "b": other}, partial=True)) == {"b"}
     assert boolean_word("ON") is True and boolean_word("0") is False
     assert literal("boolean", 1) is True
 
@@ -169,3 +183,9 @@ def test_normalized_values(spark):
     errors = [[e for e in r if e] for r in rows.select(*(problem(x, F.col(x.name)) for x in fields)).collect()]
     assert errors[0] == [] and len(errors[1]) == 4
     assert errors[2] == ["d: missing", "b: missing", "n: missing"] and errors[3] == ["d: missing", "b: missing"]
+
+
+def test_wildcards_take_only_their_own_signs(spark):
+    texts = spark.createDataFrame([("50%_off",), ("50 xxoff",), ("50%xoff",), ("a\\b",)], "title string")
+    found = lambda p: {r["title"] for r in texts.where(from_query_dsl({"wildcard": {"title": p}}, SCHEMA).column).collect()}
+    assert found("50%_off") == {"50%_off"} and found("50*off") == {"50%_off", "50 xxoff", "50%xoff"} and found("50%?off") == {"50%_off", "50%xoff"} and found("a\\*") == {"a\\b"}
