@@ -60,6 +60,11 @@ def location(own: Column, image: Column, table: Column, chart: Column) -> Column
     return F.coalesce(own, F.concat(F.coalesce(image, none), F.coalesce(table, none), F.coalesce(chart, none)))
 
 
+def merged(a: Column, b: Column) -> Column:
+    """Two maps as one; of a key that both have b's value counts."""
+    return F.coalesce(F.map_zip_with(a, b, lambda k, x, y: F.coalesce(y, x)), a, b)
+
+
 def html_text(html: Column) -> Column:
     """What a page shows: without scripts, styles, comments and tags, entities of markup resolved, white space to single blanks."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", " ")

@@ -63,6 +63,82 @@ def document_info_agg(spark, sf_dir):
     return catalog.merge_info(rows, ["collection_name"], ["n_units", "n_chunks"], ["has_returns"], ["last_flag"], "pk")
 
 
+def _info(rows):
+    """A row for each document: its numbers, its chunks by flag, and a flag."""
+    per = rows.groupBy("collection_name", "document_name", F.col("l_returnflag").alias("k")).agg(F.count("*").alias("n"), F.max("pk").alias("pk"))
+    docs = per.groupBy("collection_name", "document_name").agg(F.sum("n").alias("n_chunks"), F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("by_flag"), F.max("pk").alias("seq"), F.bool_or(F.col("k") == "R").alias("has_returns"))
+    return docs.withColumn("last_document", F.col("document_name"))
+
+
+def _shown(info):
+    entries = F.transform(F.array_sort(F.map_entries("by_flag")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return info.withColumn("by_flag", F.array_join(entries, ","))
+
+
+@query(f"""WITH {CHUNKS}, kinds AS (SELECT collection_name, string_agg(l_returnflag || '=' || CAST(n AS VARCHAR), ',' ORDER BY l_returnflag) AS by_flag FROM (SELECT collection_name, l_returnflag, count(*) AS n FROM chunks GROUP BY 1, 2) GROUP BY 1)
+SELECT c.collection_name, count(*) AS n_chunks, any_value(k.by_flag) AS by_flag, bool_or(l_returnflag = 'R') AS has_returns, arg_max(document_name, pk) AS last_document
+FROM chunks c JOIN kinds k ON c.collection_name = k.collection_name GROUP BY 1""")
+def document_info_nested(spark, sf_dir):
+    """Documents' information merged to their collections': numbers and maps added, flags joined, other values the last."""
+    info = _info(chunks(spark, sf_dir)).drop("document_name")
+    return _shown(catalog.merge_nested(info, ["collection_name"], "seq"))
+
+
+@query(f"""WITH {CHUNKS}, merged AS (SELECT collection_name, document_name IN (SELECT 'order-' || CAST(o_orderkey AS VARCHAR) || '.pdf' FROM orders WHERE o_orderstatus = 'P') AS new, * EXCLUDE (collection_name) FROM chunks),
+kinds AS (SELECT collection_name, string_agg(l_returnflag || '=' || CAST(n AS VARCHAR), ',' ORDER BY l_returnflag) AS by_flag FROM (SELECT collection_name, l_returnflag, count(*) AS n FROM chunks GROUP BY 1, 2) GROUP BY 1)
+SELECT m.collection_name, count(*) AS n_chunks, any_value(k.by_flag) AS by_flag, bool_or(l_returnflag = 'R') AS has_returns, CASE WHEN bool_or(new) THEN 'new' ELSE 'stored' END AS note
+FROM merged m JOIN kinds k ON m.collection_name = k.collection_name GROUP BY 1""")
+def document_info_upsert(spark, sf_dir):
+    """Pending orders are new documents, whose information is merged into that of the stored ones."""
+    rows = chunks(spark, sf_dir)
+    pending = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("document_name"))
+    part = lambda how, note: catalog.merge_nested(_info(rows.join(pending, "document_name", how)).drop("document_name", "last_document"), ["collection_name"], "seq").withColumn("note", F.lit(note))
+    return _shown(catalog.upsert_info(part("left_anti", "stored"), part("left_semi", "new"), ["collection_name"]))
+
+
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN html WHEN 1 THEN 'table ' || url WHEN 4 THEN 'caption ' || url WHEN 5 THEN 'transcript ' || url END AS text FROM pages""")
+def element_texts(spark, sf_dir):
+    """Pages as elements of six kinds: text, table, chart, another structured one, image, audio; charts are not wanted."""
+    n, url = F.col("page_id") % 6, F.col("url")
+    kind = F.when(n == 0, "text").when(n.between(1, 3), "structured").when(n == 4, "image").otherwise("audio")
+    rows = table(spark, sf_dir, "pages").select("page_id", kind.alias("document_type"), F.when(n == 1, "table").when(n == 2, "chart").when(n == 3, "other").alias("subtype"), F.col("html").alias("content"), F.concat(F.lit("table "), url).alias("table_content"), F.concat(F.lit("caption "), url).alias("caption"), F.concat(F.lit("transcript "), url).alias("transcript"))
+    return rows.select("page_id", catalog.element_text(rows, charts=False).alias("text"))
+
+
+@query("""WITH files AS (SELECT CAST(doc_id AS VARCHAR) || '.txt' AS name FROM documents WHERE source <> 'src3'),
+meta AS (SELECT CAST(doc_id AS VARCHAR) || '.txt' AS name, quality, toxic FROM labels)
+SELECT name AS document_name, 'not among the files' AS error FROM meta WHERE name NOT IN (SELECT name FROM files)
+UNION ALL SELECT name, 'quality: not a valid boolean' FROM meta WHERE quality = 0 AND toxic = 0 AND name IN (SELECT name FROM files)
+UNION ALL SELECT name, 'toxic: missing' FROM meta WHERE toxic = 1 AND name IN (SELECT name FROM files)
+UNION ALL SELECT name, 'no metadata, required: toxic' FROM files WHERE name NOT IN (SELECT name FROM meta)""")
+def metadata_check(spark, sf_dir):
+    """Labels as the metadata of documents, with some values that no boolean has and some that are missing."""
+    files = table(spark, sf_dir, "documents").where("source <> 'src3'").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    quality = F.when((F.col("quality") == 0) & (F.col("toxic") == 0), "perhaps").otherwise("on")
+    raw = table(spark, sf_dir, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), quality.alias("quality"), F.when(F.col("toxic") == 0, "0").alias("toxic"))
+    schema = MetadataSchema((MetadataField("quality", "boolean"), MetadataField("toxic", "integer", required=True)))
+    return catalog.metadata_check(files, raw, schema)
+
+
+@query("""WITH s AS (SELECT user_id % 50 AS batch_no, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'completed' WHEN 'view' THEN 'extracted' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status FROM events WHERE NOT (event_type = 'view' AND user_id % 2 = 0)),
+per AS (SELECT batch_no, count(*) FILTER (WHERE status = 'completed') AS d, count(*) FILTER (WHERE status IN ('completed', 'extracted')) AS x, count(*) FILTER (WHERE status = 'extracted') AS o FROM s GROUP BY 1)
+SELECT batch_no, CAST(sum(d) OVER w AS BIGINT) AS documents_completed, CAST(sum(CASE WHEN o = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS batches_completed, CAST(sum(x) OVER w AS BIGINT) AS extraction_completed FROM per WINDOW w AS (ORDER BY batch_no)""")
+def ingestion_progress(spark, sf_dir):
+    """Events as files of fifty batches; batches of users of even number have no file under way."""
+    status = F.when(F.col("event_type") == "view", "extracted").when(F.col("event_type") == "error", "failed").otherwise("completed")
+    rows = table(spark, sf_dir, "events").where("not (event_type = 'view' and user_id % 2 = 0)").select((F.col("user_id") % 50).alias("batch_no"), status.alias("status"))
+    return catalog.progress(rows)
+
+
+@query("""SELECT p_partkey, p_brand AS brand, p_size AS size, CASE WHEN p_size > 25 THEN p_brand END AS users_brand FROM part""")
+def declared_fields(spark, sf_dir):
+    """Of a listing's metadata what the schema declares, and of that what its users have defined."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_type").alias("hidden"))
+    schema = MetadataSchema((MetadataField("brand"), MetadataField("size", "integer", user_defined=False), MetadataField("absent")))
+    out = rows.select("p_partkey", catalog.declared(rows, schema).alias("all"), catalog.declared(rows, schema, users=True).alias("users"))
+    return out.select("p_partkey", "all.*", F.when(F.col("all.size") > 25, F.col("users.brand")).alias("users_brand"))
+
+
 EXT = "CASE WHEN doc_id % 11 = 0 THEN '.rtf' ELSE '.txt' END"
 
 

@@ -8,7 +8,7 @@ from ..functions.predicates import Field
 from ..functions.schema import MetadataField, MetadataSchema
 from ..functions.text import sigmoid
 from ..operators import citations as C
-from ..operators import evaluation, loops, search
+from ..operators import evaluation, loops, models, search
 from .registry import query, table
 
 LABEL = MetadataSchema((MetadataField("label", "integer"),))
@@ -108,6 +108,57 @@ def hybrid_weighted(spark, sf_dir):
     return search.top_k(fused, "score", 20, descending=True).select("pk", F.round("score", 6).alias("score"))
 
 
+@query(LISTS_SQL + """fused AS (SELECT coalesce(d.pk, s.pk) AS pk, round(0.7 * coalesce(d.score, 0) + 0.3 * coalesce(s.score, 0), 9) AS score FROM dense d FULL JOIN sparse s ON d.pk = s.pk)
+SELECT pk, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, pk) AS r FROM fused) WHERE r <= 20""")
+def hybrid_boosted(spark, sf_dir):
+    fused = search.boosted_sum(*_lists(spark, sf_dir), 0.7, 0.3).withColumn("score", F.round("score", 9))
+    return search.top_k(fused, "score", 20, descending=True).select("pk", F.round("score", 6).alias("score"))
+
+
+#: Three collections (labels), each with a condition of its own, in this order.
+FAN_OUT = {"7": (">", 100), "2": ("<=", 400), "5": (">", 0)}
+FAN_OUT_SQL = " OR ".join(f"label = {k} AND vec_id {op} {n}" for k, (op, n) in FAN_OUT.items())
+
+
+@query(f"""SELECT {"CASE label " + " ".join(f"WHEN {k} THEN {i}" for i, k in enumerate(FAN_OUT)) + " END"} AS place, CAST(label AS VARCHAR) AS collection_name, vec_id, round(d, 6) AS distance, rank FROM (
+  SELECT label, vec_id, {L2} AS d, row_number() OVER (PARTITION BY label ORDER BY {L2}, vec_id) AS rank FROM embeddings WHERE {FAN_OUT_SQL}) WHERE rank <= 4""")
+def fan_out_collections(spark, sf_dir):
+    """Collections in the order asked for, each under its own filter, a few rows of each."""
+    schema = MetadataSchema((MetadataField("vec_id", "integer"),))
+    rows = table(spark, sf_dir, "embeddings").withColumn("collection_name", F.col("label").cast("string"))
+    q = F.array(*(F.lit(float(x)) for x in first_vector(spark, sf_dir)))
+    scored = lambda x: x.select(F.col("vec_id").alias("pk"), "collection_name", search.l2(F.col("embedding"), q).alias("distance"))
+    out = search.fan_out(rows, {k: Field(schema, "vec_id").compare(op, n) for k, (op, n) in FAN_OUT.items()}, scored, 4)
+    return out.select("place", "collection_name", F.col("pk").alias("vec_id"), F.round("distance", 6).alias("distance"), "rank")
+
+
+def _words_sql(x: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH q AS (SELECT conv_id AS query_id, {_words_sql('text')} AS words FROM conversations WHERE turn = 0),
+hits AS (SELECT q.query_id, c.turn AS pk, CASE WHEN len(q.words) > 0 THEN 10.0 * len(list_intersect(q.words, {_words_sql("coalesce(c.text, '')")})) / len(q.words) - 5.0 ELSE -5.0 END AS logit
+  FROM conversations c JOIN q ON c.conv_id = q.query_id WHERE c.turn > 0),
+scored AS (SELECT query_id, pk, round(1 / (1 + exp(-0.1 * logit)), 9) AS s FROM hits WHERE 1 / (1 + exp(-0.1 * logit)) >= 0.4)
+SELECT query_id, pk, round(s, 6) AS relevance_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pk) AS rank FROM scored) WHERE rank <= 3""")
+def rerank_pairs(spark, sf_dir):
+    """Later turns of a conversation as hits of its first one, scored in pairs."""
+    rows = table(spark, sf_dir, "conversations")
+    asked = rows.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    hits = rows.where("turn > 0").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pk"), "text")
+    return search.rerank(asked, hits, models.shared_words, 3, 0.4).select("query_id", "pk", F.round("relevance_score", 6).alias("relevance_score"), "rank")
+
+
+@query(f"""WITH docs AS (SELECT doc_id, source, doc_id % 5 AS page FROM documents), hit AS (SELECT source, page FROM docs WHERE doc_id = (SELECT vec_id FROM embeddings WHERE vec_id <> 0 ORDER BY {L2}, vec_id LIMIT 1))
+SELECT d.doc_id, d.source, d.page FROM docs d JOIN hit h ON d.source = h.source AND d.page = h.page ORDER BY d.doc_id LIMIT 6""")
+def page_mates(spark, sf_dir):
+    """The best hit's neighbours on its page of its source, as many as the final list holds."""
+    hit = search.search_one(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 1, condition=F.col("vec_id") != 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 5).alias("page"))
+    page = docs.join(hit.select(F.col("vec_id").alias("doc_id")), "doc_id").select("source", "page").distinct()
+    return docs.join(page, ["source", "page"], "left_semi").orderBy("doc_id").limit(6).select("doc_id", "source", "page")
+
+
 LOGIT_SQL = "10.0 * (" + " + ".join(f"CAST(list_contains(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), '{w}') AS INT)" for w in WORDS) + f") / {len(WORDS)} - 5.0"
 
 
@@ -200,12 +251,26 @@ def citation_contents(spark, sf_dir):
     return C.citations(hits, payloads).select("key", "content")
 
 
-@query("""WITH q AS (SELECT conv_id AS question_id, role AS question FROM conversations WHERE turn = 0),
-hits AS (SELECT question_id, 0 AS depth, l.l_orderkey * 10 + l.l_linenumber AS pk, l.l_shipmode AS content FROM q JOIN (SELECT *, l_returnflag AS l_shipmode FROM lineitem) l ON l.l_orderkey = q.question_id)
-SELECT question_id, CAST(0 AS BIGINT) AS depth, min(pk) AS pk, content FROM hits GROUP BY 1, 4""")
+FIRST_WORD = "regexp_extract(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+@query(f"""WITH index AS (SELECT {FIRST_WORD.format('text')} AS word, min(doc_id) AS pk FROM documents WHERE {FIRST_WORD.format('text')} <> '' GROUP BY 1),
+docs AS (SELECT word, pk, text AS content FROM index JOIN documents ON pk = doc_id),
+q AS (SELECT conv_id AS question_id, text AS question FROM conversations WHERE turn = 0 AND text IS NOT NULL),
+split AS (SELECT question_id, question, unnest(list_distinct(list_filter(list_transform(string_split(question, '. '), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS query FROM q),
+one AS (SELECT s.question_id, question, pk, content FROM split s JOIN docs ON {FIRST_WORD.format('s.query')} = word),
+best AS (SELECT question_id, any_value(question) AS question, arg_min(content, pk) AS found FROM one GROUP BY 1),
+two AS (SELECT b.question_id, pk, content FROM (SELECT question_id, regexp_extract(lower(found), '^[^\\p{{L}}\\p{{N}}]*[\\p{{L}}\\p{{N}}]+[^\\p{{L}}\\p{{N}}]+([\\p{{L}}\\p{{N}}]+)', 1) AS query FROM best) b JOIN docs ON b.query = word),
+every AS (SELECT question_id, 0 AS depth, pk, content FROM one UNION ALL SELECT question_id, 1, pk, content FROM two)
+SELECT question_id, CAST(min(depth) AS BIGINT) AS depth, CAST(arg_min(pk, depth * 1000000000 + pk) AS BIGINT) AS pk FROM every GROUP BY question_id, content""")
 def query_decomposition(spark, sf_dir):
-    """Conversations as questions, orders of their number as what is found: two depths, of which the second finds nothing new."""
-    asked = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("question_id"), F.col("role").alias("question"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pk"), F.col("l_returnflag").alias("content"))
-    found = loops.decompose(asked, lambda q: F.split(q, " "), lambda q: q.join(lines, "question_id").select("question_id", "pk", "content"), lambda q, c: F.concat_ws(" ", q, c), 2)
-    return found.select("question_id", "depth", "pk", "content")
+    """First turns as questions, split to sentences; a sentence finds the first document that begins with its first word. The
+    second word of the best document is the next query, which finds others."""
+    word = lambda x: F.regexp_extract(F.lower(x), r"[\p{L}\p{N}]+", 0)
+    docs = table(spark, sf_dir, "documents").select(word(F.col("text")).alias("word"), F.struct(F.col("doc_id").alias("pk"), F.col("text").alias("content")).alias("d"))
+    docs = docs.where("word <> ''").groupBy("word").agg(F.min_by("d", "d.pk").alias("d")).select("word", "d.*")
+    asked = table(spark, sf_dir, "conversations").where("turn = 0 and text is not null").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question"))
+    sentences = lambda q: F.array_distinct(F.filter(F.transform(F.split(q, r"\. "), lambda x: F.trim(x)), lambda x: x != ""))
+    second = lambda q, c: F.regexp_extract(F.lower(c), r"^[^\p{L}\p{N}]*[\p{L}\p{N}]+[^\p{L}\p{N}]+([\p{L}\p{N}]+)", 1)
+    found = loops.decompose(asked, sentences, lambda q: q.withColumn("word", word(F.col("query"))).join(docs, "word").select("question_id", "pk", "content"), second, 2)
+    return found.select("question_id", "depth", "pk")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, chat, loops, summarize
+from ..operators import catalog, chat, citations, loops, summarize
 from ..operators.chunking import chunk, chunk_sql, page_groups
 from .registry import query, table
 
@@ -89,17 +90,57 @@ def message_filter(spark, sf_dir):
     return chat.asked(table(spark, sf_dir, "conversations"))
 
 
-@query("""SELECT conv_id, turn, CAST(i AS BIGINT) AS ordinal, trim(line, ' ') AS query FROM (
-  SELECT conv_id, turn, line, row_number() OVER (PARTITION BY conv_id, turn ORDER BY place) - 1 AS i FROM (
-    SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM conversations) WHERE regexp_matches(line, '[0-9]'))""")
+@query("""SELECT doc_id, CAST(i AS BIGINT) AS ordinal, trim(regexp_replace(line, '^[ \\t\\n\\r\\f\\v]*[0-9]+\\.[ \\t\\n\\r\\f\\v]*', ''), ' ') AS query FROM (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS i FROM (
+    SELECT doc_id, CASE WHEN place % 2 = 1 THEN CAST(place AS VARCHAR) || '. ' ELSE '' END || line AS line, place FROM (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents)) WHERE regexp_matches(line, '[0-9]'))""")
 def sub_queries(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").withColumn("k", F.struct("conv_id", "turn"))
-    return chat.sub_queries(rows, "k", "text").select("k.*", "ordinal", "query")
+    """Documents as a model's lists, whose odd lines are numbered."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 2 == 0, F.concat((i + 1).cast("string"), F.lit(". "), x)).otherwise(x))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_join(numbered, "\n").alias("text"))
+    return chat.sub_queries(rows, "doc_id", "text")
 
 
-@query("SELECT conv_id, turn, CAST(CASE WHEN contains(text, '2') THEN 2 WHEN contains(text, '1') THEN 1 WHEN contains(text, '0') THEN 0 END AS BIGINT) AS score FROM conversations")
+@query("SELECT doc_id, CAST(CASE WHEN contains(text, '2') THEN 2 WHEN contains(text, '1') THEN 1 WHEN contains(text, '0') THEN 0 END AS BIGINT) AS score FROM documents")
 def reflection_scores(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.first_score(F.col("text")).cast("long").alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.first_score(F.col("text")).cast("long").alias("score"))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next, lead(text) OVER w AS answer FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, string_agg('Question: ' || coalesce(text, '') || chr(10) || 'Answer: ' || coalesce(answer, ''), chr(10) || chr(10) || chr(10) ORDER BY turn) AS history FROM p WHERE role = 'user' AND next = 'assistant' GROUP BY 1""")
+def question_answer_history(spark, sf_dir):
+    return chat.question_answers(table(spark, sf_dir, "conversations"))
+
+
+@query("""SELECT conv_id, string_agg(coalesce(text, ''), '. ' ORDER BY turn) AS query FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') WHERE n <= 2 GROUP BY 1""")
+def last_turn_query(spark, sf_dir):
+    return chat.with_last_turn(table(spark, sf_dir, "conversations"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN '' ELSE coalesce(text, '') || CASE WHEN turn % 3 = 1 THEN ' ' || role ELSE '' END END AS text, turn % 3 > 0 AS has_image FROM conversations""")
+def multimodal_messages(spark, sf_dir):
+    """Turns as messages of one text, of an image between two texts, and of an image alone."""
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    text, image = part("text", F.col("text")), part("image_url", F.lit(None).cast("string"))
+    n = F.col("turn") % 3
+    parts = F.when(n == 0, F.array(text)).when(n == 1, F.array(text, image, part("text", F.col("role")))).otherwise(F.array(image))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.message_text(parts).alias("text"), chat.has_images(parts).alias("has_image"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN trim(replace(replace(trim(coalesce(text, ''), ' '), chr(39), ''), '"', ''), ' ') <> '' THEN trim(replace(replace(trim(text, ' '), chr(39), ''), '"', ''), ' ') END AS query FROM conversations""")
+def follow_up_questions(spark, sf_dir):
+    """Turns in quotes, as models write their next question."""
+    quoted = F.concat(F.lit(" '"), F.col("text"), F.lit("\" "))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.follow_up(quoted).alias("query"))
+
+
+@query("""SELECT conv_id, string_agg(CASE WHEN role = '' THEN '' ELSE 'File: ' || role || '-' || CAST(turn AS VARCHAR) || chr(10) END || 'Content: ' || text, chr(10) || chr(10) ORDER BY turn) AS context
+FROM conversations WHERE turn % 4 < 2 AND length(text) > 0 GROUP BY 1""")
+def shown_contexts(spark, sf_dir):
+    """Turns as passages of files, of which some are images and structured elements."""
+    kind = F.when(F.col("turn") % 4 == 2, "image").when(F.col("turn") % 4 == 3, "structured").when(F.col("turn") % 4 == 1, "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("doc_type"), F.col("text").alias("content"), F.concat(F.lit("/in/"), "role", F.lit("-"), F.col("turn").cast("string"), F.lit(".txt")).alias("document_name"))
+    return chat.shown_context(rows, ["conv_id"], "turn")
 
 
 @query(f"SELECT role, CAST(sum({WORDS_SQL.format('text')}) AS BIGINT) AS tokens, round(quantile_cont(CAST({WORDS_SQL.format('text')} AS DOUBLE), 0.5), 6) AS median_tokens FROM conversations GROUP BY 1")
@@ -148,9 +189,7 @@ FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS units FROM lineitem GR
 def image_budget(spark, sf_dir):
     """Lines of an order as images: those within the first 60 units fit the budget. An order's lines are few."""
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("units"))
-    listed = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "units"))).alias("all"))
-    total = F.transform("all", lambda x: F.struct(x["l_linenumber"].alias("l_linenumber"), (F.aggregate(F.filter("all", lambda y: y["l_linenumber"] <= x["l_linenumber"]), F.lit(0.0), lambda a, y: a + y["units"]) <= 60).alias("fits")))
-    return listed.select("l_orderkey", F.inline(total))
+    return rows.select("l_orderkey", "l_linenumber", (F.sum("units").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) <= 60).alias("fits"))
 
 
 @query("SELECT doc_id, substr(text, 1, 40) AS head, CAST(least(length(text), 40) AS BIGINT) AS n FROM documents")
@@ -206,10 +245,20 @@ def summary_lookup(spark, sf_dir):
     return loops.summary_lookup(docs.select("name"), status, stored)
 
 
-@query("""SELECT conv_id, turn, CASE WHEN contains(text, '2') THEN 2 WHEN contains(text, '1') THEN 1 ELSE 2 END AS score, CAST(CASE WHEN contains(text, '2') OR contains(text, '1') THEN 0 ELSE 1 END AS BIGINT) AS tries FROM conversations""")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN contains(text, '2') THEN 2 WHEN contains(text, '1') THEN 1 ELSE 0 END AS s, lang, text FROM documents)
+SELECT doc_id, CASE WHEN s >= 1 OR lang = 'de' THEN s WHEN lang = 'fr' THEN 0 ELSE 2 END AS score, CAST(CASE WHEN s >= 1 THEN 0 WHEN lang = 'de' THEN 1 WHEN lang = 'fr' THEN 3 ELSE 1 END AS BIGINT) AS tries, s >= 1 OR lang NOT IN ('de', 'fr') AS grounded FROM d""")
 def reflection_loop(spark, sf_dir):
-    """Answers are scored by the first of 2, 1 and 0 they hold and tried again, with a 2 behind them, while the score is low."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("q").alias("question"), F.col("text").alias("answer"))
+    """Documents as answers, scored by the first of 2, 1 and 0 they hold and tried again while the score is low: with a 2 behind
+    them, or, in French, unchanged; German ones are out of context and stay."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("question"), F.col("text").alias("answer"))
     score = lambda q, a: F.coalesce(T.first_score(a), F.lit(0))
-    out = loops.reflect(rows, score, lambda q, a: F.concat(F.coalesce(a, F.lit("")), F.lit(" 2")))
-    return out.select("conv_id", "turn", "score", "tries")
+    again = lambda q, a: F.when(q == "de", loops.OUT_OF_CONTEXT).when(q == "fr", a).otherwise(F.concat(F.coalesce(a, F.lit("")), F.lit(" 2")))
+    return loops.reflect(rows, score, again).select("doc_id", "score", "tries", "grounded")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'I''m sorry, I can''t respond to that.' ELSE text END AS answer, CASE WHEN turn % 2 = 1 THEN 0 ELSE 2 END AS n_citations FROM conversations""")
+def refused_answers(spark, sf_dir):
+    """Every second turn as an answer that a guard refuses."""
+    text = F.when(F.col("turn") % 2 == 1, citations.REFUSAL).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("answer"), F.array("conv_id", "turn").alias("citations"))
+    return citations.without_refused(rows).select("conv_id", "turn", "answer", F.size("citations").alias("n_citations"))

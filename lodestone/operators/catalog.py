@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import operator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, MapType, NumericType
 
 from ..functions import text as T
 from ..functions.schema import MetadataSchema, problem
@@ -48,6 +50,78 @@ def merge_info(info: DataFrame, by: list[str], sums: list[str], flags: list[str]
     return info.groupBy(*by).agg(*aggs, *(F.max(F.struct(order, c))[c].alias(c) for c in latest))
 
 
+def merge_nested(info: DataFrame, by: list[str], order: str) -> DataFrame:
+    """One row for each by, whatever its columns are: flags (booleans) are true if any is, numbers are added, maps of numbers are
+    added key by key, other values come from the last row by order that has one (ties: the larger value). Missing numbers and
+    flags are 0 and false, missing maps empty. Rows of a key never meet: maps are added up as (by, key) rows."""
+    kinds = {f.name: f.dataType for f in info.schema.fields if f.name not in (*by, order)}
+    maps = [c for c, k in kinds.items() if isinstance(k, MapType)]
+
+    def merged(c: str) -> Column:
+        if isinstance(kinds[c], BooleanType):
+            return F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
+        if isinstance(kinds[c], NumericType):
+            return F.coalesce(F.sum(c), F.lit(0)).cast(kinds[c]).alias(c)
+        return F.max(F.when(F.col(c).isNotNull(), F.struct(order, c)))[c].alias(c)
+
+    out = info.groupBy(*by).agg(F.count("*").alias("_rows"), *(merged(c) for c in kinds if c not in maps)).drop("_rows")
+    for c in maps:
+        entries = info.select(*by, F.explode(c).alias("_key", "_value")).groupBy(*by, "_key").agg(F.sum("_value").cast(kinds[c].valueType).alias("_value"))
+        added = entries.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_key", "_value")))).alias(c))
+        same = reduce(operator.and_, (out[k].eqNullSafe(added[k]) for k in by))
+        out = out.join(added, same, "left").select(*(out[k] for k in out.columns), F.coalesce(added[c], F.create_map().cast(kinds[c])).alias(c))
+    return out.select(*by, *kinds)
+
+
+def upsert_info(stored: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
+    """Stored information with new rows merged into it; of values that are not added the new one counts."""
+    both = stored.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)))
+    return merge_nested(both, by, "_seq")
+
+
+def flags_of(counts: Column) -> list[Column]:
+    """has_tables, has_charts and has_images of a map of counts by kind of element."""
+    return [(F.coalesce(F.try_element_at(counts, F.lit(k)), F.lit(0)) > 0).alias(f"has_{k}s") for k in ("table", "chart", "image")]
+
+
+def element_text(elements: DataFrame, tables: bool = True, charts: bool = True, images: bool = True) -> Column:
+    """What an element (document_type, subtype, content, table_content, caption, transcript) adds to its document's text: by its
+    type, and only where that is wanted; null otherwise."""
+    at = lambda c: F.col(c) if c in elements.columns else F.lit(None).cast("string")
+    kind, subtype = F.col("document_type"), at("subtype")
+    shown = ((subtype == "table") & F.lit(tables)) | ((subtype == "chart") & F.lit(charts))
+    structured = F.when((kind == "structured") & shown, at("table_content"))
+    return F.when(kind == "text", at("content")).when(kind == "audio", at("transcript")).when((kind == "image") & F.lit(images), at("caption")).otherwise(structured)
+
+
+def progress(files: DataFrame, batch: str = "batch_no", status: str = "status") -> DataFrame:
+    """batch_no, documents_completed, batches_completed and extraction_completed (files extracted or further on), each up to and
+    with its batch; a batch is complete once none of its files is under way."""
+    per = files.groupBy(batch).agg(F.count_if(F.col(status) == "completed").alias("d"), F.count_if(F.col(status).isin("completed", "extracted")).alias("x"), F.count_if(~F.col(status).isin("completed", "failed")).alias("open"))
+    w = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each batch
+    return per.select(batch, F.sum("d").over(w).alias("documents_completed"), F.sum((F.col("open") == 0).cast("long")).over(w).alias("batches_completed"), F.sum("x").over(w).alias("extraction_completed"))
+
+
+def metadata_check(files: DataFrame, raw: DataFrame, schema: MetadataSchema) -> DataFrame:
+    """document_name, error: all that is wrong with the metadata (filename, ...) of submitted files (path): rows of files that
+    were not submitted, what each field's rule refuses, and required fields of files without metadata."""
+    names = files.select(T.basename(F.col("path")).alias("document_name")).distinct()
+    rows = raw.withColumnRenamed("filename", "document_name")
+    orphans = rows.join(names, "document_name", "left_anti").select("document_name", F.lit("not among the files").alias("error"))
+    given = rows.join(names, "document_name", "left_semi")
+    wrong = metadata_errors(given, schema, "document_name").select("document_name", F.explode("errors").alias("error"))
+    required = [f.name for f in schema.fields if f.required]
+    bare = names.join(rows.select("document_name").distinct(), "document_name", "left_anti")
+    bare = bare.select("document_name", F.lit("no metadata, required: " + ", ".join(required)).alias("error")).where(F.lit(bool(required)))
+    return orphans.unionByName(wrong).unionByName(bare)
+
+
+def declared(rows: DataFrame, schema: MetadataSchema, users: bool = False) -> Column:
+    """The metadata of a listing as a struct: the schema's fields that rows has, or with users those the user has defined."""
+    names = [f.name for f in schema.fields if f.name in rows.columns and (f.user_defined or not users)]
+    return F.struct(*names) if names else F.struct(F.lit(None).alias("none"))
+
+
 def submitted(files: DataFrame, existing: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     """files (document_name) with reason: why a file is not taken in, or null."""
     known = existing.select("document_name").distinct().withColumn("known", F.lit(True))

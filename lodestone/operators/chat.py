@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import escape_braces
+from ..functions.text import basename, escape_braces, strip_extension
 
 
 def last_turns(messages: DataFrame, pairs: int) -> DataFrame:
@@ -38,6 +38,47 @@ def asked(messages: DataFrame) -> DataFrame:
     return both.select("conv_id", escape_braces(F.col("last.text")).alias("query"), "n_history")
 
 
+def question_answers(messages: DataFrame) -> DataFrame:
+    """conv_id, history: a user's turns and the answers that follow them, a block for each pair, with two empty lines between."""
+    after = Window.partitionBy("conv_id").orderBy("turn")  # the turns of a conversation, which one reader has seen
+    rows = messages.where("role in ('user', 'assistant')").select("conv_id", "turn", "role", "text", F.lead("role").over(after).alias("next"), F.lead("text").over(after).alias("answer"))
+    pairs = rows.where("role = 'user' and next = 'assistant'")
+    block = F.concat(F.lit("Question: "), F.coalesce("text", F.lit("")), F.lit("\nAnswer: "), F.coalesce("answer", F.lit("")))
+    return joined(pairs, block, "\n\n\n", "history")
+
+
+def with_last_turn(messages: DataFrame) -> DataFrame:
+    """conv_id, query: the last user turn behind the one before it, which is all of the history that a simple retrieval takes."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return joined(messages.where("role = 'user'").withColumn("_n", F.row_number().over(w)).where("_n <= 2"), F.coalesce("text", F.lit("")), ". ", "query")
+
+
+def follow_up(text: Column) -> Column:
+    """A model's next question without quotes and blanks around it; null where none is needed."""
+    bare = F.trim(F.translate(F.trim(text), "'\"", ""))
+    return F.when(bare != "", bare)
+
+
+def message_text(parts: Column) -> Column:
+    """The texts of a message's parts (type, text), joined by blanks; parts of other types have none."""
+    texts = F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit("")))
+    return F.coalesce(F.array_join(texts, " "), F.lit(""))
+
+
+def has_images(parts: Column) -> Column:
+    return F.coalesce(F.exists(parts, lambda p: p["type"] == "image_url"), F.lit(False))
+
+
+def shown_context(hits: DataFrame, by: list[str], order: str) -> DataFrame:
+    """by, context: the passages (document_name, doc_type, content) that are shown as text, in order, each under its file's name;
+    images and structured elements are shown as pictures and left out. by's hits are a top k."""
+    rows = hits.where(~F.coalesce(F.col("doc_type"), F.lit("text")).isin("image", "structured") & (F.length("content") > 0))
+    name = strip_extension(basename(F.col("document_name")))
+    block = F.concat(F.when(F.length(name) > 0, F.concat(F.lit("File: "), name, F.lit("\n"))).otherwise(""), F.lit("Content: "), F.col("content"))
+    ordered = F.array_sort(F.collect_list(F.struct(order, block.alias("_block"))))
+    return rows.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["_block"]), "\n\n").alias("context"))
+
+
 def sub_queries(answers: DataFrame, key: str, text: str) -> DataFrame:
     """key, ordinal, query: the lines with a digit of an answer, without their number."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[0-9]"))

@@ -16,6 +16,16 @@ def citations(hits: DataFrame, payloads: DataFrame) -> DataFrame:
     return rows.withColumn("content", shown).where(F.length("content") > 0).drop("payload")
 
 
+# Fixed value: the answer of a guard that refuses.
+REFUSAL = "I'm sorry, I can't respond to that."
+
+
+def without_refused(answers: DataFrame, text: str = "answer", cited: str = "citations") -> DataFrame:
+    """answers, of which refusals cite nothing."""
+    none = F.array().cast(answers.schema[cited].dataType)
+    return answers.withColumn(cited, F.when(F.col(text) == REFUSAL, none).otherwise(F.col(cited)))
+
+
 def answer(ranked: DataFrame, top: int, sentence_chars: int = 200) -> DataFrame:
     """answer, n_citations, citations (document_id, score) of the top passages (pk, text, relevance_score)."""
     from .models import first_sentences

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: what a model says of a question that its passages do not answer.
+OUT_OF_CONTEXT = "OUT OF CONTEXT"
+
 
 def decompose(questions: DataFrame, split: Callable[[Column], Column], retrieve: Callable[[DataFrame], DataFrame], follow_up: Callable[[Column, Column], Column], depth: int = 3) -> DataFrame:
     """questions: question_id, question. split makes an array of sub-questions (one means there is nothing to split); each depth
@@ -26,15 +29,16 @@ def decompose(questions: DataFrame, split: Callable[[Column], Column], retrieve:
 
 
 def reflect(rows: DataFrame, score: Callable[[Column, Column], Column], again: Callable[[Column, Column], Column], threshold: int = 1, loops: int = 3, text: str = "answer") -> DataFrame:
-    """rows: question, answer. Scores each answer and replaces it while its score is under threshold, at most loops times.
-    Adds score and tries. All of it is one projection: no rows move between loops."""
-    out = rows.withColumn("score", score(F.col("question"), F.col(text))).withColumn("tries", F.lit(0).cast("long"))
+    """rows: question, answer. Scores each answer and replaces it while its score is under threshold, at most loops times. An answer
+    that says it is out of context ends the loop, and the one before it stays. Adds score, tries and grounded (score reached). All
+    of it is one projection: no rows move between loops."""
+    out = rows.withColumns({"score": score(F.col("question"), F.col(text)), "tries": F.lit(0).cast("long"), "_ended": F.lit(False)})
     for _ in range(loops):
-        low = F.col("score") < threshold
-        tried = F.when(low, again(F.col("question"), F.col(text))).otherwise(F.col(text))
-        out = out.withColumns({text: tried, "tries": F.col("tries") + low.cast("long")})
-        out = out.withColumn("score", score(F.col("question"), F.col(text)))
-    return out
+        out = out.withColumn("_low", (F.col("score") < threshold) & ~F.col("_ended")).withColumn("_new", F.when(F.col("_low"), again(F.col("question"), F.col(text))))
+        out = out.withColumn("_ended", F.col("_ended") | F.coalesce(F.col("_new").contains(OUT_OF_CONTEXT), F.lit(False)))
+        out = out.withColumns({text: F.when(F.col("_low") & ~F.col("_ended"), F.col("_new")).otherwise(F.col(text)), "tries": F.col("tries") + F.col("_low").cast("long")})
+        out = out.withColumn("score", score(F.col("question"), F.col(text))).drop("_low", "_new")
+    return out.drop("_ended").withColumn("grounded", F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
 
 def summary_lookup(names: DataFrame, statuses: DataFrame, payloads: DataFrame) -> DataFrame:
