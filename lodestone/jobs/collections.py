@@ -120,13 +120,13 @@ def metadata_check(spark, sf_dir):
     return catalog.metadata_check(files, raw, schema)
 
 
-@query("""WITH s AS (SELECT user_id % 50 AS batch_no, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'click' THEN 'completed' WHEN 'view' THEN 'extracted' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status FROM events WHERE NOT (event_type = 'view' AND user_id % 2 = 0)),
-per AS (SELECT batch_no, count(*) FILTER (WHERE status = 'completed') AS d, count(*) FILTER (WHERE status IN ('completed', 'extracted')) AS x, count(*) FILTER (WHERE status = 'extracted') AS o FROM s GROUP BY 1)
-SELECT batch_no, CAST(sum(d) OVER w AS BIGINT) AS documents_completed, CAST(sum(CASE WHEN o = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS batches_completed, CAST(sum(x) OVER w AS BIGINT) AS extraction_completed FROM per WINDOW w AS (ORDER BY batch_no)""")
+@query("""WITH s AS (SELECT user_id AS task_id, CAST(ts AS DATE) - DATE '1970-01-01' AS batch_no, CASE event_type WHEN 'view' THEN 'extracted' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status FROM events),
+per AS (SELECT task_id, batch_no, count(*) FILTER (WHERE status = 'completed') AS d, count(*) FILTER (WHERE status IN ('completed', 'extracted')) AS x, count(*) FILTER (WHERE status = 'extracted') AS o FROM s GROUP BY 1, 2)
+SELECT task_id, CAST(batch_no AS BIGINT) AS batch_no, CAST(sum(d) OVER w AS BIGINT) AS documents_completed, CAST(sum(CASE WHEN o = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS batches_completed, CAST(sum(x) OVER w AS BIGINT) AS extraction_completed FROM per WINDOW w AS (PARTITION BY task_id ORDER BY batch_no)""")
 def ingestion_progress(spark, sf_dir):
-    """Events as files of fifty batches; batches of users of even number have no file under way."""
+    """Events as files: a user's are a task, those of a day a batch of it; views are under way, so batches without any are complete."""
     status = F.when(F.col("event_type") == "view", "extracted").when(F.col("event_type") == "error", "failed").otherwise("completed")
-    rows = table(spark, sf_dir, "events").where("not (event_type = 'view' and user_id % 2 = 0)").select((F.col("user_id") % 50).alias("batch_no"), status.alias("status"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.unix_date(F.to_date("ts")).cast("long").alias("batch_no"), status.alias("status"))
     return catalog.progress(rows)
 
 

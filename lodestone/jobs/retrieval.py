@@ -9,6 +9,7 @@ from ..functions.schema import MetadataField, MetadataSchema
 from ..functions.text import sigmoid
 from ..operators import citations as C
 from ..operators import evaluation, loops, models, search
+from ..operators.models import first_sentences_sql
 from .registry import query, table
 
 LABEL = MetadataSchema((MetadataField("label", "integer"),))
@@ -229,7 +230,12 @@ def recall_by_list(spark, sf_dir):
     return evaluation.recall_at(hits, relevant).select("k", F.round("recall", 9).alias("recall"))
 
 
-@query()
+@query(f"""WITH {BM25_SQL},
+found AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25) WHERE rank <= 100),
+scored AS (SELECT doc_id AS pk, text, 1 / (1 + exp(-0.1 * (10.0 * len(list_intersect(list_distinct(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')), {WORDS_SQL})) / len({WORDS_SQL}) - 5.0))) AS s
+  FROM documents JOIN found USING (doc_id)),
+best AS (SELECT pk, s, {first_sentences_sql("text")} AS t FROM scored WHERE s >= 0.3 ORDER BY s DESC, pk LIMIT 10)
+SELECT string_agg(t, chr(10) ORDER BY s DESC, pk) AS answer, count(*) AS n_citations, string_agg(CAST(pk AS VARCHAR), ',' ORDER BY s DESC, pk) AS document_ids FROM best""")
 def rag_answer_extractive(spark, sf_dir):
     """One request from end to end: BM25 candidates, rerank, normalise, threshold, answer with citations."""
     docs = table(spark, sf_dir, "documents")
@@ -237,7 +243,7 @@ def rag_answer_extractive(spark, sf_dir):
     texts = docs.select("doc_id", "text").join(found.select("doc_id"), "doc_id")
     ranked = search.normalize(texts.select(F.col("doc_id").alias("pk"), "text", search.lexical_score(WORDS, F.col("text")).alias("score")))
     out = C.answer(search.confident(ranked, 0.3), 10)
-    return out.select("answer", "n_citations", F.transform("citations", lambda c: c["document_id"]).alias("document_ids"))
+    return out.select("answer", "n_citations", F.array_join(F.transform("citations", lambda c: c["document_id"].cast("string")), ",").alias("document_ids"))
 
 
 @query("""SELECT d.doc_id AS key, CASE WHEN d.doc_id % 3 = 0 THEN p.html ELSE d.text END AS content

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog, chat, citations, loops, summarize
-from ..operators.chunking import chunk, chunk_sql, page_groups
+from ..operators.chunking import UNIT, chunk, chunk_sql, page_groups
+from ..operators.models import first_sentences_sql
 from .registry import query, table
 
 WORDS_SQL = "len(list_filter(string_split_regex({}, '[ \\t\\r\\n\\f]+'), lambda w: w <> ''))"
@@ -192,14 +193,21 @@ def image_budget(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", (F.sum("units").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) <= 60).alias("fits"))
 
 
-@query("SELECT doc_id, substr(text, 1, 40) AS head, CAST(least(length(text), 40) AS BIGINT) AS n FROM documents")
+@query(f"""SELECT doc_id, head, CAST(length(head) AS BIGINT) AS n FROM (
+  SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '{UNIT}')) > 9000 THEN substr(text, 1, 36000) ELSE text END AS head FROM documents)""")
 def summary_single_pass(spark, sf_dir):
-    """Each document cut to what a context of ten tokens holds; the generator returns its input."""
-    rows = summarize.single_pass(table(spark, sf_dir, "documents").select("doc_id", "text"), 10, lambda p, n: p)
+    """Each document, cut if it has more tokens than a context of 9000; the generator returns its input."""
+    rows = summarize.single_pass(table(spark, sf_dir, "documents").select("doc_id", "text"), 9000, lambda p, n: p)
     return rows.select("doc_id", F.col("summary").alias("head"), F.length("summary").cast("long").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM ({chunk_sql(256, 40)})),
+fold AS (
+  SELECT doc_id, chunk_no, {first_sentences_sql("chunk")} AS summary FROM c WHERE chunk_no = 0
+  UNION ALL
+  SELECT doc_id, chunk_no, {first_sentences_sql("prompt")} FROM (
+    SELECT c.doc_id, c.chunk_no, concat_ws(' ', nullif(f.summary, ''), c.chunk) AS prompt FROM fold f JOIN c ON c.doc_id = f.doc_id AND c.chunk_no = f.chunk_no + 1))
+SELECT doc_id, arg_max(summary, chunk_no) AS summary FROM fold GROUP BY doc_id""")
 def summary_iterative(spark, sf_dir):
     return summarize.iterative(chunk(table(spark, sf_dir, "documents").select("doc_id", "text"), 256, 40), "doc_id")
 
@@ -209,19 +217,19 @@ def summary_hierarchical_levels(spark, sf_dir):
     return summarize.hierarchical(chunk(table(spark, sf_dir, "documents").select("doc_id", "text"), 256, 40), "doc_id", 800)
 
 
-@query("SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations WHERE turn % 2 = 0 GROUP BY 1")
+@query("SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1")
 def assemble_documents(spark, sf_dir):
-    """Even turns as the pages of a conversation, put together in order."""
-    rows = table(spark, sf_dir, "conversations").where("turn % 2 = 0").withColumn("text", F.coalesce("text", F.lit("")))
+    """Turns as the pages of a conversation, put together in order."""
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     return summarize.assemble(rows, ["conv_id"], "turn", "text")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM conversations WHERE length(text) < 200)
-SELECT a.conv_id, round(CASE WHEN greatest(length(a.text), length(b.text)) = 0 THEN 1 ELSE 1 - levenshtein(a.text, b.text) * 1.0 / greatest(length(a.text), length(b.text)) END, 6) AS ratio
+@query("""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM conversations)
+SELECT a.conv_id, round(CASE WHEN a.text IS NULL OR b.text IS NULL THEN NULL WHEN greatest(length(a.text), length(b.text)) = 0 THEN 1 ELSE 1 - levenshtein(a.text, b.text) * 1.0 / greatest(length(a.text), length(b.text)) END, 6) AS ratio
 FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 2""")
 def page_similarity(spark, sf_dir):
-    """How alike the first turn of a conversation and the third one are, where both are short; signs beyond ASCII count alike."""
-    rows = table(spark, sf_dir, "conversations").where("length(text) < 200").select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "?").alias("text"))
+    """How alike the first turn of a conversation and the third one are, whole texts, signs beyond ASCII alike; null where one is null."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "?").alias("text"))
     both = rows.where("turn = 0").join(rows.where("turn = 2").select("conv_id", F.col("text").alias("other")), "conv_id")
     return both.select("conv_id", F.round(loops.similarity_ratio(F.col("text"), F.col("other")), 6).alias("ratio"))
 

@@ -94,12 +94,12 @@ def element_text(elements: DataFrame, tables: bool = True, charts: bool = True,
     return F.when(kind == "text", at("content")).when(kind == "audio", at("transcript")).when((kind == "image") & F.lit(images), at("caption")).otherwise(structured)
 
 
-def progress(files: DataFrame, batch: str = "batch_no", status: str = "status") -> DataFrame:
-    """batch_no, documents_completed, batches_completed and extraction_completed (files extracted or further on), each up to and
-    with its batch; a batch is complete once none of its files is under way."""
-    per = files.groupBy(batch).agg(F.count_if(F.col(status) == "completed").alias("d"), F.count_if(F.col(status).isin("completed", "extracted")).alias("x"), F.count_if(~F.col(status).isin("completed", "failed")).alias("open"))
-    w = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each batch
-    return per.select(batch, F.sum("d").over(w).alias("documents_completed"), F.sum((F.col("open") == 0).cast("long")).over(w).alias("batches_completed"), F.sum("x").over(w).alias("extraction_completed"))
+def progress(files: DataFrame, task: str = "task_id", batch: str = "batch_no", status: str = "status") -> DataFrame:
+    """task_id, batch_no, documents_completed, batches_completed and extraction_completed (files extracted or further on), each up
+    to and with its batch of the task; a batch is complete once none of its files is under way."""
+    per = files.groupBy(task, batch).agg(F.count_if(F.col(status) == "completed").alias("d"), F.count_if(F.col(status).isin("completed", "extracted")).alias("x"), F.count_if(~F.col(status).isin("completed", "failed")).alias("open"))
+    w = Window.partitionBy(task).orderBy(batch).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each batch
+    return per.select(task, batch, F.sum("d").over(w).alias("documents_completed"), F.sum((F.col("open") == 0).cast("long")).over(w).alias("batches_completed"), F.sum("x").over(w).alias("extraction_completed"))
 
 
 def metadata_check(files: DataFrame, raw: DataFrame, schema: MetadataSchema) -> DataFrame:

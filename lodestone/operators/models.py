@@ -43,6 +43,13 @@ def first_sentences(prompt: Column, max_chars: int = 200) -> Column:
     return F.aggregate(sentences, F.struct(F.lit("").alias("text"), F.lit(True).alias("open")), step, lambda a: a["text"])
 
 
+def first_sentences_sql(text: str, most: int = 200) -> str:
+    """first_sentences as SQL: sentences are added while all of them, joined by blanks, fit."""
+    sentences = f"list_filter(string_split(regexp_replace({text}, '([.!?])[ \\t\\n\\f\\r\\x0B]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+    fitting = f"list_filter({sentences}, lambda s, i: i = 1 OR length(array_to_string({sentences}[1:i], ' ')) <= {most})"
+    return f"array_to_string({fitting}, ' ')"
+
+
 def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
     """Counts of words by hash, brought to length 1."""
     slots = F.transform(F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from .chunking import token_length
 from .models import Generator, first_sentences
 
 
@@ -16,8 +17,10 @@ def assemble(elements: DataFrame, by: list[str], order: str, text: str) -> DataF
 
 
 def single_pass(docs: DataFrame, max_tokens: int, generate: Generator = first_sentences, max_chars: int = 200) -> DataFrame:
-    """docs with summary, made of the first 4 * max_tokens characters: what a model's context holds."""
-    return docs.withColumn("summary", generate(F.substring("text", 1, 4 * max_tokens), max_chars))
+    """docs with summary, made of the whole text, or of its first 4 * max_tokens characters if it has more than max_tokens tokens."""
+    text = F.col("text")
+    over = (F.length(text) > max_tokens) & (token_length(text) > max_tokens)  # a token has a character at least
+    return docs.withColumn("summary", generate(F.when(over, F.substring(text, 1, 4 * max_tokens)).otherwise(text), max_chars))
 
 
 def iterative(chunks: DataFrame, by: str, generate: Generator = first_sentences, max_chars: int = 200) -> DataFrame:

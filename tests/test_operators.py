@@ -322,3 +322,15 @@ def test_similarity_of_whole_texts(spark, tmp_path):
     got = {r["conv_id"]: r["ratio"] for r in catalogue.QUERIES["page_similarity_whole"](spark, f"file://{tmp_path}").collect()}
     want = {i: None if a is None or b is None else 1.0 if a == b else 1 - distance(a, b) / max(len(a), len(b)) for i, (a, b) in enumerate(pairs)}
     assert got == {i: None if x is None else pytest.approx(x, abs=1e-6) for i, x in want.items()}
+
+
+def test_single_pass_cuts_only_what_is_too_long(spark):
+    rows = spark.createDataFrame([(1, "word " * 10), (2, "extraordinarily " * 10), (3, "word " * 11), (4, ""), (5, None)], "doc int, text string")
+    got = {r["doc"]: r["summary"] for r in summarize.single_pass(rows, 10, lambda p, n: p).collect()}
+    assert got == {1: "word " * 10, 2: "extraordinarily " * 10, 3: ("word " * 11)[:40], 4: "", 5: None}
+
+
+def test_progress_counts_each_task_by_itself(spark):
+    rows = [("a", 1, "completed"), ("a", 1, "extracted"), ("a", 2, "completed"), ("a", 2, "failed"), ("b", 2, "completed")]
+    got = catalog.progress(spark.createDataFrame(rows, "task_id string, batch_no int, status string")).collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 1, 0, 2), ("a", 2, 2, 1, 3), ("b", 2, 1, 1, 1)]
