@@ -123,7 +123,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8 with the spans of the pipeline's stage; it has no SQL."""
+    """op8 with the spans of the pipeline's stage."""
     return dedup(common.documents(spark, sf_dir).select("doc_id", "text"), passages).select("doc_id", "n_lines", "n_removed", "text")
 
 
@@ -133,7 +133,7 @@ def stage(docs: DataFrame) -> DataFrame:
     return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
-SQL = f"""
+CHUNKS_SQL = f"""
 WITH lines AS (
   SELECT doc_id, i, string_split(text, chr(10))[i + 1] AS line
   FROM (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
@@ -146,11 +146,10 @@ dealt AS (
   FROM ended),
 chunks AS (
   SELECT doc_id, chunk, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS bytes
-  FROM dealt GROUP BY doc_id, chunk),
-ranked AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, start) AS r FROM chunks WHERE n > 1),
-stay AS (
-  SELECT d.doc_id, d.i, d.line, r.doc_id IS NULL AS stays
-  FROM dealt d LEFT JOIN (SELECT doc_id, chunk FROM ranked WHERE r > 1) r ON d.doc_id = r.doc_id AND d.chunk = r.chunk),
+  FROM dealt GROUP BY doc_id, chunk)
+"""
+
+TEXTS_SQL = """
 texts AS (
   SELECT doc_id, count(*) AS n_lines, count(*) - sum(CASE WHEN stays THEN 1 ELSE 0 END) AS n_removed,
          coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '') AS text
@@ -158,3 +157,27 @@ texts AS (
 SELECT d.doc_id, CAST(coalesce(t.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, t.text AS text
 FROM documents d LEFT JOIN texts t ON d.doc_id = t.doc_id
 """
+
+SQL = f"""{CHUNKS_SQL},
+ranked AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, start) AS r FROM chunks WHERE n > 1),
+stay AS (
+  SELECT d.doc_id, d.i, d.line, r.doc_id IS NULL AS stays
+  FROM dealt d LEFT JOIN (SELECT doc_id, chunk FROM ranked WHERE r > 1) r ON d.doc_id = r.doc_id AND d.chunk = r.chunk),
+{TEXTS_SQL}"""
+
+#: The same with passages(): the spans of a document overlap, so lines are taken out by their places.
+PASSAGES_SQL = f"""{CHUNKS_SQL},
+counted AS (
+  SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n_words, count(*) OVER (PARTITION BY doc_id) AS n_lines FROM lines),
+worded AS (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM counted WHERE n_words > 0),
+places AS (
+  SELECT doc_id, start, n FROM chunks WHERE n > 1
+  UNION SELECT doc_id, i, following - i + 1 FROM worded WHERE following IS NOT NULL
+  UNION SELECT doc_id, i, 1 FROM worded WHERE n_words > {LONG} OR n_lines = 1),
+spans AS (
+  SELECT p.doc_id, p.start, p.n, array_to_string(string_split(d.text, chr(10))[p.start + 1:p.start + p.n], chr(10)) AS bytes
+  FROM places p JOIN documents d ON p.doc_id = d.doc_id),
+ranked AS (SELECT doc_id, start, n, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, start) AS r FROM spans),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + n)) AS i FROM ranked WHERE r > 1),
+stay AS (SELECT l.doc_id, l.i, l.line, g.doc_id IS NULL AS stays FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i),
+{TEXTS_SQL}"""

@@ -21,4 +21,5 @@ ORACLES = {
     "op4_host_rules": quality_rules.SQL,
     "op7_license_scan": license_scan.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op8_line_dedup_passages": line_dedup.PASSAGES_SQL,
 }
