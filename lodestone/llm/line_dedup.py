@@ -77,7 +77,7 @@ def piece(lines: Column, start: Column, n: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame, spans: Callable[[Column], Column]) -> DataFrame:
-    """docs: doc_id, HASH, text. Rows: doc_id, HASH, start, n: the occurrences to remove."""
+    """docs: doc_id, HASH, text. Rows: doc_id, HASH, start, n: the occurrences to remove; rows may repeat."""
     lines = F.split("text", "\n", -1)
     several = let(lines, lambda x: F.transform(spans(x), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(piece(x, c["start"], c["n"])).alias("hash"))))
     rows = docs.where("text is not null").select("doc_id", HASH, F.explode(several).alias("c")).select("doc_id", HASH, "c.*")
@@ -85,16 +85,16 @@ def repeated_chunks(docs: DataFrame, spans: Callable[[Column], Column]) -> DataF
     own = F.struct("doc_id", HASH, "start")
     again = common.materialize(rows.groupBy("hash").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first <> last").select("hash", "first"), "line-repeats")
     found = rows.join(again.hint("merge"), "hash").withColumn("owner", own == F.col("first"))
-    found = common.materialize(found.select("doc_id", HASH, "start", "n", "hash", "owner").distinct(), "line-occurrences")
+    found = common.materialize(found.select("doc_id", HASH, "start", "n", "hash", "owner"), "line-occurrences")
     common.drop(rows, again)
-    places = found.groupBy("doc_id", HASH).agg(F.collect_list(F.struct("start", "n", "hash", "owner")).alias("places")).withColumnsRenamed({"doc_id": OWN_ID, HASH: OWN_HASH})
+    places = found.groupBy("doc_id", HASH).agg(F.collect_set(F.struct("start", "n", "hash", "owner")).alias("places")).withColumnsRenamed({"doc_id": OWN_ID, HASH: OWN_HASH})
     same = docs["doc_id"].eqNullSafe(places[OWN_ID]) & (docs[HASH] == places[OWN_HASH])
     texts = docs.join(places.hint("merge"), same)
     cut = let(lines, lambda x: F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n"].alias("n"), p["hash"].alias("hash"), p["owner"].alias("owner"), piece(x, p["start"], p["n"]).alias("bytes"))))
     texts = texts.select("doc_id", HASH, F.explode(cut).alias("c")).select("doc_id", HASH, "c.*")
     texts = common.materialize(texts, "line-texts")
     owners = texts.where("owner").select("hash", F.col("bytes").alias("first_bytes")).dropDuplicates(["hash"])
-    return texts.where("not owner").join(owners.hint("merge"), "hash").where("bytes = first_bytes").select("doc_id", HASH, "start", "n").distinct()
+    return texts.where("not owner").join(owners.hint("merge"), "hash").where("bytes = first_bytes").select("doc_id", HASH, "start", "n")
 
 
 def dedup(docs: DataFrame, spans: Callable[[Column], Column] = several_lines, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
@@ -102,7 +102,7 @@ def dedup(docs: DataFrame, spans: Callable[[Column], Column] = several_lines, co
     (start, n) of a text's lines that are looked up; counts are the names of the two columns, which replace any of docs."""
     names = [c for c in docs.columns if c not in counts]
     keyed = docs.select(*names, F.xxhash64("text").alias(HASH))
-    gone = repeated_chunks(keyed.select("doc_id", HASH, "text"), spans).groupBy("doc_id", HASH).agg(F.collect_list(F.struct("start", "n")).alias(GONE))
+    gone = repeated_chunks(keyed.select("doc_id", HASH, "text"), spans).groupBy("doc_id", HASH).agg(F.collect_set(F.struct("start", "n")).alias(GONE))
     gone = gone.withColumnsRenamed({"doc_id": OWN_ID, HASH: OWN_HASH})
     rows = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone[OWN_ID]) & (keyed[HASH] == gone[OWN_HASH]), "left")
     out_lines = F.array_distinct(F.flatten(F.transform(GONE, lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1))))
