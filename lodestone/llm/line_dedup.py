@@ -94,7 +94,10 @@ def repeated_chunks(docs: DataFrame, spans: Callable[[Column], Column]) -> DataF
     texts = texts.select("doc_id", HASH, F.explode(cut).alias("c")).select("doc_id", HASH, "c.*")
     texts = common.materialize(texts, "line-texts")
     owners = texts.where("owner").select("hash", F.col("bytes").alias("first_bytes")).dropDuplicates(["hash"])
-    return texts.where("not owner").join(owners.hint("merge"), "hash").where("bytes = first_bytes").select("doc_id", HASH, "start", "n")
+    gone = texts.where("not owner").join(owners.hint("merge"), "hash").where("bytes = first_bytes").select("doc_id", HASH, "start", "n")
+    gone = common.materialize(gone, "line-gone")
+    common.drop(found, texts)  # before whole texts are shuffled again
+    return gone
 
 
 def dedup(docs: DataFrame, spans: Callable[[Column], Column] = several_lines, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
