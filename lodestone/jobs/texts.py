@@ -62,10 +62,15 @@ def html_extract_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, trim(text, ' ') AS text FROM documents")
+@query("""WITH d AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS first FROM documents)
+SELECT doc_id, trim(CASE doc_id % 4 WHEN 3 THEN text WHEN 1 THEN first ELSE substr(text, length(first) + 1) END, ' ') AS text FROM d""")
 def think_strip(spark, sf_dir):
-    """Each document behind a thought and before an open one."""
-    marked = F.concat(F.lit("<think>a\nb</think>"), "text", F.lit("<think>open\n"))
+    """Documents as a model's output, whose first line is a thought, stands before an open one, is a thought without its start, or
+    is no thought."""
+    first, n = F.substring_index("text", "\n", 1), F.col("doc_id") % 4
+    rest = F.substr(F.col("text"), F.length(first) + 1)
+    tagged = lambda before, after: F.concat(F.lit(before), first, F.lit(after), rest)
+    marked = F.when(n == 0, tagged("<think>", "</think>")).when(n == 1, tagged("", "<think>")).when(n == 2, tagged("", "</think>")).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", T.think_strip(marked).alias("text"))
 
 
