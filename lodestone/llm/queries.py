@@ -1,6 +1,6 @@
 """The queries of this subpackage, on whole tables with production parameters, and their SQL where SQL can express them."""
 
-from . import ann, bpe, lang_id, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_binary, token_counts
+from . import ann, bpe, divergence, exact_dedup, lang_id, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_binary, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1,
@@ -14,6 +14,8 @@ QUERIES = {
     "op8_line_dedup_passages": line_dedup.op8_passages,
     "op9_token_binary": token_binary.op9,
     "op10_ann": ann.op10,
+    "op11_source_divergence": divergence.op11,
+    "op12_exact_dedup": exact_dedup.op12,
 }
 
 ORACLES = {
@@ -22,4 +24,6 @@ ORACLES = {
     "op7_license_scan": license_scan.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op8_line_dedup_passages": line_dedup.PASSAGES_SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_exact_dedup": exact_dedup.SQL,
 }
