@@ -1,6 +1,6 @@
 """The queries of this subpackage, on whole tables with production parameters, and their SQL where SQL can express them."""
 
-from . import ann, bpe, divergence, exact_dedup, lang_id, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_binary, token_counts
+from . import alignment, ann, bpe, divergence, exact_dedup, lang_id, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_binary, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_ann": ann.op10,
     "op11_source_divergence": divergence.op11,
     "op12_exact_dedup": exact_dedup.op12,
+    "op13_alignment": alignment.op13,
 }
 
 ORACLES = {

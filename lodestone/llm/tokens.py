@@ -38,10 +38,11 @@ class _Index(dict):
 
 class UnitTable:
     """Ids of units in one flat array. encoder: list of texts -> (flat ids, ids of each). Bounded: past max_units units or max_chars
-    characters of them only the units that were met again stay, and none if those are over half of either."""
+    characters of them only the units that were met again stay, and none if those are over half of either. whole: texts in which it
+    finds something are encoded as they are."""
 
-    def __init__(self, encoder, max_units: int = MAX_UNITS, max_chars: int = MAX_CHARS):
-        self.encoder, self.max_units, self.max_chars = encoder, max_units, max_chars
+    def __init__(self, encoder, max_units: int = MAX_UNITS, max_chars: int = MAX_CHARS, whole: re.Pattern = RUN):
+        self.encoder, self.max_units, self.max_chars, self.whole = encoder, max_units, max_chars, whole
         self.clear()
 
     def clear(self) -> None:
@@ -81,7 +82,7 @@ class UnitTable:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if RUN.search(text) or len(text) < 2:
+            if self.whole.search(text) or len(text) < 2:
                 numbers.append(np.array([len(self.lens) + len(self.waiting)], np.int64))
                 self.waiting.append(text)
             else:
