@@ -10,12 +10,14 @@ length and min_score would turn into a limit on it; equal rows agree; an empty t
 without labelled rows, gives `und` for all its rows. Extra columns are kept; those that bear one of the result's names are
 replaced, and predict() takes other names for it.
 
-The dictionaries are fitted on a bounded sample: of each language max_docs documents, chosen by a hash, of which dict_bytes
-bytes are used.
+The dictionaries are fitted on a bounded sample: of each of the max_langs languages with the most labelled rows, max_docs distinct
+texts, chosen by a hash, of which dict_bytes bytes are used. Languages beyond max_langs are not learnt; a warning says how many.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,25 +25,31 @@ from pyspark.sql import types as T
 
 from . import common
 
-MAX_DOCS, DICT_BYTES, LEVEL, MIN_SCORE = 200, 60_000, 6, 0.001
+MAX_DOCS, MAX_LANGS, DICT_BYTES, LEVEL, MIN_SCORE = 200, 200, 60_000, 6, 0.001
 BLOCK = 16_384
 UNDETERMINED = "und"
 NAMES = ("lang_pred", "score", "rejected")
 
 
-def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw dictionary contents by language, the most frequent first, of labelled: text, lang. At most max_docs documents of a language reach the driver."""
-    counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").toLocalIterator()}
-    found: dict[str, list[bytes]] = {k: [] for k in counts}
-    if not counts:
-        return {}
-    # Of a language with many documents only a share is looked at, by hash, so that what is shuffled does not grow.
-    shares = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * max_docs / n))))
+def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, dict_bytes: int = DICT_BYTES, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
+    """Raw dictionary contents by language, the most frequent first, of labelled: text, lang. At most max_docs texts of each of
+    max_langs languages reach the driver."""
     h = F.xxhash64("text")
-    rows = labelled.where("text is not null and lang is not null").where(F.pmod(h, F.lit(1 << 30)) <= shares[F.col("lang")] * (1 << 30))
+    known = labelled.where("text is not null and lang is not null")
+    per_lang = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(h).alias("texts"))
+    top = per_lang.orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if len(top) == max_langs and (left := per_lang.count() - max_langs):
+        warnings.warn(f"{left} languages beyond the {max_langs} with the most rows are not learnt")
+    found: dict[str, list[bytes]] = {r["lang"]: [] for r in top}
+    if not found:
+        return {}
+    # Of a language with many texts only a share is looked at, by hash, so that what is shuffled does not grow. Texts are counted,
+    # not rows, as copies have one hash: the share finds four times what is needed.
+    shares = F.create_map(*(F.lit(x) for r in top for x in (r["lang"], min(1.0, 4.0 * max_docs / max(1, r["texts"])))))
+    rows = known.where(F.pmod(h, F.lit(1 << 30)) < F.coalesce(shares[F.col("lang")], F.lit(0.0)) * (1 << 30))
     rows = rows.groupBy("lang", h.alias("h")).agg(F.min(F.substring("text", 1, dict_bytes)).alias("text"))  # copies count once
-    top = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= max_docs)
-    for r in top.orderBy("lang", "n").select("lang", "text").toLocalIterator():
+    chosen = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= max_docs)
+    for r in chosen.orderBy("lang", "n").select("lang", "text").toLocalIterator():
         found[r["lang"]].append(r["text"].lower().encode())
     share = lambda texts: max(1, dict_bytes // len(texts))
     return {k: b"\n".join(x[: share(v)] for x in v) for k, v in found.items() if v}

@@ -71,8 +71,16 @@ def _ids(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u4", offset=1) if len(raw) % 2 else np.frombuffer(raw, "<u2")
 
 
-def ranking(rows: DataFrame, vocabulary: int = 1 << 20) -> np.ndarray:
-    """Ids by falling frequency, ties by id. There are no more than the vocabulary has, which bounds what the driver gets."""
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    return len({*t.get_vocab().values(), *t.get_added_tokens_decoder()})
+
+
+def ranking(rows: DataFrame, vocabulary: int) -> np.ndarray:
+    """Ids by falling frequency, ties by id. There are no more than the vocabulary has, which bounds what the driver gets; more are
+    refused."""
 
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
@@ -85,7 +93,9 @@ def ranking(rows: DataFrame, vocabulary: int = 1 << 20) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], ["id", "n"])
 
     counts = rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "id").limit(vocabulary).collect()
+    top = counts.orderBy(F.desc("n"), "id").limit(vocabulary + 1).collect()
+    if len(top) > vocabulary:
+        raise ValueError(f"more than the {vocabulary} ids of the vocabulary are in use")
     return np.array([r["id"] for r in top], np.uint32)
 
 
@@ -103,8 +113,14 @@ def write_files(rows: DataFrame, ranked: np.ndarray, folder: str) -> DataFrame:
     def run(batches):
         store, inside = open_store(folder)
         ranks = np.frombuffer(store.open_input_stream(f"{inside}/ranks").read(), "<u4")
-        rank_of = np.zeros(int(ranks.max(initial=0)) + 1, np.uint32)
-        rank_of[ranks] = np.arange(len(ranks), dtype=np.uint32)
+        rank_of = np.full(int(ranks.max(initial=0)) + 1, -1, np.int64)
+        rank_of[ranks] = np.arange(len(ranks))
+
+        def ranks_of(ids):
+            found = rank_of[ids] if ids.max(initial=0) < len(rank_of) else np.full(1, -1)
+            if found.min(initial=0) < 0:
+                raise ValueError("an id has no rank")
+            return found
 
         class Writer:
             """Documents whose ids follow one another, as one file."""
@@ -128,7 +144,7 @@ def write_files(rows: DataFrame, ranked: np.ndarray, folder: str) -> DataFrame:
                 """Writes whole blocks, and with least 1 the rest too."""
                 flat = np.concatenate(self.held)
                 while len(flat) >= least:
-                    raw = pack(rank_of[flat[:BLOCK]])
+                    raw = pack(ranks_of(flat[:BLOCK]))
                     self.file.write(np.array([len(raw)], "<i8").tobytes() + raw)
                     flat = flat[BLOCK:]
                 self.held, self.n = [flat], len(flat)
@@ -195,7 +211,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 2) -> DataFrame:
     """docs: doc_id, text. Writes folder; rows: file, n_docs."""
     common.small_batches(docs.sparkSession)
     rows = encoded(docs, path, end)
-    files = write_files(rows, ranking(rows), folder)
+    files = write_files(rows, ranking(rows, vocabulary_size(path) + 1), folder)  # the end id may be one of its own
     common.drop(rows)
     return files
 

@@ -355,3 +355,20 @@ def test_mixed_documents(spark):
     assert mixing.mix_documents(empty(spark), labels).count() == 0
     op = mixing.op3(spark, SMALL)
     assert op.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_languages_of_few_texts_in_many_copies_are_learnt(spark):
+    german = [f"der alte Mann ging {i} Mal durch den Wald und sah die Sonne nicht" for i in range(20)]
+    english = [f"the old man walked {i} times through the forest and did not see the sun" for i in range(300)]
+    rows = spark.createDataFrame([(t, "de") for t in german] + [(t, "en") for t in english], "text string, lang string")
+    many = rows.join(spark.range(500).toDF("_n"), F.when(F.col("lang") == "de", True).otherwise(F.col("_n") == 0)).drop("_n")
+    found = lang_id.fit(many, max_docs=5)
+    assert set(found) == {"de", "en"}
+    told = lang_id.predict(spark.createDataFrame([("der Hund schlief im Wald",), ("the dog slept in the forest",)], "text string"), found)
+    assert [r["lang_pred"] for r in told.collect()] == ["de", "en"]
+
+
+def test_languages_beyond_the_bound_are_reported(spark):
+    rows = spark.createDataFrame([(f"text {i} of {k}", f"l{k}") for k in range(6) for i in range(9 - k)], "text string, lang string")
+    with pytest.warns(UserWarning, match="2 languages"):
+        assert list(lang_id.fit(rows, max_langs=4)) == ["l0", "l1", "l2", "l3"]

@@ -153,3 +153,15 @@ def test_queries_agree_on_the_number_of_tokens(spark):
     nine = token_binary.op9(spark, SMALL).orderBy("doc_id").collect()
     assert one == two == {r["doc_id"]: r["n_tokens"] - 1 for r in nine}
     assert [r["start"] for r in nine] == np.cumsum([0] + [r["n_tokens"] for r in nine])[:-1].tolist()
+
+
+def test_ids_without_a_rank_are_refused(spark, tmp_path):
+    rows = token_binary.encoded(spark.createDataFrame([(1, "the old man")], "doc_id long, text string"), PATH, 2)
+    ranked = token_binary.ranking(rows, 50_258)
+    assert len(ranked) == 4
+    with pytest.raises(Exception, match="has no rank"):
+        token_binary.write_files(rows, ranked[:-1], f"file://{tmp_path}/a").count()
+    with pytest.raises(Exception, match="has no rank"):
+        token_binary.write_files(rows, np.array([2], np.uint32), f"file://{tmp_path}/b").count()
+    with pytest.raises(ValueError, match="more than the 3 ids"):
+        token_binary.ranking(rows, 3)
