@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_DOCS, TOP = 3, 200
-SLICE = 16_000_000  # bytes of text whose starts are sorted together
+SLICE = 4_000_000  # bytes of text whose starts are sorted together
+ROWS = 1_000_000  # sums that a task holds before it adds them up, and hands them on where that leaves over half of them
 SOURCES, TERMS = 64, 4096
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -105,7 +106,8 @@ def slice_counts(texts: pa.Array, group: np.ndarray) -> tuple[pa.Array, np.ndarr
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """docs: text, lang, source. Rows: lang, source, term, n (occurrences), docs; and one of a null term for each group."""
+    """docs: text, lang, source. Rows: lang, source, term, n (occurrences), docs, to be added up, as each task has
+    its own; for each group one of a null term besides."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
 
     def cells(held: list) -> pa.RecordBatch:
@@ -123,21 +125,30 @@ def term_counts(docs: DataFrame) -> DataFrame:
         columns = [lang.dictionary.take(pa.array(code[of] // many)), source.dictionary.take(pa.array(code[of] % many)), terms, pa.array(np.concatenate([n, zeros])), pa.array(np.concatenate([found, zeros]))]
         return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
+    def added(tables: list) -> pa.Table:
+        return pa.concat_tables(tables).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(["lang", "source", "term", "n", "docs"])
+
     def run(batches):
-        held, size = [], 0
+        held, size, sums, rows = [], 0, [], 0
         for batch in batches:
             data, at = text_bytes(batch.column(0))
             for a, b in common.slices(np.diff(at), SLICE):
                 if held and size + at[b] - at[a] > SLICE:
-                    yield cells(held)
-                    held, size = [], 0
+                    sums.append(pa.Table.from_batches([cells(held)]))
+                    held, size, rows = [], 0, rows + len(sums[-1])
+                if rows > ROWS:
+                    sums = [added(sums)]
+                    rows = 0
+                    if len(sums[0]) > ROWS // 2:
+                        yield from sums.pop().to_batches(max_chunksize=50_000)
                 held.append(batch.slice(a, b - a))
                 size += at[b] - at[a]
         if held:
-            yield cells(held)
+            sums.append(pa.Table.from_batches([cells(held)]))
+        if sums:
+            yield from added(sums).to_batches(max_chunksize=50_000)
 
-    found = docs.select(text("text"), text("lang"), text("source")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return docs.select(text("text"), text("lang"), text("source")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
 def probability(count: Column, total: Column, kept: Column) -> Column:
@@ -156,15 +167,18 @@ def divergence(p: Column, q: Column) -> Column:
 def tables(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """Two written tables. Cells: lang, source, term, id (the term's number), n, all (occurrences in the language), of kept terms. Groups: lang, source,
     total (N of the group), total_lang, kept (V)."""
-    counts = common.materialize(term_counts(docs), "term-counts")
-    terms = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs").withColumn("id", F.monotonically_increasing_id())
-    terms = common.materialize(terms, "kept-terms")
-    cells = common.materialize(counts.join(terms, ["lang", "term"]).drop("docs"), "cells")
-    langs = terms.groupBy("lang").agg(F.sum("all").alias("total_lang"), F.count("*").alias("kept"))
+    # Dealt once, by what all sums have in common: sources of a term and the whole of it are added up where it is.
+    counts = term_counts(docs).repartition("term", "lang").groupBy("term", "lang", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    whole = Window.partitionBy("term", "lang")  # a row for each source that has the term
+    counts = counts.withColumn("row", F.monotonically_increasing_id())
+    counts = counts.select("lang", "source", "term", "n", F.sum("n").over(whole).alias("all"), F.sum("docs").over(whole).alias("docs"), "row", F.min("row").over(whole).alias("id"))
+    counts = counts.where((F.col("docs") >= min_docs) | F.col("term").isNull()).select("lang", "source", "term", "id", "n", "all", (F.col("row") == F.col("id")).alias("first"))
+    counts = common.materialize(counts, "term-counts")
+    cells = counts.where("term is not null")
+    langs = cells.where("first").groupBy("lang").agg(F.sum("all").alias("total_lang"), F.count("*").alias("kept"))
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counts.where("term is null").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = common.materialize(groups.select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "total_lang", "kept"))), "groups")
-    common.drop(counts, terms)
     return cells, groups
 
 
