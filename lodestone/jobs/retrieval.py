@@ -8,8 +8,9 @@ from ..functions.predicates import Field
 from ..functions.schema import MetadataField, MetadataSchema
 from ..functions.text import sigmoid
 from ..operators import citations as C
-from ..operators import evaluation, loops, models, search
+from ..operators import evaluation, loops, models, search, term_index
 from ..operators.models import first_sentences_sql
+from ..sources import shared
 from .registry import query, table
 
 LABEL = MetadataSchema((MetadataField("label", "integer"),))
@@ -79,6 +80,32 @@ def bm25_topk(spark, sf_dir):
     return search.top_k(rows, "key", 100, tie="doc_id", descending=True).select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+#: The BM25 of many requests at once: query_id, w (its distinct words) in `asked`.
+BM25_MANY_SQL = """
+words AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM documents WHERE text IS NOT NULL),
+lens AS (SELECT d.doc_id, CAST(count(w.w) AS DOUBLE) AS dl FROM documents d LEFT JOIN (SELECT * FROM words WHERE w <> '') w ON d.doc_id = w.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id),
+tfs AS (SELECT doc_id, w, CAST(count(*) AS DOUBLE) AS tf FROM words WHERE w <> '' GROUP BY doc_id, w),
+dfs AS (SELECT w, CAST(count(*) AS DOUBLE) AS df FROM tfs GROUP BY w),
+stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM lens),
+asked AS (SELECT DISTINCT conv_id AS query_id, w FROM (SELECT conv_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM conversations WHERE turn = 0) WHERE w <> ''),
+scores AS (
+  SELECT query_id, t.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
+  FROM asked a JOIN tfs t ON a.w = t.w JOIN dfs ON t.w = dfs.w JOIN lens l ON t.doc_id = l.doc_id CROSS JOIN stats GROUP BY query_id, t.doc_id)
+"""
+
+
+def first_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query(f"""WITH {BM25_MANY_SQL}
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores) WHERE rank <= 10""")
+def bm25_many(spark, sf_dir):
+    """All first turns ask all documents through an inverted index."""
+    index = term_index.build(table(spark, sf_dir, "documents"), shared.place(spark, "term-index"))
+    return term_index.bm25_many(index, first_turns(spark, sf_dir), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def _lists(spark, sf_dir):
     """The dense and the sparse list (pk, score, rank) of one request, 100 rows each; vector and document share an id."""
     dense = search.search_one(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 100).select(F.col("vec_id").alias("pk"), (-F.col("distance")).alias("score"), "rank")

@@ -23,4 +23,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, worked out once and read from the shared folder from then on."""
     path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Removes what written() wrote for frames that nothing reads any more."""
+    for df in frames:
+        folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._lodestone_path)
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def store(path: str):
+    """(filesystem, path in it) for a task that reads or writes files of the shared folder by itself."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
