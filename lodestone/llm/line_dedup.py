@@ -5,9 +5,10 @@ MODULUS, so boundaries move along with the text. Chunks of several lines that oc
 compared byte by byte with the first occurrence (smallest doc_id, then place) and removed unless they are it. Chunks of one
 line stay: that is what op8's SQL says. Such chunks miss most short passages, as boundaries depend on what stands around a
 passage. stage(), and with it the pipeline, therefore looks up passages(): beside the chunks every two neighbouring lines that
-have words, every line of over LONG words, and a text that is a single line; what any of them finds goes. Each passage of two
+have words, every line of over alone words, and a text that is a single line; what any of them finds goes. Each passage of two
 lines or more consists of such pairs wherever it stands, so none is missed, and of each line one occurrence stays. A line of
-LONG words or fewer that is repeated alone, between lines that are not, stays.
+alone words or fewer that is repeated by itself, between lines that are not, stays: a heading or a notice that many documents
+have is no copied passage. alone is a parameter; 0 looks up every line that has words, whatever its length.
 
 Null texts stay null and have no lines; an empty text has one empty line; a text of which all chunks go becomes empty; rows
 that share doc_id and text are one occurrence and are treated alike; texts of any length are taken whole; a chunk may occur in
@@ -56,14 +57,14 @@ def several_lines(lines: Column) -> Column:
     return F.transform(F.filter(chunks(lines), lambda c: c["n"] > 1), lambda c: span(c["start"], c["n"]))
 
 
-def passages(lines: Column) -> Column:
-    """The spans that stage() looks up, as (start, n): they overlap."""
+def passages(lines: Column, alone: int = LONG) -> Column:
+    """The spans that stage() looks up, as (start, n): they overlap. alone: lines of more words are looked up by themselves."""
 
     def by_words(counts: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(counts) - 1), lambda i: F.get(counts, i) > 0)
         pairs = lambda x: F.filter(F.transform(x, lambda i, k: span(i, F.get(x, k + 1) - i + 1)), lambda p: p["n"].isNotNull())
-        alone = F.transform(F.filter(at, lambda i: (F.get(counts, i) > LONG) | (F.size(counts) == 1)), lambda i: span(i, F.lit(1)))
-        return F.array_distinct(F.concat(several_lines(lines), let(at, pairs), alone))
+        single = F.transform(F.filter(at, lambda i: (F.get(counts, i) > alone) | (F.size(counts) == 1)), lambda i: span(i, F.lit(1)))
+        return F.array_distinct(F.concat(several_lines(lines), let(at, pairs), single))
 
     return let(F.transform(lines, common.word_count), by_words)
 
@@ -130,9 +131,9 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.documents(spark, sf_dir).select("doc_id", "text"), passages).select("doc_id", "n_lines", "n_removed", "text")
 
 
-def stage(docs: DataFrame) -> DataFrame:
+def stage(docs: DataFrame, alone: int = LONG) -> DataFrame:
     """docs with what dedup() leaves of their texts where all passages are looked up; n_chars follows."""
-    out = dedup(docs, passages, ("__line_count", "__line_removed"))
+    out = dedup(docs, lambda lines: passages(lines, alone), ("__line_count", "__line_removed"))
     return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

@@ -372,3 +372,11 @@ def test_languages_beyond_the_bound_are_reported(spark):
     rows = spark.createDataFrame([(f"text {i} of {k}", f"l{k}") for k in range(6) for i in range(9 - k)], "text string, lang string")
     with pytest.warns(UserWarning, match="2 languages"):
         assert list(lang_id.fit(rows, max_langs=4)) == ["l0", "l1", "l2", "l3"]
+
+
+def test_lines_of_any_length_are_looked_up_where_asked(spark):
+    rows = [(1, "own one\nshort line\nown two"), (2, "own three\nshort line\nown four"), (3, "\n"), (4, "x\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = lambda **k: {r["doc_id"]: r["text"] for r in line_dedup.stage(docs, **k).collect()}
+    assert texts() == dict(rows)
+    assert texts(alone=0) == dict(rows) | {2: "own three\nown four"}
