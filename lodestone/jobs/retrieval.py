@@ -8,7 +8,7 @@ from ..functions.predicates import Field
 from ..functions.schema import MetadataField, MetadataSchema
 from ..functions.text import sigmoid
 from ..operators import citations as C
-from ..operators import evaluation, loops, models, search, term_index
+from ..operators import evaluation, loops, models, search, term_index, vector_index
 from ..operators.models import first_sentences_sql
 from ..sources import shared
 from .registry import query, table
@@ -55,6 +55,23 @@ def knn_batch_topk(spark, sf_dir):
     return search.search_many(rows, asked, 10).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query(f"SELECT vec_id, label, round(d, 6) AS distance, CAST(rank AS BIGINT) AS rank FROM (SELECT vec_id, label, {L2} AS d, row_number() OVER (ORDER BY {L2}, vec_id) AS rank FROM embeddings WHERE label <> 4) WHERE rank <= 20")
+def knn_indexed_topk(spark, sf_dir):
+    """The clustered layout with every cell probed, under a condition: exact."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = vector_index.build(rows, shared.place(spark, "vector-index"))
+    found = vector_index.search(spark, index, first_vector(spark, sf_dir), 20, index.cells, Field(LABEL, "label").compare("!=", 4).column)
+    return found.select("vec_id", "label", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query()
+def knn_indexed_many(spark, sf_dir):
+    """Every vector whose id is divisible by 20 asks all others, in as many cells as were learnt to be enough."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector_index.search_queries(vector_index.build(rows, shared.place(spark, "vector-index")), asked, 10)
+
+
 @query(f"SELECT label, vec_id, round(d, 6) AS distance, CAST(rank AS BIGINT) AS rank FROM (SELECT label, vec_id, {L2} AS d, row_number() OVER (PARTITION BY label ORDER BY {L2}, vec_id) AS rank FROM embeddings) WHERE rank <= 5")
 def knn_multi_collection_topk(spark, sf_dir):
     q = F.array(*(F.lit(float(x)) for x in first_vector(spark, sf_dir)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import Condition
 from ..functions.text import sigmoid
-from ..sources.shared import written
+from ..sources.shared import place, store, written
 from .models import Reranker
 
 METRICS, MOST_COLLECTIONS = ("l2", "cosine"), 5
@@ -66,49 +66,93 @@ def search_one(chunks: DataFrame, query: list[float], k: int, metric: str = "l2"
     return top_k(rows.withColumn("distance", distance), "distance", k, tie=pk)
 
 
-def flat(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
-
-def search_many(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2", pk: str = "vec_id", vector: str = "embedding", n_rows: int | None = None, n_queries: int | None = None) -> DataFrame:
+def flat(column, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def nearest(ids: np.ndarray, v: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[list, list, list]:
+    """(query ids, ids, distances): of the vectors v the k nearest to each of q, which are no zero vectors where metric is cosine, its
+    own id left out; ties go to the smaller id."""
+    out = ([], [], [])
+    norm, size = np.sqrt((v * v).sum(1)), np.sqrt((q * q).sum(1))
+    for a in range(0, len(q), 100):
+        product = q[a : a + 100] @ v.T
+        rough = norm**2 - 2 * product if metric == "l2" else -product / norm
+        for i in range(len(rough)):
+            n, r = a + i, np.where(ids == own[a + i], np.inf, rough[i])
+            at = np.flatnonzero(ids != own[n])
+            if len(at) > k:  # what is surely farther is left out, the rest compared exactly
+                edge = np.partition(r, k - 1)[k - 1]
+                at = at[~(r[at] > edge + 1e-9 * (abs(edge) + size[n] ** 2 + 1))]
+            d = np.sqrt(((v[at] - q[n]) ** 2).sum(1)) if metric == "l2" else 1 - (v[at] * q[n]).sum(1) / (norm[at] * size[n])
+            near = np.lexsort((ids[at], d))[:k]
+            for column, values in zip(out, ([own[n]] * len(near), ids[at][near], d[near])):
+                column.extend(values)
+    return out
+
+
+def most_frequent_length(rows: DataFrame, vector: str) -> int:
+    found = rows.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return found["d"] if found else 0
+
+
+def meet(rows: DataFrame, folder: str, k: int, metric: str, width: int, cells: bool = False, shard: int = SHARD_ROWS, block: int = QUERY_ROWS) -> DataFrame:
+    """rows: vec_id, v and, where cells, cell. query_id, vec_id, distance: for each shard of rows the k nearest of each query (query_id,
+    q) that lies in folder, or in its subfolder of the rows' cell. Rows stay where they are read; a task holds a shard of them and
+    reads queries block by block, so that k rows a query and shard are all that is shuffled later."""
+
+    def run(batches):
+        from pyarrow import dataset
+        from pyarrow.fs import FileSelector
+
+        files, inside = store(folder)
+
+        def found(held):
+            ids = np.concatenate([x.column(0).to_numpy() for x in held])
+            v = np.concatenate([flat(x.column(1), width) for x in held])
+            place = f"{inside}/cell={held[0].column(2)[0].as_py()}" if cells else inside
+            if not any(x.size for x in files.get_file_info(FileSelector(place, allow_not_found=True))):
+                return
+            asked = dataset.dataset(place, filesystem=files, format="parquet", partitioning=None)
+            for some in asked.to_batches(columns=["query_id", "q"], batch_size=block, use_threads=False, batch_readahead=1, fragment_readahead=1):
+                if some.num_rows:
+                    out = nearest(ids, v, some.column(0).to_numpy(), flat(some.column(1), width), k, metric)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "distance"])
+
+        held, n, cell = [], 0, None
+        for batch in batches:
+            cuts = [0, batch.num_rows]
+            if cells and batch.num_rows:
+                c = batch.column(2).to_numpy()
+                cuts = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                for at in range(a, b, shard):
+                    part = batch.slice(at, min(shard, b - at))
+                    mine = part.column(2)[0].as_py() if cells else None
+                    if held and (mine != cell or n + part.num_rows > shard):
+                        yield from found(held)
+                        held, n = [], 0
+                    held.append(part)
+                    n, cell = n + part.num_rows, mine
+        if held:
+            yield from found(held)
+
+    return rows.mapInArrow(run, "query_id long, vec_id long, distance double")
+
+
+def search_many(chunks: DataFrame, queries: DataFrame, k: int, metric: str = "l2", pk: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, vec_id, distance, rank: for each query (query_id, query) the k nearest chunks, the query's own id left out.
-    The search is exhaustive: a set of queries against all rows, in blocks. Rows are dealt to shards and queries to blocks, each
-    pair of them is one task's matrix product, which keeps k rows a query. Vectors whose length is not the queries' most frequent
+    The search is exhaustive: a set of queries against all rows, in blocks. Vectors whose length is not the queries' most frequent
     one, or that are null, not finite or, for cosine, zero take no part on either side."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
-    length = queries.where("query is not null").groupBy(F.size("query").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    width = length["d"] if length else 0
-    n_rows, n_queries = n_rows or chunks.count(), n_queries or queries.count()
-    shards, blocks = max(1, -(-n_rows // SHARD_ROWS)), max(1, -(-n_queries // QUERY_ROWS))
-    rows = chunks.where(comparable(F.col(vector), width, metric == "cosine")).select(F.col(pk).alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.where(comparable(F.col("query"), width, metric == "cosine")).select("query_id", F.col("query").cast("array<double>").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if left.num_rows and right.num_rows:
-            ids, own = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
-            v, q = flat(left.column("v"), width), flat(right.column("q"), width)
-            norm, size = np.sqrt((v * v).sum(1)), np.sqrt((q * q).sum(1))
-            for a in range(0, len(q), 100):
-                product = q[a : a + 100] @ v.T
-                rough = norm**2 - 2 * product if metric == "l2" else -product / norm
-                for i in range(len(rough)):
-                    n, r = a + i, np.where(ids == own[a + i], np.inf, rough[i])
-                    at = np.flatnonzero(ids != own[n])
-                    if len(at) > k:  # what is surely farther is left out, the rest compared exactly
-                        edge = np.partition(r, k - 1)[k - 1]
-                        at = at[~(r[at] > edge + 1e-9 * (abs(edge) + size[n] ** 2 + 1))]
-                    d = np.sqrt(((v[at] - q[n]) ** 2).sum(1)) if metric == "l2" else 1 - (v[at] * q[n]).sum(1) / (norm[at] * size[n])
-                    near = np.lexsort((ids[at], d))[:k]
-                    for column, values in zip(out, ([own[n]] * len(near), ids[at][near], d[near])):
-                        column.extend(values)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "distance"])
-
-    found = rows.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(best, "query_id long, vec_id long, distance double")
-    return top_k(found, "distance", k, ["query_id"], tie="vec_id")
+    width = most_frequent_length(queries, "query")
+    asked = queries.where(comparable(F.col("query"), width, metric == "cosine")).select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("q"))
+    folder = place(chunks.sparkSession, "queries")
+    asked.write.parquet(folder)
+    rows = chunks.where(comparable(F.col(vector), width, metric == "cosine")).select(F.col(pk).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    return top_k(meet(rows, folder, k, metric, width), "distance", k, ["query_id"], tie="vec_id")
 
 
 def terms(docs: DataFrame, pk: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,8 +5,8 @@ that does not depend on the request), with the largest of them. Blocks lie in fo
 terms inside, so Spark prunes folders and row groups by the terms asked for. A term's postings are dealt to shares of SHARE at the
 most, each cut to blocks by itself: a word of every document is no task's burden.
 
-A search bounds what the k-th best document of a request must reach (the k-th contribution of one term is enough for that), and
-takes only blocks that can be part of it: its own largest contribution, with the largest ones of the request's other terms, has to
+A search bounds what the k-th best document of a request must reach, by adding up the best few postings of its terms, and takes
+only blocks that can be part of it: its own largest contribution, with the largest ones of the request's other terms, has to
 reach the bound. Nothing that belongs to the k best is skipped.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import drop, written
 from .search import top_k
 
-BLOCK, SHARE, BUCKETS, LITERALS = 128, 1 << 16, 32, 500
+BLOCK, SHARE, BUCKETS, LITERALS, TOPS = 128, 1 << 16, 32, 500, 128
 K1, B = 1.2, 0.75
 
 
@@ -61,9 +61,10 @@ class TermIndex:
     pk: str
     documents: int
     buckets: int
+    kind: str
 
     def blocks(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/blocks")
+        return spark.read.schema(f"term string, share int, block int, best double, postings array<struct<pk: {self.kind}, part: double>>, bucket int").parquet(f"{self.path}/blocks")
 
     def terms(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/terms")
@@ -88,23 +89,31 @@ def build(docs: DataFrame, path: str, pk: str = "doc_id", text: str = "text", k1
     blocks = written(blocks.withColumn("bucket", bucket(F.col("term"), buckets)), "blocks")
     order = ["bucket", "term", "share", "block"]
     blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/blocks")
-    tops = F.when(F.col("block") == 0, F.sort_array(F.col("postings.part"), asc=False))  # of one share: a bound from below for all
-    terms = blocks.groupBy("term").agg(F.sum(F.size("postings")).alias("df"), F.max("best").alias("best"), F.max_by(tops, F.when(F.col("block") == 0, F.struct(F.size("postings"), F.element_at("postings", -1)["part"]))).alias("tops"))
+    # The best postings of a term, of one share: what the documents in them have at least is what others have to reach.
+    best_first = F.array_sort(F.flatten(F.collect_list("postings")), lambda x, y: F.when(x["part"] > y["part"], -1).when(x["part"] < y["part"], 1).otherwise(0))
+    tops = F.slice(best_first, 1, TOPS)
+    tops = blocks.where(F.col("block") * block < TOPS).groupBy("term", "share").agg(tops.alias("tops"))
+    tops = tops.groupBy("term").agg(F.max_by("tops", F.struct(F.size("tops"), F.element_at("tops", -1)["part"])).alias("tops"))
+    terms = blocks.groupBy("term").agg(F.sum(F.size("postings")).alias("df"), F.max("best").alias("best")).join(tops, "term")
     terms.sort("term").write.parquet(f"{path}/terms")
     drop(rows, blocks)
-    return TermIndex(path, pk, stats["n"], buckets)
+    return TermIndex(path, pk, stats["n"], buckets, docs.schema[pk].dataType.simpleString())
 
 
 def wanted(index: TermIndex, queries: DataFrame, k: int) -> DataFrame:
     """queries: query_id, query. For each term of a query that the index has: query_id, term, bucket, weight, and slack: what the
     query's other terms can add at most, less what its k-th best document has at least."""
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    found = asked.join(index.terms(queries.sparkSession), "term")
-    n, df, whole = float(index.documents), F.col("df"), Window.partitionBy("query_id")  # the words of one query
-    found = found.withColumn("weight", F.log(1 + (n - df + 0.5) / (df + 0.5)))
-    least = F.max(F.coalesce(F.col("weight") * F.get("tops", F.lit(k - 1)), F.lit(0.0))).over(whole)
-    slack = F.sum(F.col("weight") * F.col("best")).over(whole) - F.col("weight") * F.col("best") - least
-    return found.select("query_id", "term", bucket(F.col("term"), index.buckets).alias("bucket"), "weight", slack.alias("slack"))
+    n, df = float(index.documents), F.col("df")
+    found = asked.join(index.terms(queries.sparkSession), "term").withColumn("weight", F.log(1 + (n - df + 0.5) / (df + 0.5)))
+    found = written(found, "asked-terms")
+    known = found.select("query_id", "weight", F.inline("tops")).groupBy("query_id", "pk").agg(F.sum(F.col("weight") * F.col("part")).alias("least"))
+    kth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("least")))
+    floors = known.withColumn("_n", kth).where(F.col("_n") == k).select("query_id", "least")
+    own = F.col("weight") * F.col("best")
+    whole = found.groupBy("query_id").agg(F.sum(own).alias("most")).join(floors, "query_id", "left")
+    slack = F.col("most") - own - F.coalesce("least", F.lit(0.0))
+    return found.join(whole, "query_id").select("query_id", "term", bucket(F.col("term"), index.buckets).alias("bucket"), "weight", slack.alias("slack"))
 
 
 def candidates(index: TermIndex, queries: DataFrame, k: int) -> DataFrame:
