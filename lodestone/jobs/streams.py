@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.shared import place as _place
-from ..streaming import ingest
+from ..streaming import folder, ingest, status
 from .registry import query
 from .texts import STATUS_SQL, status_log
 
@@ -44,3 +44,49 @@ def stream_ingest(spark, sf_dir):
     ingest.ingest(docs, target, _place(spark, "checkpoint"), 256, 40).awaitTermination()
     stored = spark.read.schema("document_name string, chunk_no long, collection_name string").parquet(target)
     return stored.where("chunk_no = 0").groupBy("collection_name").agg(F.count("*").alias("n_documents"))
+
+
+TIMEOUT, LATE = 12, 24  # hours
+RANK = "CASE status WHEN 'PENDING' THEN 0 WHEN 'IN_PROGRESS' THEN 1 WHEN 'SUCCESS' THEN 2 ELSE 3 END"
+
+
+@query(f"""WITH log AS (SELECT CAST(user_id AS VARCHAR) AS task, date_trunc('millisecond', ts) AS ts, {STATUS_SQL} AS status FROM events),
+bound AS (SELECT max(ts) - INTERVAL {LATE} HOUR AS w FROM log),
+seen AS (SELECT DISTINCT task, ts, status, {RANK} AS place, w FROM log, bound WHERE ts <= w),
+near AS (SELECT *, lag(place) OVER t AS before, lag(ts) OVER t AS prior FROM seen WINDOW t AS (PARTITION BY task ORDER BY ts, place)),
+marked AS (SELECT *, place < 2 AND (before IS NULL OR before > 1 OR ts > prior + INTERVAL {TIMEOUT} HOUR) AS opens FROM near),
+dealt AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY task ORDER BY ts, place) AS run FROM marked),
+runs AS (SELECT task, run, min(ts) AS opened_at, min(ts) FILTER (WHERE place = 1) AS started_at, max(ts) FILTER (WHERE place < 2) AS news, min(ts) FILTER (WHERE place > 1) AS ended,
+           max(run) OVER (PARTITION BY task) AS last, any_value(w) AS w FROM dealt WHERE run > 0 GROUP BY task, run),
+closed AS (SELECT r.task, opened_at, started_at, news, ended, ended IS NOT NULL AND ended <= news + INTERVAL {TIMEOUT} HOUR AS finished, run < last OR ended IS NOT NULL OR news + INTERVAL {TIMEOUT} HOUR <= w AS over, run FROM runs r)
+SELECT c.task, opened_at, started_at, CASE WHEN finished THEN d.status ELSE 'FAILED' END AS status, CASE WHEN finished THEN ended ELSE news + INTERVAL {TIMEOUT} HOUR END AS completed_at,
+  CASE WHEN NOT finished THEN '{status.STALE}' END AS error
+FROM closed c LEFT JOIN (SELECT task, run, ts, min(place) AS place, arg_min(status, place) AS status FROM dealt WHERE place > 1 GROUP BY 1, 2, 3) d ON d.task = c.task AND d.run = c.run AND d.ts = c.ended
+WHERE over""")
+def stream_status_runs(spark, sf_dir):
+    """Runs of tasks that have ended, by word or by silence, from the log as a stream. Its state store is set in a session of its own."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", status.PROVIDER)
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    closed = status.runs(status_log(_stream(own, sf_dir, "events")), TIMEOUT * 3_600_000, f"{LATE} hours")
+    target = _place(own, "runs")
+
+    def store(batch, number):
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    closed.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", _place(own, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    found = own.read.schema(closed.schema).parquet(target)
+    return found.select("task", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("opened_at", "started_at")), "status", F.col("completed_at").cast("timestamp_ntz").alias("completed_at"), "error")
+
+
+@query("""WITH named AS (SELECT source AS collection_name, CAST(doc_id AS VARCHAR) AS document_name, regexp_matches(text, '[^ \t\n\r\f\x0B]') AS fit FROM documents),
+twice AS (SELECT '1' AS upload, collection_name, CASE WHEN fit THEN 'SUCCESS' ELSE 'FAILED' END AS status FROM named UNION ALL SELECT '2', collection_name, 'FAILED' FROM named)
+SELECT upload, collection_name, status, count(*) AS n FROM twice GROUP BY 1, 2, 3""")
+def stream_ingest_statuses(spark, sf_dir):
+    """All documents are uploaded, and then uploaded again: the second time each is refused."""
+    root = _place(spark, "ingested")
+    for upload in ("1", "2"):
+        docs = _stream(spark, sf_dir, "documents").select(F.col("source").alias("collection_name"), F.col("doc_id").cast("string").alias("document_name"), "text")
+        folder.ingest(docs, root, _place(spark, "checkpoint"), upload, 256, 40).awaitTermination()
+    rows = folder.statuses(spark, root)
+    return rows.groupBy(F.substring_index("batch", "-", 1).alias("upload"), "collection_name", "status").agg(F.count("*").alias("n"))
