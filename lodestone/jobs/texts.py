@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, chat, citations, loops, summarize
+from ..operators import catalog, chat, citations, loops, metrics, summarize
 from ..operators.chunking import UNIT, chunk, chunk_sql, page_groups
 from ..operators.models import first_sentences_sql
 from .registry import query, table
@@ -152,7 +152,29 @@ def shown_contexts(spark, sf_dir):
 @query(f"SELECT role, CAST(sum({WORDS_SQL.format('text')}) AS BIGINT) AS tokens, round(quantile_cont(CAST({WORDS_SQL.format('text')} AS DOUBLE), 0.5), 6) AS median_tokens FROM conversations GROUP BY 1")
 def token_usage(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("role", T.n_words(F.col("text")).alias("n"))
-    return rows.groupBy("role").agg(F.sum("n").alias("tokens"), F.round(F.median("n"), 6).alias("median_tokens"))
+    out = metrics.summary(rows, "n", ["role"], {"median_tokens": 0.5}, tokens=F.sum("n"))
+    return out.select("role", "tokens", F.round("median_tokens", 6).alias("median_tokens"))
+
+
+def _buckets_sql(value: str, by: str, table: str) -> str:
+    low, high = [None, *metrics.BOUNDS], [*metrics.BOUNDS, None]
+    each = " UNION ALL ".join(f"SELECT {by}, CAST({'NULL' if hi is None else hi} AS DOUBLE) AS upper, count(*) FILTER (WHERE {'TRUE' if lo is None else f'v > {lo}'} AND {'TRUE' if hi is None else f'v <= {hi}'}) AS count FROM m GROUP BY 1" for lo, hi in zip(low, high))
+    return f"WITH m AS (SELECT {by}, CAST({value} AS DOUBLE) AS v FROM {table} WHERE {value} IS NOT NULL) SELECT * FROM ({each})"
+
+
+@query(_buckets_sql(WORDS_SQL.format("text"), "role", "conversations"))
+def token_histogram(spark, sf_dir):
+    """Tokens of a turn by role, in fixed buckets."""
+    rows = table(spark, sf_dir, "conversations").select("role", T.n_words(F.col("text")).alias("n"))
+    return metrics.buckets(metrics.histogram(rows, "n", ["role"])).select("role", "upper", "count")
+
+
+@query(_buckets_sql("value", "event_type", "events"))
+def latency_buckets(spark, sf_dir):
+    """Histograms of each day, merged to one of each kind of event."""
+    rows = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    days = metrics.histogram(rows, "value", ["event_type", "day"])
+    return metrics.buckets(metrics.merged(days, ["event_type"])).select("event_type", "upper", "count")
 
 
 @query("SELECT event_type AS endpoint, user_id % 4 AS method, count(*) AS n FROM events GROUP BY 1, 2")
@@ -163,8 +185,9 @@ def api_request_counts(spark, sf_dir):
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, max(value) AS slowest FROM events GROUP BY 1""")
 def latency_percentiles(spark, sf_dir):
-    at = lambda q: F.round(F.percentile("value", q), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("slowest"))
+    rows = table(spark, sf_dir, "events")
+    out = metrics.summary(rows, "value", ["event_type"], {"p50": 0.5, "p95": 0.95, "p99": 0.99}, mean=F.avg("value"), slowest=F.max("value"))
+    return out.select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "mean")), "slowest")
 
 
 STATUS = {"signup": "PENDING", "view": "IN_PROGRESS", "click": "IN_PROGRESS", "purchase": "SUCCESS", "error": "FAILED"}
