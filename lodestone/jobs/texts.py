@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, chat, citations, loops, metrics, summarize
+from ..operators import catalog, chat, citations, loops, metrics, pages, summarize
 from ..operators.chunking import UNIT, chunk, chunk_sql, page_groups
 from ..operators.models import first_sentences_sql
 from .registry import query, table
@@ -270,6 +270,13 @@ def page_similarity_whole(spark, sf_dir):
     return both.select("conv_id", F.round(loops.similarity_ratio(F.col("text"), F.col("other")), 6).alias("ratio"))
 
 
+@query()
+def ground_truth_pages(spark, sf_dir):
+    """Passages of the benchmark on the pages of their documents: every document is a page, as it holds passages."""
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"), "text")
+    return pages.best_pages(passages, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"))
+
+
 @query("""SELECT d.source || '/' || CAST(d.doc_id AS VARCHAR) AS name, CASE WHEN l.toxic = 1 THEN 'FAILED' WHEN d.doc_id % 2 = 0 THEN 'SUCCESS' ELSE 'NOT_FOUND' END AS status,
   CASE WHEN coalesce(l.toxic, 0) <> 1 AND d.doc_id % 2 = 0 THEN substr(d.text, 1, 50) END AS summary
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
