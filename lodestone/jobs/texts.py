@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, chat, citations, loops, metrics, pages, summarize
+from ..operators import catalog, chat, citations, elements, loops, metrics, pages, summarize
 from ..operators.chunking import UNIT, chunk, chunk_sql, page_groups
 from ..operators.models import first_sentences_sql
 from .registry import query, table
@@ -270,6 +270,20 @@ def page_similarity_whole(spark, sf_dir):
     return both.select("conv_id", F.round(loops.similarity_ratio(F.col("text"), F.col("other")), 6).alias("ratio"))
 
 
+@query()
+def html_elements(spark, sf_dir):
+    """Blocks of text, tables, images and links of all pages."""
+    return elements.elements(table(spark, sf_dir, "pages"))
+
+
+@query("""WITH t AS (SELECT page_id, regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g') AS h FROM pages)
+SELECT page_id, CAST(len(regexp_extract_all(h, '<a [^>]*href=')) AS BIGINT) AS links, CAST(len(regexp_extract_all(h, '<img ')) AS BIGINT) AS images, CAST(len(regexp_extract_all(h, '<table')) AS BIGINT) AS tables FROM t""")
+def html_element_counts(spark, sf_dir):
+    """Elements of each kind by page."""
+    rows = table(spark, sf_dir, "pages").select("page_id").join(elements.elements(table(spark, sf_dir, "pages")), "page_id", "left")
+    return rows.groupBy("page_id").agg(*(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("link", "image", "table")))
+
+
 @query()
 def ground_truth_pages(spark, sf_dir):
     """Passages of the benchmark on the pages of their documents: every document is a page, as it holds passages."""
