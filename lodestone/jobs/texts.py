@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog, chat, citations, elements, loops, metrics, pages, summarize
 from ..operators.chunking import UNIT, chunk, chunk_sql, page_groups
+from ..operators.chunking import chunk_by_tokens as token_chunks
 from ..operators.models import first_sentences_sql
 from .registry import query, table
 
@@ -270,6 +271,15 @@ def page_similarity_whole(spark, sf_dir):
     return both.select("conv_id", F.round(loops.similarity_ratio(F.col("text"), F.col("other")), 6).alias("ratio"))
 
 
+@query()
+def chunk_by_tokens(spark, sf_dir):
+    """Documents in chunks of 512 tokens of a byte-level tokenizer, 150 of them shared with the chunk before."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_chunks(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query()
 def html_elements(spark, sf_dir):
     """Blocks of text, tables, images and links of all pages."""

@@ -1,4 +1,4 @@
-"""Chunks of texts, in DataFrame functions alone.
+"""Chunks of texts.
 
 A text is a row of units: a word or a sign, with the white space behind it; a unit counts as a token. A chunk takes units up to
 size, and ends, if the text goes on, behind the strongest kind of boundary in the last SNAP of it: an empty line, a line's end,
@@ -8,16 +8,23 @@ cover every unit, none lies inside another, and joined without their overlaps th
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..functions.text import let
+from pyspark.sql import types as T
 
 SPACE = r" \t\n\r\f\x0B"
 UNIT = rf"[\p{{L}}\p{{N}}_]+[{SPACE}]*|[^\p{{L}}\p{{N}}_{SPACE}][{SPACE}]*|[{SPACE}]+"
 SNAP = 0.3
 #: Kinds of boundaries, the strongest first: what the unit before one matches.
 BOUNDARIES = (r"\n[ \t\r]*\n", r"\n", rf"^[.!?][{SPACE}]", rf"[{SPACE}]$")
+BLANKS, BLANK_LINE = tuple(" \t\n\r\f\x0b"), re.compile(BOUNDARIES[0])
+LINES, LINE, SENTENCE, GAP = re.compile(r"\n[ \t\r]*\n"), re.compile(r"\n"), re.compile(rf"[.!?](?=[{SPACE}])"), re.compile(rf"[{SPACE}]+")
 
 
 def units(text: Column) -> Column:
@@ -28,33 +35,51 @@ def token_length(text: Column) -> Column:
     return F.size(units(text)).cast("long")
 
 
-def strength(unit: Column) -> Column:
-    found = F.lit(0)
-    for n, pattern in enumerate(reversed(BOUNDARIES), 1):
-        found = F.when(unit.rlike(pattern), n).otherwise(found)
-    return found
-
-
-def spans(parts: Column, size: int, overlap: int) -> Column:
-    """(start, stop) of the chunks of an array of units: a fold over as many steps as there can be chunks."""
-    least = max(1, int(size * (1 - SNAP)))
-
-    def fold(kinds: Column) -> Column:
-        n = F.size(kinds)
-        state = F.struct(F.lit(0).alias("start"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-
-        def step(s: Column, _: Column) -> Column:
-            start = s["start"]
-            ends = F.transform(F.sequence(start + least, start + size), lambda e: F.struct(F.get(kinds, e - 1).alias("k"), e.alias("e")))
-            stop = F.when(start + size >= n, n).otherwise(F.array_max(ends)["e"])
-            here = F.concat(s["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"))))
-            after = F.when(stop >= n, n).otherwise(F.greatest(stop - overlap, start + 1))
-            return F.when(start >= n, s).otherwise(let(here, lambda h: F.struct(after.alias("start"), h.alias("out"))))
-
-        steps = F.sequence(F.lit(0), F.floor(n / max(1, least - overlap)).cast("int") + 1)
-        return F.aggregate(steps, state, step, lambda s: s["out"])
-
-    return let(F.transform(parts, strength), fold)
+def strength(unit: str) -> int:
+    """The kind of boundary behind a unit: one of BOUNDARIES, the strongest the highest, or 0. Patterns told in plain signs."""
+    if "\n" in unit:
+        return 4 if BLANK_LINE.search(unit) else 3
+    if len(unit) > 1 and unit[0] in ".!?" and unit[1] in BLANKS:
+        return 2
+    return 1 if unit[-1:] in BLANKS else 0
+
+
+def spans(text: str, ends: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, stop) of the chunks of a text whose units end at ends. Only units in the last SNAP of a chunk are looked at."""
+    least, n, start, out = max(1, int(size * (1 - SNAP))), len(ends), 0, []
+    at = [0, *ends.tolist()]
+    while start < n:
+        stop = n
+        if start + size < n:
+            best = -1
+            for e in range(start + size, start + least - 1, -1):
+                kind = strength(text[at[e - 1] : at[e]])
+                if kind > best:
+                    best, stop = kind, e
+                    if kind == len(BOUNDARIES):
+                        break
+        out.append((start, stop))
+        start = n if stop >= n else max(stop - overlap, start + 1)
+    return out
+
+
+def pieces(rows: DataFrame, others: list[str], cut: Callable[[], Callable[[list, list], list[list[str]]]]) -> DataFrame:
+    """rows: others and some columns for cut, of which the last is the text. others with chunk_no and chunk: cut() is called once in
+    each task and gives the chunks of each text of a batch."""
+    fields = [rows.schema[c] for c in others]
+    schema = T.StructType([*fields, T.StructField("chunk_no", T.LongType()), T.StructField("chunk", T.StringType())])
+
+    def run(batches):
+        cutter = cut()
+        for batch in batches:
+            found = cutter(*(batch.column(i) for i in range(len(others), batch.num_columns)))
+            for a in range(0, len(found), 200):
+                some = found[a : a + 200]
+                which = pa.array(np.repeat(np.arange(a, a + len(some)), [len(x) for x in some]))
+                numbers = pa.array([i for x in some for i in range(len(x))], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(which) for i in range(len(others))), numbers, pa.array([c for x in some for c in x], pa.string())], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def chunk(docs: DataFrame, size: int = 1024, overlap: int = 150, text: str = "text") -> DataFrame:
@@ -63,11 +88,81 @@ def chunk(docs: DataFrame, size: int = 1024, overlap: int = 150, text: str = "te
     if size <= 0 or overlap < 0:
         raise ValueError("size is positive, overlap not negative")
     overlap = min(overlap, size // 2)
-    joined = lambda u, s: F.array_join(F.slice(u, s["start"] + 1, s["stop"] - s["start"]), "")
-    pieces = let(units(F.col(text)), lambda u: F.transform(spans(u, size, overlap), lambda s: joined(u, s)))
     others = [c for c in docs.columns if c not in (text, "chunk_no", "chunk")]
-    rows = docs.where(F.col(text).rlike(rf"[^{SPACE}]")).select(*others, F.posexplode(pieces).alias("chunk_no", "chunk"))
-    return rows.withColumn("chunk_no", F.col("chunk_no").cast("long"))
+    lengths = F.transform(units(F.col(text)), F.length)
+    rows = docs.where(F.col(text).rlike(rf"[^{SPACE}]")).select(*others, lengths.alias("_lengths"), F.col(text).alias("_text"))
+
+    def cut():
+        def of(lengths, texts):
+            found = []
+            for n, t in zip(lengths, texts):
+                t, ends = t.as_py(), np.cumsum(n.values.to_numpy())
+                at = [0, *ends.tolist()]
+                found.append([t[at[a] : at[b]] for a, b in spans(t, ends, size, overlap)])
+            return found
+
+        return of
+
+    return pieces(rows, others, cut)
+
+
+def boundaries(text: str) -> list[np.ndarray]:
+    """Places in a text before which a chunk may end, the strongest kind first: behind empty lines, behind lines, behind the sign that
+    ends a sentence, and before blanks."""
+    kinds = [[m.end() for m in LINES.finditer(text)], [m.end() for m in LINE.finditer(text)], [m.end() for m in SENTENCE.finditer(text)], [m.start() for m in GAP.finditer(text)]]
+    return [np.array(x, np.int64) for x in kinds]
+
+
+def token_spans(ends: np.ndarray, places: list[np.ndarray], size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, stop) in tokens, which end at ends: a chunk ends behind the last place of the strongest kind in its last SNAP at which
+    a token ends, else anywhere. The next one starts overlap tokens before."""
+    least, n, start, out = max(1, int(size * (1 - SNAP))), len(ends), 0, []
+    places = [p[np.isin(p, ends)] for p in places]
+    while start < n:
+        stop = n
+        if start + size < n:
+            stop, low, high = start + size, ends[start + least - 1], ends[start + size - 1]
+            for p in places:
+                i = int(np.searchsorted(p, high, side="right")) - 1
+                if i >= 0 and p[i] >= low:
+                    stop = min(start + size, int(np.searchsorted(ends, p[i], side="right")))
+                    break
+        out.append((start, stop))
+        start = n if stop >= n else max(stop - overlap, start + 1)
+    return out
+
+
+def chunk_by_tokens(docs: DataFrame, tokenizer: str, size: int = 512, overlap: int = 150, text: str = "text") -> DataFrame:
+    """chunk() by the tokens of a tokenizer (a file of the tokenizers library, without special tokens), whose offsets cut the text
+    itself: no sign is lost or changed, and no chunk has more than size tokens of the text's."""
+    if size <= 0 or overlap < 0:
+        raise ValueError("size is positive, overlap not negative")
+    overlap = min(overlap, size // 2)
+    others = [c for c in docs.columns if c not in (text, "chunk_no", "chunk")]
+    rows = docs.where(F.col(text).rlike(rf"[^{SPACE}]")).select(*others, F.col(text).alias("_text"))
+
+    def cut():
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(tokenizer)
+        model.no_truncation()
+        model.no_padding()
+        model.encode_special_tokens = True
+
+        def of(texts):
+            found = []
+            for t in texts.to_pylist():
+                ends = np.array([e for _, e in model.encode(t, add_special_tokens=False).offsets], np.int64)
+                ends = np.maximum.accumulate(ends)
+                ends[-1:] = len(t)  # blanks that offsets leave out belong to the token behind them, or to the last
+                at = [0, *ends.tolist()]
+                found.append([t[at[a] : at[b]] for a, b in token_spans(ends, boundaries(t), size, overlap)])
+            return found
+
+        return of
+
+    return pieces(rows, others, cut)
 
 
 def chunk_sql(size: int, overlap: int, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
