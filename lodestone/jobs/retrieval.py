@@ -8,7 +8,7 @@ from ..functions.predicates import Field
 from ..functions.schema import MetadataField, MetadataSchema
 from ..functions.text import sigmoid
 from ..operators import citations as C
-from ..operators import evaluation, loops, models, search, term_index, vector_index
+from ..operators import batched, evaluation, loops, models, search, term_index, vector_index
 from ..operators.models import first_sentences_sql
 from ..sources import shared
 from .registry import query, table
@@ -181,11 +181,14 @@ def _words_sql(x: str) -> str:
     return f"list_distinct(list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
 
 
-@query(f"""WITH q AS (SELECT conv_id AS query_id, {_words_sql('text')} AS words FROM conversations WHERE turn = 0),
+RERANK_SQL = f"""WITH q AS (SELECT conv_id AS query_id, {_words_sql('text')} AS words FROM conversations WHERE turn = 0),
 hits AS (SELECT q.query_id, c.turn AS pk, CASE WHEN len(q.words) > 0 THEN 10.0 * len(list_intersect(q.words, {_words_sql("coalesce(c.text, '')")})) / len(q.words) - 5.0 ELSE -5.0 END AS logit
   FROM conversations c JOIN q ON c.conv_id = q.query_id WHERE c.turn > 0),
 scored AS (SELECT query_id, pk, round(1 / (1 + exp(-0.1 * logit)), 9) AS s FROM hits WHERE 1 / (1 + exp(-0.1 * logit)) >= 0.4)
-SELECT query_id, pk, round(s, 6) AS relevance_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pk) AS rank FROM scored) WHERE rank <= 3""")
+SELECT query_id, pk, round(s, 6) AS relevance_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, pk) AS rank FROM scored) WHERE rank <= 3"""
+
+
+@query(RERANK_SQL)
 def rerank_pairs(spark, sf_dir):
     """Later turns of a conversation as hits of its first one, scored in pairs."""
     rows = table(spark, sf_dir, "conversations")
@@ -194,6 +197,15 @@ def rerank_pairs(spark, sf_dir):
     return search.rerank(asked, hits, models.shared_words, 3, 0.4).select("query_id", "pk", F.round("relevance_score", 6).alias("relevance_score"), "rank")
 
 
+@query(RERANK_SQL)
+def rerank_batched(spark, sf_dir):
+    """rerank_pairs with a model that takes batches."""
+    rows = table(spark, sf_dir, "conversations")
+    asked = rows.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    hits = rows.where("turn > 0").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pk"), "text")
+    return batched.rerank(asked, hits, 3, 0.4).select("query_id", "pk", F.round("relevance_score", 6).alias("relevance_score"), "rank")
+
+
 @query(f"""WITH docs AS (SELECT doc_id, source, doc_id % 5 AS page FROM documents), hit AS (SELECT source, page FROM docs WHERE doc_id = (SELECT vec_id FROM embeddings WHERE vec_id <> 0 ORDER BY {L2}, vec_id LIMIT 1))
 SELECT d.doc_id, d.source, d.page FROM docs d JOIN hit h ON d.source = h.source AND d.page = h.page ORDER BY d.doc_id LIMIT 6""")
 def page_mates(spark, sf_dir):

@@ -302,13 +302,13 @@ def ground_truth_pages(spark, sf_dir):
 
 
 @query("""SELECT d.source || '/' || CAST(d.doc_id AS VARCHAR) AS name, CASE WHEN l.toxic = 1 THEN 'FAILED' WHEN d.doc_id % 2 = 0 THEN 'SUCCESS' ELSE 'NOT_FOUND' END AS status,
-  CASE WHEN coalesce(l.toxic, 0) <> 1 AND d.doc_id % 2 = 0 THEN substr(d.text, 1, 50) END AS summary
+  CASE WHEN coalesce(l.toxic, 0) <> 1 AND d.doc_id % 2 = 0 THEN d.text END AS summary
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def summary_lookup(spark, sf_dir):
-    """Documents with a toxic label failed, of the others every second one has its summary stored."""
+    """Documents with a toxic label failed, of the others every second one is its own summary, which is stored."""
     docs = table(spark, sf_dir, "documents").withColumn("name", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")))
     status = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("name", F.when(F.col("toxic") == 1, "FAILED").otherwise("SUCCESS").alias("status"))
-    stored = docs.where("doc_id % 2 = 0").select("name", F.substring("text", 1, 50).alias("summary"))
+    stored = docs.where("doc_id % 2 = 0").select("name", F.col("text").alias("summary"))
     return loops.summary_lookup(docs.select("name"), status, stored)
 
 
