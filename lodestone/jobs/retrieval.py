@@ -8,7 +8,7 @@ from ..functions.predicates import Field
 from ..functions.schema import MetadataField, MetadataSchema
 from ..functions.text import sigmoid
 from ..operators import citations as C
-from ..operators import batched, evaluation, loops, models, search, term_index, vector_index
+from ..operators import batched, evaluation, grounding, loops, models, search, term_index, vector_index
 from ..operators.models import first_sentences_sql
 from ..sources import shared
 from .registry import query, table
@@ -302,6 +302,17 @@ def rag_answer_extractive(spark, sf_dir):
     return out.select("answer", "n_citations", F.array_join(F.transform("citations", lambda c: c["document_id"].cast("string")), ",").alias("document_ids"))
 
 
+@query()
+def answer_groundedness(spark, sf_dir):
+    """Second turns as answers to the first, and the three documents that the first turn finds as their passages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = term_index.build(docs, shared.place(spark, "term-index"))
+    found = term_index.bm25_many(index, first_turns(spark, sf_dir), 3)
+    pairs = found.join(docs, "doc_id").select(F.col("query_id").alias("answer_id"), F.col("doc_id").alias("passage_id"), F.col("text").alias("passage"))
+    answers = table(spark, sf_dir, "conversations").where("turn = 1").select(F.col("conv_id").alias("answer_id"), F.col("text").alias("answer"))
+    return grounding.groundedness(grounding.grounding(answers, pairs, 0.3))
+
+
 @query("""SELECT d.doc_id AS key, CASE WHEN d.doc_id % 3 = 0 THEN p.html ELSE d.text END AS content
 FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id
 WHERE d.doc_id % 7 <> 6 AND length(CASE WHEN d.doc_id % 3 = 0 THEN p.html ELSE d.text END) > 0""")
