@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .dates import read
+
 RESERVED = ("type", "subtype", "location")
 SYSTEM = ("filename", "page_number", "start_time", "end_time")
 TYPES = {"string": T.StringType(), "datetime": T.TimestampType(), "number": T.DoubleType(), "integer": T.LongType(), "float": T.DoubleType(), "boolean": T.BooleanType()}
@@ -94,7 +96,7 @@ def normalized(f: MetadataField, raw: Column) -> Column:
         s = F.lower(F.trim(raw))
         return F.when((s != "") & (F.length(s) <= f.limit), s)
     if f.type == "datetime":
-        return F.date_trunc("second", raw.try_cast("timestamp"))
+        return read(raw)
     if f.type == "boolean":
         return F.when(F.lower(raw).isin(*TRUE), True).when(F.lower(raw).isin(*FALSE), False)
     if f.type == "array":
