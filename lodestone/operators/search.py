@@ -197,9 +197,9 @@ def weighted_fusion(dense: DataFrame, sparse: DataFrame, w_dense: float = 0.5, w
     """pk, score: each list's scores brought to 0..1 by its least and largest, weighted and added; absent ones count 0."""
 
     def scaled(rows: DataFrame, name: str) -> DataFrame:
-        whole = Window.partitionBy(F.lit(0))  # a list is a top k
-        lo, hi = F.min("score").over(whole), F.max("score").over(whole)
-        return rows.select(pk, F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(1.0).alias(name))
+        ends = rows.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))  # one row
+        lo, hi = F.col("_lo"), F.col("_hi")
+        return rows.join(F.broadcast(ends)).select(pk, F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(1.0).alias(name))
 
     both = scaled(dense, "d").join(scaled(sparse, "s"), pk, "full")
     return both.select(pk, (w_dense * F.coalesce("d", F.lit(0.0)) + w_sparse * F.coalesce("s", F.lit(0.0))).alias("score"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import written
 
 TEXT_LIKE = ("txt", "md", "html", "htm", "json", "sh", "csv")
 ALLOWED = (*TEXT_LIKE, "pdf", "docx", "pptx", "png", "jpg", "jpeg", "bmp", "tiff", "mp3", "wav", "parquet")
@@ -27,8 +28,22 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_metadata(files: DataFrame, metadata: DataFrame) -> DataFrame:
-    """files with their metadata (filename, ...), by base name; nulls where there is none."""
-    return files.join(metadata.withColumnRenamed("filename", "_file"), F.col("document_name") == F.col("_file"), "left").drop("_file")
+    """files with their metadata (filename, ...), by base name on both sides; nulls where there is none. Texts that are empty or blank
+    are no values, and become null."""
+    texts = {f.name for f in metadata.schema.fields if f.dataType.simpleString() == "string" and f.name != "filename"}
+    values = [F.when(F.trim(c) != "", F.col(c)).alias(c) if c in texts else F.col(c) for c in metadata.columns if c != "filename"]
+    named = metadata.select(T.basename(F.col("filename")).alias("_file"), *values)
+    return files.join(named, T.basename(F.col("document_name")) == F.col("_file"), "left").drop("_file")
+
+
+def batches(files: DataFrame, per_batch: int) -> DataFrame:
+    """files with batch_no: in the order of their paths, per_batch to a batch. Places are counted by ranges of paths, so no task has
+    more than its range of them."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = written(files.repartitionByRange("path").sortWithinPartitions("path").select("*", F.spark_partition_id().alias("_range"), place.alias("_place")), "files")
+    order = Window.orderBy("_range")  # a row for each range
+    sizes = dealt.groupBy("_range").count().select("_range", (F.sum("count").over(order) - F.col("count")).alias("_before"))
+    return dealt.join(F.broadcast(sizes), "_range").withColumn("batch_no", F.floor((F.col("_before") + F.col("_place")) / per_batch)).drop("_range", "_place", "_before")
 
 
 def batch_shape(files: DataFrame) -> DataFrame:
