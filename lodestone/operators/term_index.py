@@ -31,31 +31,69 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def counted(docs: DataFrame, pk: str = "doc_id", text: str = "text") -> DataFrame:
-    """pk, dl (words), term, tf for each document and distinct word; a document without words has one row with a null term; head
-    marks one row of each. Counting is done where the text is read, so words are never shuffled one by one."""
+def packs(docs: DataFrame, pk: str, text: str) -> DataFrame:
+    """term, pks, tfs, dls: the postings of each word in a batch of documents, with the lengths of these; and for each batch a row of a
+    null term with its n_docs and n_words. Counting and packing are done where the text is read, so words are never shuffled one by
+    one."""
     kind = docs.schema[pk].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
-            dl = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten().dictionary_encode()
-            n = max(1, len(flat.dictionary))
-            code, tf = np.unique(np.repeat(np.arange(len(dl)), dl) * n + flat.indices.to_numpy(), return_counts=True)
-            doc, term = np.concatenate([code // n, np.flatnonzero(dl == 0)]), code % n
-            head = np.ones(len(doc), bool)
-            head[1 : len(term)] = doc[1 : len(term)] != doc[: len(term) - 1][: max(0, len(term) - 1)]
-            terms = pa.concat_arrays([flat.dictionary.take(pa.array(term)), pa.nulls(len(doc) - len(term), flat.dictionary.type)])
-            tf = np.concatenate([tf, np.zeros(len(doc) - len(term), np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(dl[doc]), terms, pa.array(tf), pa.array(head)], [pk, "dl", "term", "tf", "head"])
+            dl = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+            flat = batch.column(1).flatten().dictionary_encode()
+            many = max(1, len(dl))
+            code, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * many + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+            term, doc = code // many, code % many
+            cuts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1], [True]])) if len(term) else np.zeros(1, np.int64)
+            offsets = pa.array(np.append(cuts, cuts[-1]), pa.int32())  # the last row has no postings
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (batch.column(0).take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(dl[doc]))]
+            zeros = [0] * (len(cuts) - 1)
+            terms = pa.concat_arrays([flat.dictionary.take(pa.array(term[cuts[:-1]])), pa.nulls(1, flat.dictionary.type)])
+            yield pa.RecordBatch.from_arrays([terms, *lists, pa.array([*zeros, len(dl)], pa.int64()), pa.array([*zeros, int(dl.sum())], pa.int64())], ["term", "pks", "tfs", "dls", "n_docs", "n_words"])
+
+    return docs.where(F.col(text).isNotNull()).select(pk, words(F.col(text))).mapInArrow(run, f"term string, pks array<{kind}>, tfs array<int>, dls array<int>, n_docs long, n_words long")
+
+
+def blocks_of(rows: DataFrame, block: int, mean: float, k1: float, b: float) -> DataFrame:
+    """rows: packs with bucket and share, sorted by bucket, term, share. A row for each block: bucket, term, share, block, best, pks,
+    parts. A task holds the postings of one share of one term."""
+    kind = rows.schema["pks"].dataType.elementType.simpleString()
+
+    def cut(held: list):
+        table = pa.Table.from_batches(held).combine_chunks()
+        pks, tfs, dls = (pa.concat_arrays([c.flatten() for c in table.column(name).chunks]) for name in ("pks", "tfs", "dls"))
+        tf, dl = tfs.to_numpy().astype(np.float64), dls.to_numpy()
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+        order = np.argsort(-part, kind="stable")
+        starts = np.arange(0, len(order), block)
+        offsets = pa.array(np.append(starts, len(order)), pa.int32())
+        n = len(starts)
+        same = [table.column(c).combine_chunks().take(pa.array([0] * n)) for c in ("bucket", "term", "share")]
+        same = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in same]
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pks.take(pa.array(order)), pa.array(part[order]))]
+        return pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n), pa.int32()), pa.array(part[order][starts]), *lists], ["bucket", "term", "share", "block", "best", "pks", "parts"])
 
-    return docs.where(F.col(text).isNotNull()).select(pk, words(F.col(text))).mapInArrow(run, f"`{pk}` {kind}, dl long, term string, tf long, head boolean")
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("term", "share"))))
+            at = 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[at]:
+                    if held and keys[at] != key:
+                        yield cut(held)
+                        held = []
+                    held.append(batch.slice(at, i - at))
+                    key, at = keys[at], i
+        if held:
+            yield cut(held)
+
+    return rows.mapInArrow(run, f"bucket int, term string, share int, block int, best double, pks array<{kind}>, parts array<double>")
 
 
 @dataclass(frozen=True)
 class TermIndex:
-    """Where an index lies: blocks (bucket, term, share, block, best, postings of pk and part) and terms (term, df, best, tops)."""
+    """Where an index lies: blocks (bucket, term, share, block, best, pks, parts) and terms (term, df, best, tops)."""
 
     path: str
     pk: str
@@ -64,7 +102,7 @@ class TermIndex:
     kind: str
 
     def blocks(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(f"term string, share int, block int, best double, postings array<struct<pk: {self.kind}, part: double>>, bucket int").parquet(f"{self.path}/blocks")
+        return spark.read.schema(f"term string, share int, block int, best double, pks array<{self.kind}>, parts array<double>, bucket int").parquet(f"{self.path}/blocks")
 
     def terms(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/terms")
@@ -77,27 +115,28 @@ def bucket(term: Column, buckets: int) -> Column:
 def build(docs: DataFrame, path: str, pk: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, buckets: int = BUCKETS, block: int = BLOCK, share: int = SHARE) -> TermIndex:
     """Writes the index of docs (null texts left out, pk not null and unique) to path, which must not exist yet."""
     spark = docs.sparkSession
-    rows = written(counted(docs, pk, text), "postings")
-    stats = rows.agg(F.count_if("head").alias("n"), F.sum("tf").alias("words")).first()
-    mean = max(1, stats["words"] or 0) / max(1, stats["n"])
-    tf = F.col("tf").cast("double")
-    postings = rows.where("term is not null").select("term", pk, (tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / mean))).alias("part"))
-    many = postings.groupBy("term").count().where(F.col("count") > share).select("term", F.ceil(F.col("count") / share).alias("shares"))
-    dealt = postings.join(many, "term", "left").withColumn("share", F.pmod(F.xxhash64(pk), F.coalesce("shares", F.lit(1))).cast("int"))
-    place = F.row_number().over(Window.partitionBy("term", "share").orderBy(F.desc("part"), pk)) - 1
-    blocks = dealt.withColumn("block", F.floor(place / block).cast("int")).groupBy("term", "share", "block").agg(F.max("part").alias("best"), F.collect_list(F.struct(F.col(pk).alias("pk"), "part")).alias("postings"))
-    blocks = written(blocks.withColumn("bucket", bucket(F.col("term"), buckets)), "blocks")
-    order = ["bucket", "term", "share", "block"]
-    blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/blocks")
+    rows = written(packs(docs, pk, text), "postings")
+    stats = rows.where("term is null").agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("words")).first()
+    n = stats["n"] or 0
+    mean = max(1, stats["words"] or 0) / max(1, n)
+    postings = rows.where("term is not null").select("term", "pks", "tfs", "dls", F.monotonically_increasing_id().alias("_row"))
+    many = postings.groupBy("term").agg(F.sum(F.size("pks")).alias("n")).where(F.col("n") > share).select("term", F.ceil(F.col("n") / share).alias("shares"))
+    dealt = postings.join(many, "term", "left").withColumn("share", F.pmod(F.xxhash64("_row"), F.coalesce("shares", F.lit(1))).cast("int")).withColumn("bucket", bucket(F.col("term"), buckets))
+    order = ["bucket", "term", "share"]
+    dealt = dealt.select(*order, "pks", "tfs", "dls").repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = blocks_of(dealt, block, mean, k1, b)
+    blocks.sortWithinPartitions(*order, "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    drop(rows)
+    index = TermIndex(path, pk, n, buckets, docs.schema[pk].dataType.simpleString())
+    blocks = index.blocks(spark)
     # The best postings of a term, of one share: what the documents in them have at least is what others have to reach.
-    best_first = F.array_sort(F.flatten(F.collect_list("postings")), lambda x, y: F.when(x["part"] > y["part"], -1).when(x["part"] < y["part"], 1).otherwise(0))
-    tops = F.slice(best_first, 1, TOPS)
-    tops = blocks.where(F.col("block") * block < TOPS).groupBy("term", "share").agg(tops.alias("tops"))
+    pairs = F.transform(F.arrays_zip("pks", "parts"), lambda x: F.struct(x["pks"].alias("pk"), x["parts"].alias("part")))
+    best_first = F.array_sort(F.flatten(F.collect_list(pairs)), lambda x, y: F.when(x["part"] > y["part"], -1).when(x["part"] < y["part"], 1).otherwise(0))
+    tops = blocks.where(F.col("block") * block < TOPS).groupBy("term", "share").agg(F.slice(best_first, 1, TOPS).alias("tops"))
     tops = tops.groupBy("term").agg(F.max_by("tops", F.struct(F.size("tops"), F.element_at("tops", -1)["part"])).alias("tops"))
-    terms = blocks.groupBy("term").agg(F.sum(F.size("postings")).alias("df"), F.max("best").alias("best")).join(tops, "term")
+    terms = blocks.groupBy("term").agg(F.sum(F.size("pks")).alias("df"), F.max("best").alias("best")).join(tops, "term")
     terms.sort("term").write.parquet(f"{path}/terms")
-    drop(rows, blocks)
-    return TermIndex(path, pk, stats["n"], buckets, docs.schema[pk].dataType.simpleString())
+    return index
 
 
 def wanted(index: TermIndex, queries: DataFrame, k: int) -> DataFrame:
@@ -117,7 +156,7 @@ def wanted(index: TermIndex, queries: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(index: TermIndex, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, weight, postings of the blocks that may hold one of the k best. With few terms their folders and names reach the
+    """query_id, weight, pks, parts of the blocks that may hold one of the k best. With few terms their folders and names reach the
     scan as filters; with more, as a join prunes them."""
     spark = queries.sparkSession
     asked = written(wanted(index, queries, k), "asked")
@@ -127,13 +166,13 @@ def candidates(index: TermIndex, queries: DataFrame, k: int) -> DataFrame:
         places = sorted({r["bucket"] for r in asked.select("bucket").distinct().collect()})
         blocks = blocks.where(F.col("bucket").isin(places) & F.col("term").isin(terms))
     met = blocks.join(asked, ["bucket", "term"])
-    return met.where(F.col("weight") * F.col("best") + F.col("slack") >= -1e-8).select("query_id", "weight", "postings")
+    return met.where(F.col("weight") * F.col("best") + F.col("slack") >= -1e-8).select("query_id", "weight", "pks", "parts")
 
 
 def bm25_many(index: TermIndex, queries: DataFrame, k: int) -> DataFrame:
     """queries: query_id, query (a text). query_id, pk, score, rank: the k best documents of each; scores that agree in nine places
     are ties, which go to the smaller pk. Queries without words, or whose words the index lacks, find nothing."""
-    hits = candidates(index, queries, k).select("query_id", "weight", F.inline("postings"))
+    hits = candidates(index, queries, k).select("query_id", "weight", F.inline(F.arrays_zip(F.col("pks").alias("pk"), F.col("parts").alias("part")))).toDF("query_id", "weight", "pk", "part")
     scores = hits.groupBy("query_id", "pk").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
     best = top_k(scores.withColumn("_key", F.round("score", 9)), "_key", k, ["query_id"], descending=True).drop("_key")
     return best.withColumnRenamed("pk", index.pk)

@@ -109,10 +109,10 @@ def learnt(index: VectorIndex, asked: DataFrame, target: float, k: int) -> int:
     """The smallest number of cells that hold target of the true neighbours of asked (pk, v), a bounded set of queries."""
     spark = asked.sparkSession
     centroids = index.centroids(spark)
-    queries = asked.select(F.col("pk").alias("query_id"), F.col("v").alias("query"))
-    vectors = {r["query_id"]: r["query"] for r in queries.collect()}
+    vectors = {r["pk"]: r["v"] for r in asked.collect()}  # once: which rows a limit takes may differ from run to run
     if not vectors:
         return index.cells
+    queries = spark.createDataFrame(list(vectors.items()), asked.schema).toDF("query_id", "query")
     rows = index.rows(spark)
     true = search_many(rows, queries, k, index.metric, index.pk, index.vector)
     found = true.join(rows.select(F.col(index.pk).alias("vec_id"), "cell"), "vec_id").select("query_id", "cell").collect()  # k rows a query
