@@ -140,7 +140,7 @@ def test_units_are_bounded_by_their_characters(library):
 
 def test_wide_ids(spark):
     rows = spark.createDataFrame([(0, 0, 1, bytearray(b"\1" + np.array([5, 70_000], "<u4").tobytes())), (0, 2, 2, bytearray(np.array([5], "<u2").tobytes()))], "part int, at long, doc_id long, ids binary")
-    ranked = token_binary.ranking(rows)
+    ranked = token_binary.ranking(rows, 10)
     assert ranked.tolist() == [5, 70_000]
     folder = common.new_path(spark, "wide")
     got = token_binary.read_files(token_binary.write_files(rows, ranked, folder), folder).orderBy("doc_id").collect()
