@@ -8,6 +8,7 @@ cover every unit, none lies inside another, and joined without their overlaps th
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -132,6 +133,51 @@ def token_spans(ends: np.ndarray, places: list[np.ndarray], size: int, overlap:
     return out
 
 
+class TokenEnds:
+    """Where the tokens of texts end, in signs. A byte-level pattern never joins what stands on both sides of a blank between other
+    signs than white space, so with such a tokenizer a text is cut before its blanks, and each new piece is encoded once."""
+
+    #: Texts in which a blank stands after white space and before white space or the end are encoded whole.
+    WHOLE = re.compile(r"\s (?:\s|\Z)")
+
+    def __init__(self, path: str, most: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.model.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        before = made.get("pre_tokenizer") or {}
+        self.cut = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer")
+        self.known, self.most = {}, most
+
+    def whole(self, text: str) -> list[int]:
+        ends = [e for _, e in self.model.encode(text, add_special_tokens=False).offsets]
+        return np.maximum.accumulate(np.array(ends, np.int64)).tolist()  # offsets leave blanks out, so an end may fall back
+
+    def of(self, text: str) -> np.ndarray:
+        """The ends of a text's tokens; the last one is the text's."""
+        if self.cut and not self.WHOLE.search(text):
+            first, *rest = text.split(" ")
+            pieces = [first, *(" " + x for x in rest)]
+            known, at, ends = self.known, 0, []
+            for piece in pieces:
+                if piece not in known:
+                    if len(known) >= self.most:
+                        known.clear()
+                    known[piece] = self.whole(piece)
+                ends += [at + e for e in known[piece]]
+                at += len(piece)
+        else:
+            ends = self.whole(text)
+        ends = np.array(ends, np.int64)
+        ends[-1:] = len(text)
+        return ends
+
+
 def chunk_by_tokens(docs: DataFrame, tokenizer: str, size: int = 512, overlap: int = 150, text: str = "text") -> DataFrame:
     """chunk() by the tokens of a tokenizer (a file of the tokenizers library, without special tokens), whose offsets cut the text
     itself: no sign is lost or changed, and no chunk has more than size tokens of the text's."""
@@ -142,20 +188,12 @@ def chunk_by_tokens(docs: DataFrame, tokenizer: str, size: int = 512, overlap: i
     rows = docs.where(F.col(text).rlike(rf"[^{SPACE}]")).select(*others, F.col(text).alias("_text"))
 
     def cut():
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.no_truncation()
-        model.no_padding()
-        model.encode_special_tokens = True
+        tokens = TokenEnds(tokenizer)
 
         def of(texts):
             found = []
             for t in texts.to_pylist():
-                ends = np.array([e for _, e in model.encode(t, add_special_tokens=False).offsets], np.int64)
-                ends = np.maximum.accumulate(ends)
-                ends[-1:] = len(t)  # blanks that offsets leave out belong to the token behind them, or to the last
+                ends = tokens.of(t)
                 at = [0, *ends.tolist()]
                 found.append([t[at[a] : at[b]] for a, b in token_spans(ends, boundaries(t), size, overlap)])
             return found

@@ -60,6 +60,15 @@ def test_against_the_rule_place_by_place(spark, size, overlap):
         assert got.get(i, []) == (want if text.strip() else []), (i, text)
 
 
+def test_ends_of_pieces_are_those_of_whole_texts():
+    tokens = chunking.TokenEnds(PATH, most=50)
+    assert tokens.cut
+    for text in texts() * 2:
+        whole = tokens.whole(text)
+        whole[-1] = len(text)
+        assert tokens.of(text).tolist() == whole, text
+
+
 def test_nothing_is_lost(spark):
     docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
     parts = chunking.chunk_by_tokens(docs, PATH, 9, 0).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "chunk"))).alias("c"))
