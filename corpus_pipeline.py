@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    docs, before = common.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.drop(before)  # nothing reads it any more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
