@@ -104,7 +104,7 @@ lens AS (SELECT d.doc_id, CAST(count(w.w) AS DOUBLE) AS dl FROM documents d LEFT
 tfs AS (SELECT doc_id, w, CAST(count(*) AS DOUBLE) AS tf FROM words WHERE w <> '' GROUP BY doc_id, w),
 dfs AS (SELECT w, CAST(count(*) AS DOUBLE) AS df FROM tfs GROUP BY w),
 stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM lens),
-asked AS (SELECT DISTINCT conv_id AS query_id, w FROM (SELECT conv_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM conversations WHERE turn = 0) WHERE w <> ''),
+asked AS (SELECT DISTINCT conv_id AS query_id, w FROM (SELECT conv_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM conversations WHERE turn = 0 AND conv_id % 20 = 0) WHERE w <> ''),
 scores AS (
   SELECT query_id, t.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
   FROM asked a JOIN tfs t ON a.w = t.w JOIN dfs ON t.w = dfs.w JOIN lens l ON t.doc_id = l.doc_id CROSS JOIN stats GROUP BY query_id, t.doc_id)
@@ -112,13 +112,14 @@ scores AS (
 
 
 def first_turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    """Of the conversations whose id is divisible by 20."""
+    return table(spark, sf_dir, "conversations").where("turn = 0 and conv_id % 20 = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"""WITH {BM25_MANY_SQL}
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores) WHERE rank <= 10""")
 def bm25_many(spark, sf_dir):
-    """All first turns ask all documents through an inverted index."""
+    """First turns, of every twentieth conversation, ask all documents through an inverted index."""
     index = term_index.build(table(spark, sf_dir, "documents"), shared.place(spark, "term-index"))
     return term_index.bm25_many(index, first_turns(spark, sf_dir), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
@@ -304,12 +305,12 @@ def rag_answer_extractive(spark, sf_dir):
 
 @query()
 def answer_groundedness(spark, sf_dir):
-    """Second turns as answers to the first, and the three documents that the first turn finds as their passages."""
+    """Second turns, of every twentieth conversation, as answers to the first, and the three documents that the first turn finds as their passages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = term_index.build(docs, shared.place(spark, "term-index"))
     found = term_index.bm25_many(index, first_turns(spark, sf_dir), 3)
     pairs = found.join(docs, "doc_id").select(F.col("query_id").alias("answer_id"), F.col("doc_id").alias("passage_id"), F.col("text").alias("passage"))
-    answers = table(spark, sf_dir, "conversations").where("turn = 1").select(F.col("conv_id").alias("answer_id"), F.col("text").alias("answer"))
+    answers = table(spark, sf_dir, "conversations").where("turn = 1 and conv_id % 20 = 0").select(F.col("conv_id").alias("answer_id"), F.col("text").alias("answer"))
     return grounding.groundedness(grounding.grounding(answers, pairs, 0.3))
 
 
