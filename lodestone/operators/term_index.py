@@ -16,13 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import drop, written
 from .search import top_k
 
-BLOCK, SHARE, BUCKETS, LITERALS, TOPS = 128, 1 << 16, 32, 500, 128
+BLOCK, SHARE, BUCKETS, LITERALS, TOPS, AT_ONCE = 128, 1 << 16, 32, 500, 128, 500_000
 K1, B = 1.2, 0.75
 
 
@@ -56,37 +57,48 @@ def packs(docs: DataFrame, pk: str, text: str) -> DataFrame:
 
 def blocks_of(rows: DataFrame, block: int, mean: float, k1: float, b: float) -> DataFrame:
     """rows: packs with bucket and share, sorted by bucket, term, share. A row for each block: bucket, term, share, block, best, pks,
-    parts. A task holds the postings of one share of one term."""
+    parts. A task holds AT_ONCE postings, or those of one share of one term."""
     kind = rows.schema["pks"].dataType.elementType.simpleString()
 
-    def cut(held: list):
-        table = pa.Table.from_batches(held).combine_chunks()
+    def firsts(table: pa.Table) -> np.ndarray:
+        """Whether a row begins another share or term."""
+        new = np.ones(len(table), bool)
+        changed = [pc.not_equal(table.column(c).slice(1), table.column(c).slice(0, len(table) - 1)).to_numpy() for c in ("term", "share")]
+        new[1:] = changed[0] | changed[1]
+        return new
+
+    def cut(table: pa.Table):
+        new, lens = firsts(table), pc.list_value_length(table.column("pks")).to_numpy()
         pks, tfs, dls = (pa.concat_arrays([c.flatten() for c in table.column(name).chunks]) for name in ("pks", "tfs", "dls"))
         tf, dl = tfs.to_numpy().astype(np.float64), dls.to_numpy()
         part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
-        order = np.argsort(-part, kind="stable")
-        starts = np.arange(0, len(order), block)
-        offsets = pa.array(np.append(starts, len(order)), pa.int32())
-        n = len(starts)
-        same = [table.column(c).combine_chunks().take(pa.array([0] * n)) for c in ("bucket", "term", "share")]
+        key = np.repeat(np.cumsum(new) - 1, lens)
+        order = np.lexsort((-part, key))
+        begin = np.flatnonzero(np.diff(key, prepend=-1))  # postings of a share are side by side, before and after
+        place = np.arange(len(key)) - begin[key]
+        starts = np.flatnonzero(place % block == 0)
+        own = pa.array(np.flatnonzero(new)[key[starts]])
+        same = [table.column(c).combine_chunks().take(own) for c in ("bucket", "term", "share")]
         same = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in same]
+        offsets = pa.array(np.append(starts, len(key)), pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, x) for x in (pks.take(pa.array(order)), pa.array(part[order]))]
-        return pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n), pa.int32()), pa.array(part[order][starts]), *lists], ["bucket", "term", "share", "block", "best", "pks", "parts"])
+        numbers = (place[starts] // block).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*same, pa.array(numbers), pa.array(part[order][starts]), *lists], ["bucket", "term", "share", "block", "best", "pks", "parts"])
 
     def run(batches):
-        held, key = [], None
+        held, size = [], 0
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("term", "share"))))
-            at = 0
-            for i in range(1, len(keys) + 1):
-                if i == len(keys) or keys[i] != keys[at]:
-                    if held and keys[at] != key:
-                        yield cut(held)
-                        held = []
-                    held.append(batch.slice(at, i - at))
-                    key, at = keys[at], i
-        if held:
-            yield cut(held)
+            held.append(batch)
+            size += len(batch.column("pks").flatten())
+            if size > AT_ONCE:
+                table = pa.Table.from_batches(held)
+                last = int(np.flatnonzero(firsts(table))[-1])  # its postings may go on
+                if last:
+                    yield cut(table.slice(0, last))
+                    held = table.slice(last).to_batches()
+                    size = sum(len(x.column("pks").flatten()) for x in held)
+        if size:
+            yield cut(pa.Table.from_batches(held))
 
     return rows.mapInArrow(run, f"bucket int, term string, share int, block int, best double, pks array<{kind}>, parts array<double>")
 

@@ -42,8 +42,9 @@ def zipf_docs(n, seed=2):
 
 
 @pytest.mark.parametrize("options", [{}, {"block": 4, "share": 200, "buckets": 3}, {"block": 1, "share": 7, "buckets": 1}])
-def test_bm25_many(spark, options):
-    """Small blocks and shares, so that common words are dealt and most blocks are skipped."""
+def test_bm25_many(spark, options, monkeypatch):
+    """Small blocks and shares, so that common words are dealt and most blocks are skipped; few postings at once."""
+    monkeypatch.setattr(term_index, "AT_ONCE", 60 if options else term_index.AT_ONCE)
     docs = zipf_docs(300)
     queries = [(0, "w0 w1"), (1, "w150 w0"), (2, "É w3 w3 w9"), (3, "nowhere"), (4, ""), (5, None), (6, "w7")]
     index = term_index.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), shared.place(spark, "t"), **options)
