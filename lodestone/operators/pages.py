@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..sources.shared import written
 from .search import top_k
 from .term_index import words
 
@@ -81,6 +82,7 @@ def candidates(passages: DataFrame, pages: DataFrame, rarest: int = RAREST) -> D
     runs of words, of those that pages have at all."""
     asked = passages.select("passage_id", F.explode(word_runs(F.col("text"))).alias("run"))
     has = pages.select("page_id", F.explode(word_runs(F.col("text"))).alias("run")).join(asked.select("run").distinct(), "run", "left_semi")
+    has = written(has, "runs")  # of few pages, of which all were read
     many = has.groupBy("run").agg(F.count("*").alias("n"))
     chosen = top_k(asked.join(many, "run"), "n", rarest, ["passage_id"], tie="run").select("passage_id", "run")
     return chosen.join(has, "run").select("passage_id", "page_id").distinct()
