@@ -36,8 +36,8 @@ from .token_counts import open_store
 
 PIECES = "piece_bpe_32k.model"
 MARK, OTHER, ODD = "▁", np.uint32(1 << 31), np.uint32((1 << 32) - 1)
-MAX_UNITS, MAX_CHARS = 400_000, 8_000_000
-PAIRS = 2_000_000  # distinct pairs that a task holds before it hands them on
+MAX_UNITS, MAX_CHARS = 250_000, 5_000_000
+PAIRS = 1_000_000  # distinct pairs that a task holds before it hands them on
 
 
 class Pieces:
@@ -247,7 +247,7 @@ def _slices(flat: np.ndarray, per: np.ndarray) -> pa.Array:
     return pa.array([flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), per.tolist())], pa.binary())
 
 
-def aligned(docs: DataFrame, keep: list[str], a_path: str, b_path: str, chars: int = 2_000_000) -> DataFrame:
+def aligned(docs: DataFrame, keep: list[str], a_path: str, b_path: str, chars: int = 1_000_000) -> DataFrame:
     """docs: keep, text. Rows of two kinds: keep, counts and ids of a document; a pair (_pair) and how often it is linked (_n) in a
     task's documents, perhaps in several rows."""
     fields = [docs.schema[c] for c in keep]
@@ -313,7 +313,7 @@ def with_counts(rows: DataFrame, keep: list[str], counts: DataFrame, a_path: str
         for batch in batches:
             part = batch.column("_part").to_numpy()
             sizes = [x.as_py() + y.as_py() for x, y in zip(*(pc.binary_length(batch.column(c)) for c in ("_a", "_b")))]
-            cuts = sorted({0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), *(x for x, _ in common.slices(sizes, 4_000_000)), len(part)})
+            cuts = sorted({0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), *(x for x, _ in common.slices(sizes, 2_000_000)), len(part)})
             for x, y in zip(cuts[:-1], cuts[1:]):
                 some = batch.slice(x, y - x)
                 raw = [some.column(c).to_pylist() for c in ("_a", "_b")]
