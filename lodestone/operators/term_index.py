@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import drop, written
 from .search import top_k
 
-BLOCK, SHARE, BUCKETS, LITERALS, TOPS, AT_ONCE = 128, 1 << 16, 32, 500, 128, 500_000
+BLOCK, SHARE, BUCKETS, LITERALS, TOPS, AT_ONCE, SENT = 128, 1 << 16, 32, 500, 128, 500_000, 50_000
 K1, B = 1.2, 0.75
 
 
@@ -177,7 +177,8 @@ def candidates(index: TermIndex, queries: DataFrame, k: int) -> DataFrame:
     if len(terms) <= LITERALS:
         places = sorted({r["bucket"] for r in asked.select("bucket").distinct().collect()})
         blocks = blocks.where(F.col("bucket").isin(places) & F.col("term").isin(terms))
-    met = blocks.join(asked, ["bucket", "term"])
+    # Few rows of some words each are sent to the blocks; more than that meet them by sorting.
+    met = blocks.join(F.broadcast(asked) if asked.count() <= SENT else asked, ["bucket", "term"])
     return met.where(F.col("weight") * F.col("best") + F.col("slack") >= -1e-8).select("query_id", "weight", "pks", "parts")
 
 
