@@ -26,25 +26,36 @@ from .token_counts import open_store
 from .tokens import library_table, tokenizer_path
 
 MAGIC, BLOCK, FILE, FILES_A_TASK = b"LSVB0002", 1 << 16, 1 << 26, 8
-LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1
+MORE = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8)  # bytes of each id after its first
 
 
 def pack(ranks: np.ndarray) -> bytes:
     """Control bytes, then data bytes, of unsigned 32-bit numbers."""
     r = np.ascontiguousarray(ranks, "<u4")
-    size = 1 + (r > 0xFF).astype(np.int64) + (r > 0xFFFF) + (r > 0xFFFFFF)
     code = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    code[: len(r)] = size - 1
+    more = code[: len(r)]
+    for least in (0xFF, 0xFFFF, 0xFFFFFF):
+        more += r > least
     control = code[0::4] | code[1::4] << 2 | code[2::4] << 4 | code[3::4] << 6
-    return control.tobytes() + r.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    at = np.cumsum(more, dtype=np.int64) - more + np.arange(len(r))
+    data = np.empty(len(r) + int(more.sum(dtype=np.int64)), np.uint8)
+    data[at] = r.astype(np.uint8)
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(more >= k)
+        data[at[longer] + k] = (r[longer] >> np.uint32(8 * k)).astype(np.uint8)
+    return control.tobytes() + data.tobytes()
 
 
 def unpack(raw: bytes, n: int) -> np.ndarray:
     control = np.frombuffer(raw, np.uint8, -(-n // 4))
-    size = LENGTHS[control].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < size[:, None]] = np.frombuffer(raw, np.uint8, int(size.sum()), len(control))
-    return out.reshape(-1).view("<u4")
+    more = MORE[control].reshape(-1)[:n]
+    at = np.cumsum(more, dtype=np.int64) - more + np.arange(n)
+    data = np.frombuffer(raw, np.uint8, n + int(more.sum(dtype=np.int64)), len(control))
+    out = data[at].astype("<u4")
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(more >= k)
+        out[longer] |= data[at[longer] + k].astype("<u4") << np.uint32(8 * k)
+    return out
 
 
 def encoded(docs: DataFrame, path: str, end: int, chars: int = 2_000_000) -> DataFrame:

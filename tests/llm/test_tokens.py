@@ -165,3 +165,10 @@ def test_ids_without_a_rank_are_refused(spark, tmp_path):
         token_binary.write_files(rows, np.array([2], np.uint32), f"file://{tmp_path}/b").count()
     with pytest.raises(ValueError, match="more than the 3 ids"):
         token_binary.ranking(rows, 3)
+
+
+def test_packed_bytes_of_every_length():
+    x = np.array([1, 0x102, 0x10203, 0x1020304, 255, 256], np.uint32)
+    raw = token_binary.pack(x)
+    assert raw == bytes([0b11100100, 0b0100, 1, 2, 1, 3, 2, 1, 4, 3, 2, 1, 255, 0, 1])
+    assert (token_binary.unpack(raw, 6) == x).all() and len(token_binary.unpack(token_binary.pack(x[:0]), 0)) == 0
