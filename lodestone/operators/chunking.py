@@ -83,21 +83,24 @@ def pieces(rows: DataFrame, others: list[str], cut: Callable[[], Callable[[list,
     return rows.mapInArrow(run, schema)
 
 
-def chunk(docs: DataFrame, size: int = 1024, overlap: int = 150, text: str = "text") -> DataFrame:
+def chunk(docs: DataFrame, size: int = 1024, overlap: int = 150, text: str = "text", blanks: bool = False) -> DataFrame:
     """docs without text, with chunk_no and chunk: a row for each chunk; texts that are null or blank have none. Overlaps of more
-    than half of size count as half."""
+    than half of size count as half. blanks: a blank text has a row too, chunk_no 0 with a chunk that is null."""
     if size <= 0 or overlap < 0:
         raise ValueError("size is positive, overlap not negative")
     overlap = min(overlap, size // 2)
     others = [c for c in docs.columns if c not in (text, "chunk_no", "chunk")]
     lengths = F.transform(units(F.col(text)), F.length)
-    rows = docs.where(F.col(text).rlike(rf"[^{SPACE}]")).select(*others, lengths.alias("_lengths"), F.col(text).alias("_text"))
+    rows = docs.where(F.col(text).isNotNull() if blanks else F.col(text).rlike(rf"[^{SPACE}]")).select(*others, lengths.alias("_lengths"), F.col(text).alias("_text"))
 
     def cut():
         def of(lengths, texts):
             found = []
             for n, t in zip(lengths, texts):
                 t, ends = t.as_py(), np.cumsum(n.values.to_numpy())
+                if blanks and not t.strip("".join(BLANKS)):
+                    found.append([None])
+                    continue
                 at = [0, *ends.tolist()]
                 found.append([t[at[a] : at[b]] for a, b in spans(t, ends, size, overlap)])
             return found

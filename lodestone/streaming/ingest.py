@@ -12,13 +12,16 @@ from ..operators.chunking import chunk
 TERMINAL = ("SUCCESS", "FAILED")
 
 
-def ingest(docs: DataFrame, target: str, checkpoint: str, size: int = 1024, overlap: int = 150) -> StreamingQuery:
+def ingest(docs: DataFrame, target: str, checkpoint: str, size: int = 1024, overlap: int = 150, once: bool = True) -> StreamingQuery:
     """A stream of documents (collection_name, document_name, text, ts) into target, each document once within the watermark.
-    A batch's rows carry its number, and a batch that runs again writes its folder anew, so none is stored twice."""
-    unique = docs.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["collection_name", "document_name"])
+    A batch's rows carry its number, and a batch that runs again writes its folder anew, so none is stored twice. A document whose
+    text is blank is stored as chunk 0 that is null. Folders are named by collection; as a folder's name does not tell an empty
+    collection_name from one that is null, that is in the files too. Without once, each row is a document, names may repeat or be null."""
+    unique = docs.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["collection_name", "document_name"]) if once else docs
 
     def store(batch: DataFrame, number: int) -> None:
-        chunk(batch, size, overlap).write.mode("overwrite").partitionBy("collection_name").parquet(f"{target}/batch={number}")
+        rows = chunk(batch, size, overlap, blanks=True).withColumn("collection", F.col("collection_name"))
+        rows.write.mode("overwrite").partitionBy("collection").parquet(f"{target}/batch={number}")
 
     return unique.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

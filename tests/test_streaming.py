@@ -5,9 +5,12 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.jobs import catalogue
 from lodestone.sources import shared
 from lodestone.streaming import folder, status
 
+from .conftest import same_rows
+
 START = datetime(2024, 5, 1, tzinfo=timezone.utc)
 HOUR = 3_600_000
 LOG = "task string, ts timestamp, status string"
@@ -137,3 +140,14 @@ def test_judged_rows(spark):
     out = folder.judged(spark.createDataFrame(rows, "collection_name string, document_name string, text string"), stored)
     told = sorted((r["collection_name"] or "", r["document_name"], r["error"] is None) for r in out.collect())
     assert told == sorted([("c", "x", True), ("c", "x", False), ("c", "y", False), ("", "z", False), ("c", "old", False), ("d", "old", True), ("c", "twice", True), ("c", "twice", True)])
+
+
+def test_stream_ingest_counts_every_row_with_a_text(spark, tmp_path):
+    """Blank texts, a doc_id twice or null, an empty source and one that is null."""
+    import duckdb
+
+    rows = [(1, "a b", "s"), (2, "", "s"), (3, " \n\t", "s"), (4, None, "s"), (5, "c", "s"), (5, "c", "s"), (5, "d", "s"), (6, "x", ""), (7, "y", None), (None, "z", "t"), (None, "z", "t"), (8, "\u00a0", "u")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert same_rows(catalogue.QUERIES["stream_ingest"](spark, str(tmp_path)), con, catalogue.ORACLES["stream_ingest"]) == 5
