@@ -70,6 +70,29 @@ def test_empty_term_index(spark):
     assert term_index.bm25_many(index, spark.createDataFrame([(1, "a")], "query_id long, query string"), 3).count() == 0
 
 
+def test_a_block_is_dealt_once_for_all_requests(spark):
+    """What is dealt for a set of requests is at most the index, however many requests ask for the same words; and in bytes by shard."""
+    index = term_index.build(spark.createDataFrame(zipf_docs(300), "doc_id long, text string").repartition(3), shared.place(spark, "t"), block=4)
+    asked = lambda n: spark.createDataFrame([(i, "w0 w1 w5") for i in range(n)], "query_id long, query string")
+    dealt = lambda n: term_index.candidates(index, asked(n), 5).agg(F.sum(F.size("pks"))).first()[0]
+    assert dealt(40) == dealt(1) > 0
+    common = term_index.candidates(index, spark.createDataFrame([(1, "w0")], "query_id long, query string"), 5).agg(F.sum(F.size("pks"))).first()[0]
+    assert 5 <= common < 0.5 * index.blocks(spark).where("term = 'w0'").agg(F.sum("n")).first()[0]
+    assert [r["rank"] for r in term_index.bm25_many(index, asked(40), 5).collect()].count(1) == 40
+
+
+def test_bounds_hold_where_shards_are_unlike(spark):
+    """Shards of short and of long documents, under whose own means blocks are cut; keys are strings, and texts are repeated."""
+    rng = random.Random(5)
+    docs = [(f"d{i}", " ".join(rng.choices(["a", "b", "c", "d"], [8, 4, 2, 1], k=rng.randint(1, 4) if i < 120 else rng.randint(20, 90)))) for i in range(240)]
+    docs += [(f"e{i}", docs[3][1]) for i in range(20)]
+    index = term_index.build(spark.createDataFrame(docs, "doc_id string, text string").coalesce(1), shared.place(spark, "t"), share=40, block=2)
+    queries = [("x", "a"), ("y", "b d"), ("z", docs[3][1]), ("w", "d")]
+    asked = spark.createDataFrame(queries, "query_id string, query string")
+    got = {(r["query_id"], r["doc_id"], r["rank"], round(r["score"], 6)) for r in term_index.bm25_many(index, asked, 3).collect()}
+    assert got == bm25_brute(docs, queries, 3)
+
+
 def vectors(spark, n=1200, seed=3):
     rng = np.random.default_rng(seed)
     centers = rng.normal(size=(12, 8)) * 5
