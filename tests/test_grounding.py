@@ -1,9 +1,14 @@
+import os
+import time
 from itertools import combinations_with_replacement
 
 import numpy as np
 
+from lodestone.jobs import catalogue
 from lodestone.operators import grounding
 
+from .conftest import SMALL
+
 
 def test_alignment_against_all_of_them():
     rng = np.random.default_rng(2)
@@ -30,3 +35,19 @@ def test_order_counts():
     scores = grounding.supports([["a", "a2"], ["b", "b2"]], passage)
     at = grounding.align(scores)
     assert at == sorted(at) and sum(scores[i, j] for i, j in enumerate(at)) == 1.0
+
+
+def test_answers_are_grounded_without_shuffling_the_index(spark):
+    """What the query shuffles stays under a few times the documents' own size, which an index that is dealt by term exceeds."""
+    big = SMALL.replace("sf0.001", "sf0.01")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        time.sleep(1)  # for the listener
+        every = store.executorList(True)
+        return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+    before = shuffled()
+    rows = catalogue.QUERIES["answer_groundedness"](spark, big).collect()
+    assert rows and all(0 <= r["groundedness"] <= 1 for r in rows)
+    assert shuffled() - before < 4 * os.path.getsize(f"{big}/documents.parquet")
